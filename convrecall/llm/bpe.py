@@ -89,9 +89,10 @@ class Codec:
     def _learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
-        words -= self.known.keys()
         hard = []
         for w in words:
+            if w in self.known:
+                continue
             ids = self.whole.get(w.encode())  # a pre-token that is itself a token is not merged
             if ids is None:
                 hard.append(w)
