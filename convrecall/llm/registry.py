@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from convrecall.llm.bpe import op7_byte_bpe
+from convrecall.llm.langid import op9_language
 from convrecall.llm.simhash import op8_simhash
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_byte_bpe, op8_simhash)}
+    return {f.__name__: f for f in (op7_byte_bpe, op8_simhash, op9_language)}
 
 
 def oracle_sql() -> dict:
