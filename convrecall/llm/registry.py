@@ -5,10 +5,11 @@ from __future__ import annotations
 from convrecall.llm.bpe import op7_byte_bpe
 from convrecall.llm.langid import op9_language
 from convrecall.llm.simhash import op8_simhash
+from convrecall.llm.suffix import op10_suffix_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_byte_bpe, op8_simhash, op9_language)}
+    return {f.__name__: f for f in (op7_byte_bpe, op8_simhash, op9_language, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict:
