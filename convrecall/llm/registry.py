@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from convrecall.llm.ann import op4_cross_polytope
 from convrecall.llm.bpe import op7_byte_bpe
 from convrecall.llm.langid import op9_language
 from convrecall.llm.simhash import op8_simhash
 from convrecall.llm.suffix import op10_suffix_dedup
+from convrecall.llm.vecdedup import op6_embedding_dedup
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op7_byte_bpe, op8_simhash, op9_language, op10_suffix_dedup)}
+    made = (op4_cross_polytope, op6_embedding_dedup, op7_byte_bpe, op8_simhash, op9_language, op10_suffix_dedup)
+    return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict:
