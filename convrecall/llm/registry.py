@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from convrecall.llm import chat, mixing, urls
+from convrecall.llm import chat, linededup, mixing, urls
 from convrecall.llm.ann import op4_cross_polytope
 from convrecall.llm.bpe import op7_byte_bpe
 from convrecall.llm.langid import op9_language
@@ -13,11 +13,11 @@ from convrecall.llm.vecdedup import op6_embedding_dedup
 
 def queries() -> dict:
     made = (
-        chat.op1_chat_format, mixing.op3_mixture, op4_cross_polytope, urls.op5_url_filter, op6_embedding_dedup,
+        chat.op1_chat_format, linededup.op2_line_dedup, mixing.op3_mixture, op4_cross_polytope, urls.op5_url_filter, op6_embedding_dedup,
         op7_byte_bpe, op8_simhash, op9_language, op10_suffix_dedup,
     )
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.OP1_SQL, "op3_mixture": mixing.OP3_SQL, "op5_url_filter": urls.OP5_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op2_line_dedup": linededup.OP2_SQL, "op3_mixture": mixing.OP3_SQL, "op5_url_filter": urls.OP5_SQL}
