@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Trigrams are hashed to so many counters for each language.
 BUCKETS = 1 << 15
@@ -187,19 +187,23 @@ def _labeller(model: Model) -> Labeller:
     return Labeller(model)
 
 
-def detect(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = False) -> DataFrame:
-    """``(doc_id, lang_pred, score)`` of every row of ``docs`` and, on demand, ``spans``.
+def detect(
+    docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = False, keep: tuple[str, ...] = ("doc_id",)
+) -> DataFrame:
+    """The columns ``keep``, ``lang_pred`` and ``score`` of every row of ``docs`` and, on demand, ``spans``.
 
     ``lang_pred`` is the language of most letters, ``score`` its share of them; ties go to the language that sorts
     first. A null text, or one without any letter, is ``und`` with score 0, and so is everything when nothing could
     be learned. ``spans`` are ``(lang, start, stop)`` in code points of the text, from the first to the last word of
-    each run. Repeated rows are judged alike; only ``doc_id`` and ``text`` are read, and ``doc_id`` is only passed on.
+    each run. Repeated rows are judged alike; only ``text`` is looked at, what is kept is passed on.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets for each language
-    schema = "doc_id long, lang_pred string, score double"
+    kept = docs.select(*keep, F.col("text").alias("text__read"))
+    added = "lang_pred string, score double"
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
     if spans:
-        schema += ", spans array<struct<lang: string, start: int, stop: int>>"
+        added += ", spans array<struct<lang: string, start: int, stop: int>>"
+    schema = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string(added).fields])
 
     def runs(text: str, labels: np.ndarray, names: tuple[str, ...]) -> list[dict]:
         at = [m.span() for m in WORDS.finditer(text.lower() if len(text.lower()) == len(text) else text)]
@@ -214,14 +218,14 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
         model = shared.value
         own = _labeller(model) if model.languages else None
         for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(1)] if spans else None
+            texts = [x.as_py() or "" for x in batch.column(len(keep))] if spans else None
             langs, scores, found = [], [], []
             if own is None:
                 langs, scores, found = ["und"] * batch.num_rows, [0.0] * batch.num_rows, [[]] * batch.num_rows
             else:
                 if len(own.known) > CACHE:
                     own._start()
-                ids = [own.ids(WORDS.findall(x.as_py().lower())) if x.is_valid else [] for x in batch.column(1)]
+                ids = [own.ids(WORDS.findall(x.as_py().lower())) if x.is_valid else [] for x in batch.column(len(keep))]
                 for i, (words, labels) in enumerate(zip(ids, own.viterbi(ids, switch))):
                     share = np.bincount(labels, own.letters[words], own.n) if words else np.zeros(own.n)
                     total = share.sum()
@@ -229,13 +233,13 @@ def detect(docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool =
                     scores.append(float(share.max() / total) if total else 0.0)
                     if spans:
                         found.append(runs(texts[i], labels, model.languages) if total else [])
-            made = [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            names = ["doc_id", "lang_pred", "score"]
+            made = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            names = [*keep, "lang_pred", "score"]
             if spans:
                 made, names = [*made, pa.array(found, kind)], [*names, "spans"]
             yield pa.RecordBatch.from_arrays(made, names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def held_out() -> F.Column:

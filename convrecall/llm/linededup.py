@@ -87,6 +87,8 @@ def _let(value: F.Column, f) -> F.Column:
 def banded_distance(a: F.Column, b: F.Column, edits: int) -> F.Column:
     """Edit distance of the longer string a and b where it is at most ``edits`` (15 at most); else ``edits`` + 1.
 
+    A string a that is no longer than ``edits`` is within them of any b; its length is given without a look at b.
+
     Differences down a column are kept as bits of a band that moves along the diagonal: the band's top bit, 31, is
     the row ``edits`` below it.
     """

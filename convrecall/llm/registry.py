@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from convrecall.llm import chat, linededup, mixing, urls
 from convrecall.llm.ann import op4_cross_polytope
 from convrecall.llm.bpe import op7_byte_bpe
@@ -16,8 +17,9 @@ def queries() -> dict:
         chat.op1_chat_format, linededup.op2_line_dedup, mixing.op3_mixture, op4_cross_polytope, urls.op5_url_filter, op6_embedding_dedup,
         op7_byte_bpe, op8_simhash, op9_language, op10_suffix_dedup,
     )
-    return {f.__name__: f for f in made}
+    return {f.__name__: f for f in made} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_format": chat.OP1_SQL, "op2_line_dedup": linededup.OP2_SQL, "op3_mixture": mixing.OP3_SQL, "op5_url_filter": urls.OP5_SQL}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op1_chat_format": chat.OP1_SQL, "op2_line_dedup": linededup.OP2_SQL, "op3_mixture": mixing.OP3_SQL, "op5_url_filter": urls.OP5_SQL}
