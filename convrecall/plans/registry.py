@@ -2,14 +2,494 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from convrecall.functions import text as T
+from convrecall.operators import coref, curate, evaluation, facts as M, graph, keyword, rerank, vectors
+from convrecall.plans import inputs as I
+from convrecall.sources import conversations as S
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
 
 
-def flagship(spark, sf_dir: str):
-    raise NotImplementedError
+def query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bm25_passages(spark, sf_dir)
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+
+
+def _toks(c: str) -> str:
+    return f"[lower(x) for x in regexp_extract_all({c}, '[A-Za-z0-9]+')]"
+
+
+def _jac(a: str, b: str) -> str:
+    return f"(len(list_intersect({a}, {b})) / greatest(1, len(list_distinct(list_concat({a}, {b}))))::DOUBLE)"
+
+
+def _norm(c: str) -> str:
+    return f"trim(regexp_replace(coalesce({c}, ''), '\\s+', ' ', 'g'))"
+
+
+# text functions
+
+
+@query(f"""SELECT conv_id, turn, {_norm('text')} AS norm, lower({_norm("role || '  ' || text")}) AS entity,
+  trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS squashed, regexp_replace(lower(trim(text, ' ' || chr(10))), '[ \\t\\r\\n.!?、。！？…]+$', '') AS evidence
+  FROM conversations""")
+def text_normal_forms(spark, sf_dir):
+    return I.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", T.norm_text("text").alias("norm"), T.norm_entity(F.concat("role", F.lit("  "), "text")).alias("entity"),
+        T.squash("text").alias("squashed"), T.canon_evidence("text").alias("evidence"),
+    )
+
+
+@query(f"""SELECT conv_id, turn, array_to_string([lower(x) for x in regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+') if lower(x) NOT IN ({_STOP})], ' ') AS keywords,
+  array_to_string({_toks("coalesce(text, '')")}, ' ') AS words FROM conversations""")
+def text_tokens(spark, sf_dir):
+    return I.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.array_join(T.keyword_tokens("text"), " ").alias("keywords"), F.array_join(T.graph_tokens("text"), " ").alias("words")
+    )
+
+
+@query(f"""WITH {I.TURNS}, u AS (SELECT conv_id, turn_id, {_norm('text')} AS text FROM turns WHERE lower(role) = 'user')
+  SELECT conv_id, turn_id, text FROM u WHERE text <> '' AND NOT (contains(text, '?') OR regexp_matches(text, '^\\s*(what|who|whom|whose|which|where|when|why|how)\\b', 'i'))""")
+def user_turn_filter(spark, sf_dir):
+    return keyword.user_turns(I.turns(spark, sf_dir)).select("conv_id", "turn_id", "text")
+
+
+@query("""SELECT event_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(event_type || ' - Is_' || user_id || '!'), '[\\s\\-]+', '_', 'g'), '[^a-z0-9_]', '', 'g'), '_+', '_', 'g'), '_') AS snake,
+  CASE event_id % 4 WHEN 0 THEN 'lives_in' WHEN 1 THEN 'name' WHEN 2 THEN 'likes' ELSE event_type END AS canon, sha1(concat_ws('::', event_id, event_type, '')) AS stable FROM events""")
+def predicate_names(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 4 == 0, "Reside in").when(F.col("event_id") % 4 == 1, "is_named").when(F.col("event_id") % 4 == 2, " enjoy").otherwise(F.col("event_type"))
+    snake = T.snake_like(F.concat("event_type", F.lit(" - Is_"), F.col("user_id").cast("string"), F.lit("!")))
+    return I.table(spark, sf_dir, "events").select("event_id", snake.alias("snake"), T.canon_predicate(raw).alias("canon"), T.stable_id("event_id", "event_type", F.lit(None)).alias("stable"))
+
+
+@query("""SELECT event_id, round(pow(0.5, greatest(0, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-02-01')) / 604800.0), 9) AS weight FROM events""")
+def recency_weights(spark, sf_dir):
+    age = F.unix_timestamp(F.lit("2024-02-01 00:00:00").cast("timestamp")) - F.unix_timestamp("ts")
+    return I.table(spark, sf_dir, "events").select("event_id", F.round(T.half_life_weight(age), 9).alias("weight"))
+
+
+def _replies(spark, sf_dir):
+    head = F.col("event_id") % 3
+    q = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    plain = q('[{"subject": "me", "predicate": "', F.col("event_type"), '", "object": "', F.col("user_id"), '", "source_span": "s"}]')
+    fenced = q('Sure:\n```json\n[{"subject": " I ", "predicate": "Has Name", "object": "n', F.col("user_id"), '", "confidence": 0.5, "source_span": "x  y"}]\n```')
+    reply = F.when(head == 0, plain).when(head == 1, fenced).otherwise("none [broken")
+    return I.table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn_id"), reply.alias("reply"))
+
+
+@query("""SELECT user_id AS conv_id, event_id AS turn_id, 0 AS fact_idx, CASE event_id % 3 WHEN 0 THEN 'me' ELSE 'I' END AS subject,
+  CASE event_id % 3 WHEN 0 THEN event_type ELSE 'name' END AS predicate, CASE event_id % 3 WHEN 0 THEN '' ELSE 'n' END || user_id AS object,
+  CASE event_id % 3 WHEN 0 THEN 0.85::DOUBLE ELSE 0.5 END AS confidence, CASE event_id % 3 WHEN 0 THEN 's' ELSE 'x  y' END AS evidence FROM events WHERE event_id % 3 < 2""")
+def replies_to_facts(spark, sf_dir):
+    return M.parse_replies_plain(_replies(spark, sf_dir))
+
+
+@query("""SELECT user_id AS conv_id, event_id AS turn_id, 0 AS fact_idx, CASE event_id % 3 WHEN 0 THEN 'me' ELSE 'I' END AS subject,
+  CASE event_id % 3 WHEN 0 THEN event_type ELSE 'has_name' END AS predicate, CASE event_id % 3 WHEN 0 THEN '' ELSE 'n' END || user_id AS object,
+  CASE event_id % 3 WHEN 0 THEN 0.85::DOUBLE ELSE 0.5 END AS confidence, CASE event_id % 3 WHEN 0 THEN 's' ELSE 'x y' END AS evidence FROM events WHERE event_id % 3 < 2""")
+def replies_to_graph_facts(spark, sf_dir):
+    return M.parse_replies_graph(_replies(spark, sf_dir))
+
+
+@query("""SELECT user_id AS conv_id, event_id AS turn_id, 0 AS fact_idx, 'u' || user_id AS subject, 'works_at' AS predicate, event_type AS object, 0.85::DOUBLE AS confidence,
+  'f' || event_id AS fact_id, CAST(NULL AS VARCHAR) AS created_at, 'k=' || json_extract_string(props, '$.k') AS meta FROM events WHERE event_id % 5 <> 0""")
+def payload_to_facts(spark, sf_dir):
+    head = F.concat(F.lit('[{"subject": "u'), F.col("user_id").cast("string"), F.lit('", "predicate": "employed at", "object": "'), "event_type", F.lit('", "fact_id": "f'),
+                    F.col("event_id").cast("string"), F.lit('", "k": "'), F.get_json_object("props", "$.k"), F.lit('"}'))
+    payload = F.when(F.col("event_id") % 5 == 0, F.lit('["no object"]')).otherwise(F.concat(head, F.lit("]")))
+    rows = I.table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn_id"), payload.alias("payload"))
+    return M.coerce_payload(rows).withColumn("meta", F.concat(F.lit("k="), F.col("meta")["k"]))
+
+
+@query("""SELECT user_id AS conv_id, event_id, i AS item, CASE WHEN i = 2 THEN value WHEN i = 1 THEN 1.5 ELSE 0 END AS score FROM events, (SELECT unnest([1, 2, 3]) AS i)""")
+def reply_rank_scores(spark, sf_dir):
+    reply = F.concat(F.lit('ok {"scores": [{"index": 2, "score": '), F.col("value").cast("string"), F.lit('}, {"index": 1, "score": 1.5}]} bye'))
+    rows = I.table(spark, sf_dir, "events").select(F.col("user_id").alias("conv_id"), "event_id", F.posexplode(T.rank_scores(reply, F.lit(3))).alias("at", "score"))
+    return rows.select("conv_id", "event_id", (F.col("at") + 1).alias("item"), "score")
+
+
+# keyword memory
+
+
+def _bm25_sql(k: int, docs: str = "docs", probes: str = "probes") -> str:
+    return f"""tok AS (SELECT scope, doc, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9_]+'))) AS term FROM {docs}),
+post AS (SELECT scope, doc, term, count(*) AS tf FROM tok WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+len AS (SELECT d.scope, d.doc, coalesce(sum(p.tf), 0) AS length FROM {docs} d LEFT JOIN post p USING (scope, doc) GROUP BY ALL),
+stats AS (SELECT scope, count(*) AS n, avg(length) AS avgdl FROM len GROUP BY ALL),
+df AS (SELECT scope, term, count(*) AS df FROM post GROUP BY ALL),
+asked AS (SELECT qid, scope, term, count(*) AS qtf FROM (SELECT qid, scope, lower(unnest(regexp_extract_all(query, '[A-Za-z0-9_]+'))) AS term FROM {probes}) WHERE term NOT IN ({_STOP}) GROUP BY ALL),
+scored AS (
+  SELECT a.qid, a.scope, p.doc, sum(a.qtf * ln((s.n - d.df + 0.5) / (d.df + 0.5) + 1) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * l.length / CASE WHEN s.avgdl > 0 THEN s.avgdl ELSE 1 END))) AS score
+  FROM asked a JOIN df d USING (scope, term) JOIN stats s USING (scope) JOIN post p USING (scope, term) JOIN len l ON l.scope = a.scope AND l.doc = p.doc GROUP BY ALL
+), found AS (
+  SELECT * FROM (
+    SELECT s.qid, s.scope, s.doc, x.text, s.score, row_number() OVER (PARTITION BY s.qid ORDER BY round(s.score, 9) DESC, s.doc) AS rank
+    FROM scored s JOIN {docs} x USING (scope, doc) JOIN {probes} q USING (qid) WHERE q.query <> '' AND q.query <> x.text
+  ) WHERE rank <= {k}
+)"""
+
+
+@query(f"""WITH {I.CORPUS}, {I.PASSAGES}, {_bm25_sql(5)}
+SELECT f.qid, CAST(f.rank AS INTEGER) AS rank, f.doc, round(f.score, 4) AS score, CAST(contains(lower(f.text), lower(p.query)) AS INTEGER) AS rel FROM found f JOIN probes p USING (qid)""")
+def bm25_passages(spark, sf_dir):
+    """The flagship: passages searched in the corpus, and whether what is found holds them."""
+    probes = I.passages(spark, sf_dir)
+    found = keyword.bm25_retrieve(probes, I.corpus(spark, sf_dir), 5)
+    run = found.select("qid", "rank", "doc", "score", "text", F.lit("").alias("object"))
+    return evaluation.judge(run, probes).select("qid", "rank", "doc", "score", "rel")
+
+
+def _chats(spark, sf_dir):
+    docs = keyword.dedup_turns(keyword.user_turns(I.turns(spark, sf_dir))).select(F.col("conv_id").alias("scope"), F.col("turn_id").alias("doc"), "text")
+    first = docs.groupBy("scope").agg(F.min_by("text", "doc").alias("text"))
+    asked = F.array_join(F.slice(T.keyword_tokens("text"), 1, 6), " ")
+    return docs, first.select(F.col("scope").cast("string").alias("qid"), "scope", asked.alias("query"))
+
+
+_CHATS = f"""{I.TURNS}, u AS (
+  SELECT conv_id AS scope, turn_id AS doc, {_norm('text')} AS text FROM turns WHERE lower(role) = 'user'
+), docs AS (
+  SELECT scope, min(doc) AS doc, text FROM u WHERE text <> '' AND NOT (contains(text, '?') OR regexp_matches(text, '^\\s*(what|who|whom|whose|which|where|when|why|how)\\b', 'i')) GROUP BY scope, text
+), probes AS (
+  SELECT CAST(scope AS VARCHAR) AS qid, scope, array_to_string([lower(x) for x in regexp_extract_all(arg_min(text, doc), '[A-Za-z0-9_]+') if lower(x) NOT IN ({_STOP})][1:6], ' ') AS query FROM docs GROUP BY scope
+)"""
+
+
+@query(f"WITH {_CHATS}, {_bm25_sql(3)} SELECT qid, CAST(rank AS INTEGER) AS rank, doc, text, round(score, 4) AS score FROM found")
+def bm25_chats(spark, sf_dir):
+    docs, probes = _chats(spark, sf_dir)
+    return keyword.bm25_retrieve(probes, docs, 3).select("qid", "rank", "doc", "text", "score")
+
+
+@query(f"WITH {I.CORPUS}, {I.PASSAGES}, {_bm25_sql(1)} SELECT d.term, d.df, s.n, round(s.avgdl, 6) AS avgdl FROM df d JOIN stats s USING (scope)")
+def bm25_term_statistics(spark, sf_dir):
+    index = keyword.bm25_index(I.corpus(spark, sf_dir))
+    return index.terms.join(index.stats, "scope").select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(f"""WITH {I.TURNS}, twice AS (SELECT * FROM turns UNION ALL SELECT conv_id, turn_id + 100, role, text FROM turns),
+u AS (SELECT conv_id, turn_id, {_norm('text')} AS text FROM twice WHERE lower(role) = 'user') SELECT conv_id, min(turn_id) AS turn_id, text FROM u
+WHERE text <> '' AND NOT (contains(text, '?') OR regexp_matches(text, '^\\s*(what|who|whom|whose|which|where|when|why|how)\\b', 'i')) GROUP BY conv_id, text""")
+def turn_dedup(spark, sf_dir):
+    rows = I.turns(spark, sf_dir)
+    twice = rows.unionByName(rows.withColumn("turn_id", F.col("turn_id") + 100))
+    return keyword.dedup_turns(keyword.user_turns(twice)).select("conv_id", "turn_id", "text")
+
+
+# evaluation
+
+
+def _evaluated(spark, sf_dir):
+    probes = I.passages(spark, sf_dir)
+    found = keyword.bm25_retrieve(probes, I.corpus(spark, sf_dir), 5)
+    run = found.select("qid", "rank", F.lit("chunk").alias("type"), F.col("doc").cast("string").alias("id"), "text", *[F.lit("").alias(c) for c in ("subject", "predicate", "object")], "score")
+    return evaluation.evaluate(run, probes, 5)
+
+
+_EVAL = f"""{I.CORPUS}, {I.PASSAGES}, {_bm25_sql(5)},
+judged AS (SELECT f.qid, f.rank, f.text, CAST(contains(lower(f.text), lower(p.query)) AS INTEGER) AS rel FROM found f JOIN probes p USING (qid)),
+upto AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS sofar FROM judged),
+sums AS (SELECT qid, sum(rel) AS hits, sum(rel * sofar / rank::DOUBLE) AS ap, min(rank) FILTER (WHERE rel = 1) AS rank, sum(rel / log2(rank + 1)) AS dcg, count(*) AS retrieved,
+  max(text) FILTER (WHERE rank = 1) AS top FROM upto GROUP BY qid),
+ev AS (
+  SELECT p.qid, p.scenario, p.difficulty, CAST(lower(coalesce(s.top, '')) = lower(p.query) AS INTEGER) AS em, CAST(coalesce(s.hits, 0) AS BIGINT) AS hits, coalesce(s.hits, 0) / 5.0::DOUBLE AS precision,
+    CASE WHEN s.hits > 0 THEN 1.0::DOUBLE ELSE 0 END AS recall, CASE WHEN s.hits > 0 THEN 2 * (s.hits / 5.0::DOUBLE) / (s.hits / 5.0::DOUBLE + 1) ELSE 0 END AS f1,
+    CASE WHEN s.hits > 0 THEN s.ap / s.hits ELSE 0 END AS ap, coalesce(1.0::DOUBLE / s.rank, 0) AS rr,
+    CASE WHEN s.hits > 0 THEN s.dcg / list_sum([1 / log2(i + 1) for i in range(1, CAST(s.hits AS BIGINT) + 1)]) ELSE 0 END AS ndcg,
+    CAST(s.rank IS NOT NULL AS INTEGER) AS hit, CAST(s.rank AS INTEGER) AS rank, coalesce(s.retrieved, 0) AS retrieved
+  FROM probes p LEFT JOIN sums s USING (qid)
+)"""
+_COLS = ("ap", "f1", "ndcg", "precision", "recall", "rr")
+_ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in _COLS)
+
+
+@query(f"WITH {_EVAL} SELECT qid, scenario, difficulty, em, hits, {_ROUNDED}, hit, rank, retrieved FROM ev")
+def evaluation_per_query(spark, sf_dir):
+    rows = _evaluated(spark, sf_dir)
+    return rows.select("qid", "scenario", "difficulty", "em", "hits", *[F.round(c, 6).alias(c) for c in _COLS], "hit", "rank", "retrieved")
+
+
+_MEANS = ", ".join(f"round(avg({c}), 6) AS {n}" for c, n in evaluation.MEANS.items())
+
+
+def _means(df, *keys):
+    return df.select(*keys, "count", *[F.round(n, 6).alias(n) for n in evaluation.MEANS.values()])
+
+
+@query(f"WITH {_EVAL} SELECT count(*) AS count, {_MEANS} FROM ev")
+def evaluation_macro(spark, sf_dir):
+    return _means(evaluation.macro(_evaluated(spark, sf_dir)))
+
+
+@query(f"WITH {_EVAL} SELECT scenario, difficulty, count(*) AS count, {_MEANS} FROM ev GROUP BY ROLLUP (scenario, difficulty)")
+def evaluation_breakdown(spark, sf_dir):
+    return _means(evaluation.breakdown(_evaluated(spark, sf_dir), "scenario", "difficulty"), "scenario", "difficulty")
+
+
+@query(f"""WITH {I.CORPUS}, {I.PASSAGES}, {_bm25_sql(1)} SELECT f.qid, contains(lower(f.text), lower(p.query)) AS contained, false AS object_equal,
+trim(regexp_replace(lower(f.text), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(p.query), '[^a-z0-9]+', ' ', 'g')) AS squashed_equal FROM found f JOIN probes p USING (qid)""")
+def evaluation_quick_checks(spark, sf_dir):
+    probes = I.passages(spark, sf_dir)
+    tops = keyword.bm25_retrieve(probes, I.corpus(spark, sf_dir), 1).select("qid", "text", F.lit(None).cast("string").alias("object")).join(probes.select("qid", "expected"), "qid")
+    return evaluation.quick_checks(tops).select("qid", "contained", "object_equal", "squashed_equal")
+
+
+@query(f"""WITH {_CHATS}, {_bm25_sql(3)} SELECT qid, CAST(rank AS INTEGER) AS rank, 'keyword' AS system, round(score, 6) AS score, 'chunk' AS type, CAST(doc AS VARCHAR) AS id, text, CAST(NULL AS VARCHAR) AS subject, CAST(NULL AS VARCHAR) AS predicate,
+CAST(NULL AS VARCHAR) AS object, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS VARCHAR) AS created_at FROM (SELECT * REPLACE (round(score, 4) AS score) FROM found)""")
+def result_envelope(spark, sf_dir):
+    docs, probes = _chats(spark, sf_dir)
+    rows = keyword.bm25_retrieve(probes, docs, 3).select("qid", "rank", "score", "text", F.lit("chunk").alias("type"), F.col("doc").alias("id"))
+    return rerank.envelope(rows, "keyword").withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_CHATS}, {_bm25_sql(3)}, w AS (SELECT f.*, p.query, [x for x in string_split(lower(p.query), ' ') if x <> ''] AS a, [x for x in string_split(lower(f.text), ' ') if x <> ''] AS b FROM found f JOIN probes p USING (qid))
+SELECT qid, doc, round(80 * round(score, 4) + 20 * {_jac('a', 'b')}, 6) AS rerank FROM w""")
+def rerank_lexical(spark, sf_dir):
+    docs, probes = _chats(spark, sf_dir)
+    rows = keyword.bm25_retrieve(probes, docs, 3).join(probes.select("qid", "query"), "qid")
+    return rerank.lexical_rerank(rows).select("qid", "doc", F.round("rerank", 6).alias("rerank"))
+
+
+@query(f"""WITH {_CHATS}, {_bm25_sql(3)}, n AS (SELECT qid, count(*) AS n FROM found GROUP BY qid) SELECT qid, CAST(rank AS INTEGER) AS rank, doc, CASE rank WHEN 1 THEN 10.0::DOUBLE WHEN 2 THEN 20.5 ELSE 0 END AS rerank FROM found""")
+def rerank_by_replies(spark, sf_dir):
+    docs, probes = _chats(spark, sf_dir)
+    rows = keyword.bm25_retrieve(probes, docs, 3).join(probes.select("qid", "query"), "qid")
+    replies = rerank.rank_prompts(rows).select("qid", "n", F.lit('{"scores": [{"index": 1, "score": 10}, {"index": 2, "score": 20.5}]}').alias("reply"))
+    return rerank.model_rerank(rows, replies).select("qid", "rank", "doc", "rerank")
+
+
+# facts and memory state
+
+
+@query(f"""WITH {I.FACTS} SELECT predicate, count(*) FILTER (WHERE confidence BETWEEN 0 AND 1) AS valid, count(*) FILTER (WHERE NOT confidence BETWEEN 0 AND 1) AS rejected FROM facts GROUP BY 1""")
+def fact_validation(spark, sf_dir):
+    good, bad = M.split_valid(I.facts(spark, sf_dir))
+    both = good.withColumn("ok", F.lit(1)).unionByName(bad.withColumn("ok", F.lit(0)))
+    return both.groupBy("predicate").agg(F.sum("ok").alias("valid"), F.sum(1 - F.col("ok")).alias("rejected"))
+
+
+@query(f"""WITH {I.FACTS} SELECT conv_id, turn_id, coalesce(last_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS)
+  OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), subject) AS subject, predicate FROM facts""")
+def alias_forward(spark, sf_dir):
+    return M.forward_alias(I.facts(spark, sf_dir)).select("conv_id", "turn_id", "subject", "predicate")
+
+
+_RETRO = f"""{I.FACTS}, named AS (
+  SELECT * REPLACE (coalesce(
+    last_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    first_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), subject) AS subject)
+  FROM facts
+)"""
+
+
+@query(f"WITH {_RETRO} SELECT conv_id, turn_id, subject, predicate, object FROM named")
+def alias_retroactive(spark, sf_dir):
+    return M.retroactive_alias(I.facts(spark, sf_dir)).select("conv_id", "turn_id", "subject", "predicate", "object")
+
+
+_SLOTS = f"""{I.FACTS}, states AS (
+  SELECT *, lead(fact_id) OVER w IS NULL AS active, lag(fact_id) OVER w AS supersedes, lead(turn_id) OVER w AS valid_to
+  FROM facts WINDOW w AS (PARTITION BY conv_id, lower(subject), lower(predicate) ORDER BY turn_id, fact_idx)
+)"""
+
+
+@query(f"WITH {_SLOTS} SELECT conv_id, turn_id, fact_id, predicate, active, supersedes, valid_to FROM states")
+def slots_by_conversation(spark, sf_dir):
+    return M.slot_states(I.facts(spark, sf_dir)).select("conv_id", "turn_id", "fact_id", "predicate", "active", "supersedes", "valid_to")
+
+
+@query(f"""WITH {I.FACTS} SELECT conv_id, fact_id, predicate, lead(fact_id) OVER w IS NULL AS active, lag(fact_id) OVER w AS supersedes
+FROM facts WINDOW w AS (PARTITION BY lower(subject), lower(predicate) ORDER BY ingest_seq, turn_id, fact_idx)""")
+def slots_global(spark, sf_dir):
+    return M.slot_states(I.facts(spark, sf_dir), "global").select("conv_id", "fact_id", "predicate", "active", "supersedes")
+
+
+@query(f"WITH {I.FACTS} SELECT predicate, arg_max(fact_id, ingest_seq) AS fact_id, arg_max(object, ingest_seq) AS object FROM facts GROUP BY predicate")
+def slots_global_latest(spark, sf_dir):
+    return M.latest_global(I.facts(spark, sf_dir)).select("predicate", "fact_id", "object")
+
+
+@query(f"""WITH {_SLOTS}, moments AS (SELECT conv_id, CAST(max(turn_id) // 2 AS INTEGER) AS at FROM facts GROUP BY conv_id)
+SELECT m.conv_id, m.at, s.predicate, s.object FROM moments m JOIN states s ON s.conv_id = m.conv_id AND s.turn_id <= m.at AND (s.valid_to IS NULL OR s.valid_to > m.at)""")
+def facts_as_of(spark, sf_dir):
+    facts = I.facts(spark, sf_dir)
+    moments = facts.groupBy(F.col("conv_id").alias("conv_id")).agg(F.expr("cast(max(turn_id) div 2 as int)").alias("at")).withColumn("qid", F.col("conv_id"))
+    return M.as_of(M.slot_states(facts), moments).select(F.col("qid").alias("conv_id"), "at", "predicate", "object")
+
+
+@query(f"SELECT conv_id, entity, max(turn_id) AS last_turn FROM (WITH {I.FACTS} SELECT conv_id, lower(unnest([subject, object])) AS entity, turn_id FROM facts) GROUP BY ALL")
+def entity_timeline(spark, sf_dir):
+    return M.entity_timeline(I.facts(spark, sf_dir))
+
+
+@query(f"WITH {I.FACTS} SELECT 'chunk_' || substr(sha256(fact_id), 1, 12) AS chunk_id, concat_ws(' | ', subject, predicate, object) AS text, conv_id, turn_id FROM facts")
+def fact_chunks(spark, sf_dir):
+    return M.chunks(I.facts(spark, sf_dir)).where(F.col("meta")["type"] == "fact").select("chunk_id", "text", "conv_id", "turn_id")
+
+
+@query(f"""WITH {I.FACTS}, old AS (SELECT conv_id AS key, turn_id AS version, object FROM facts WHERE turn_id = 1), new AS (SELECT conv_id AS key, turn_id AS version, object FROM facts WHERE conv_id % 2 = 0)
+SELECT key, version, object FROM old WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT key, max(version) AS version, arg_max(object, version) AS object FROM new GROUP BY key""")
+def chunk_upsert(spark, sf_dir):
+    rows = I.facts(spark, sf_dir).select(F.col("conv_id").alias("key"), F.col("turn_id").alias("version"), "object")
+    return vectors.upsert(rows.where("version = 1"), rows.where("key % 2 = 0"), "key", "version")
+
+
+@query()
+def pronoun_repair(spark, sf_dir):
+    """The sequential fold over every user's events; no SQL, tests compare it with worked conversations."""
+    rows = I.facts(spark, sf_dir).withColumn("text", F.col("evidence")).withColumn("subject", F.when(F.col("turn_id") % 3 == 0, "she").otherwise(F.col("subject")))
+    return coref.repair(rows.select("conv_id", "turn_id", "fact_idx", "subject", "predicate", "object", "text"))
+
+
+# graph memory
+
+
+@query(f"SELECT DISTINCT conv_id, node FROM (WITH {I.WORLD} SELECT conv_id, unnest([subject, object]) AS node FROM world)")
+def graph_nodes(spark, sf_dir):
+    return graph.build_graph(I.world(spark, sf_dir))[0]
+
+
+@query(f"WITH {I.WORLD} SELECT conv_id, subject AS src, predicate, object AS dst, fact_id FROM world")
+def graph_edges(spark, sf_dir):
+    return graph.build_graph(I.world(spark, sf_dir))[1].select("conv_id", "src", "predicate", "dst", "fact_id")
+
+
+@query(f"WITH {I.QUESTIONS} SELECT qid, conv_id, 'Where' AS seed, 1 AS place FROM questions UNION ALL SELECT qid, conv_id, qid, 2 FROM questions")
+def graph_seeds(spark, sf_dir):
+    nodes, _ = graph.build_graph(I.world(spark, sf_dir))
+    return graph.seeds_from_query(I.questions(spark, sf_dir), nodes)
+
+
+_NEAR = f"""{I.WORLD}, {I.QUESTIONS}, sym AS (SELECT subject AS a, object AS b FROM world UNION SELECT object, subject FROM world),
+h0 AS (SELECT qid, qid AS node, 0 AS hop FROM questions), h1 AS (SELECT DISTINCT h.qid, s.b AS node, 1 AS hop FROM h0 h JOIN sym s ON s.a = h.node),
+h2 AS (SELECT DISTINCT h.qid, s.b AS node, 2 AS hop FROM h1 h JOIN sym s ON s.a = h.node),
+near AS (SELECT qid, node, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY ALL)"""
+
+
+@query(f"WITH {_NEAR} SELECT qid, 'world' AS conv_id, node, hop FROM near")
+def graph_frontier(spark, sf_dir):
+    nodes, edges = graph.build_graph(I.world(spark, sf_dir))
+    return graph.khop_frontier(graph.seeds_from_query(I.questions(spark, sf_dir), nodes), nodes, edges)
+
+
+@query(f"""WITH {_NEAR}, cand AS (SELECT n.qid, w.fact_id, min(n.hop) AS hop FROM near n JOIN world w ON n.node IN (w.subject, w.object) GROUP BY ALL),
+p AS (SELECT c.qid, c.hop, w.*, {_toks('q.query')} AS qt, {_toks('w.predicate')} AS pt, {_toks("w.subject || ' ' || w.predicate || ' ' || w.object")} AS ft
+  FROM cand c JOIN world w USING (fact_id) JOIN questions q USING (qid)),
+s AS (SELECT *, (0.55 * {_jac('qt', 'pt')} + 0.45 * confidence) / (1 + 0.3 * hop) AS path,
+  0.45 * ((0.55 * {_jac('qt', 'pt')} + 0.45 * confidence) / (1 + 0.3 * hop)) + 0.30 * {_jac('qt', 'ft')} + 0.20 + CASE WHEN lower(subject) = lower(qid) OR lower(object) = lower(qid) THEN 0.05 ELSE 0 END AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, hop, turn_id, fact_idx, fact_id) AS rank FROM s)
+SELECT qid, CAST(rank AS INTEGER) AS rank, subject, predicate, object, evidence AS text, hop, round(path, 6) AS path, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def graph_retrieval(spark, sf_dir):
+    found = graph.graph_retrieve(I.questions(spark, sf_dir), I.world(spark, sf_dir), 5)
+    return found.select("qid", "rank", "subject", "predicate", "object", "text", "hop", F.round("path", 6).alias("path"), F.round("score", 6).alias("score"))
+
+
+# vector memory
+
+
+def _vectors(spark, sf_dir):
+    return I.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), F.col("label").alias("conv_id"))
+
+
+_COS = "list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
+
+
+@query(f"""SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM (
+  SELECT a.vec_id AS qid, b.vec_id AS id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS rank
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 10""")
+def knn_cosine(spark, sf_dir):
+    rows = _vectors(spark, sf_dir)
+    found = vectors.knn(rows.where("id % 20 = 0").select(F.col("id").alias("qid"), "v"), rows.select("id", "v"), 10)
+    return found.select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+def _states(rows):
+    return rows.select(
+        F.col("id").alias("fact_id"), "conv_id", F.lit("s").alias("subject"), F.lit("p").alias("predicate"), F.col("id").cast("string").alias("object"),
+        F.col("id").cast("string").alias("evidence"), (F.col("id") % 3 != 0).alias("active"),
+    )
+
+
+def _retrieved(spark, sf_dir, mode):
+    rows = _vectors(spark, sf_dir)
+    asked = rows.where("id % 20 = 0").select(F.col("id").alias("qid"), "conv_id", "v")
+    found = vectors.vector_retrieve(asked, _states(rows), rows.select(F.col("id").alias("fact_id"), "v"), 3, mode)
+    return found.select("qid", "rank", "fact_id", "text", "score")
+
+
+@query(f"""SELECT qid, CAST(rank AS INTEGER) AS rank, fact_id, CAST(fact_id AS VARCHAR) AS text, round(score, 6) AS score FROM (
+  SELECT a.vec_id AS qid, b.vec_id AS fact_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS rank
+  FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0 AND b.vec_id % 3 <> 0) WHERE rank <= 3""")
+def vectors_prefiltered(spark, sf_dir):
+    return _retrieved(spark, sf_dir, "prefilter")
+
+
+@query(f"""WITH wide AS (SELECT a.vec_id AS qid, a.label AS own, b.label, b.vec_id AS fact_id, {_COS} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id) AS k
+  FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+SELECT qid, CAST(rank AS INTEGER) AS rank, fact_id, CAST(fact_id AS VARCHAR) AS text, round(score, 6) AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, fact_id) AS rank FROM wide WHERE k <= 15 AND own = label AND fact_id % 3 <> 0) WHERE rank <= 3""")
+def vectors_postfiltered(spark, sf_dir):
+    return _retrieved(spark, sf_dir, "postfilter")
+
+
+# sources and curation
+
+
+@query("SELECT 'conv_' || conv_id AS conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS turn_id, role, text FROM conversations")
+def nested_to_turns(spark, sf_dir):
+    return S.explode_turns(I.nested(spark, sf_dir))
+
+
+@query(f"""WITH {I.NESTED} SELECT conversation_id || '::1' AS qid, conversation_id AS conv_id, 1 AS q_idx, trim(question, ' ' || chr(10)) AS question, trim(answer, ' ' || chr(10)) AS expected, quote AS quoted
+FROM nested WHERE question IS NOT NULL AND trim(question, ' ' || chr(10)) <> ''""")
+def nested_to_probes(spark, sf_dir):
+    return S.explode_probes(I.nested(spark, sf_dir)).select("qid", "conv_id", "q_idx", "question", "expected", F.array_join("relevant_texts", "|").alias("quoted"))
+
+
+@query(f"""WITH {I.NESTED} SELECT conversation_id, scenario, difficulty, lower(trim(question, ' ' || chr(10))) AS question, lower(trim(answer, ' ' || chr(10))) AS expected,
+  regexp_replace(lower(trim(quote, ' ' || chr(10))), '[ \\t\\r\\n.!?、。！？…]+$', '') AS quoted, CASE WHEN bad_role THEN 'invalid role' WHEN question IS NULL THEN 'no eval' END AS reject_reason FROM nested""")
+def curation_validated(spark, sf_dir):
+    e = F.get("eval", F.lit(0))
+    return curate.validate(I.nested(spark, sf_dir)).select(
+        "conversation_id", "scenario", "difficulty", e["question"].alias("question"), e["expected_answer"].alias("expected"), F.array_join(e["relevant_texts"], "|").alias("quoted"), "reject_reason"
+    )
+
+
+@query(f"""WITH {I.NESTED}, good AS (SELECT *, lower(trim(question, ' ' || chr(10))) AS q, regexp_replace(lower(trim(quote, ' ' || chr(10))), '[ \\t\\r\\n.!?、。！？…]+$', '') AS e FROM nested WHERE NOT bad_role AND question IS NOT NULL)
+SELECT scenario, difficulty, count(*) AS n, round(avg(CAST(regexp_full_match(q, '[^?]*\\?') AS INTEGER)), 6) AS one_mark, round(avg(CAST(length(q) <= 120 AS INTEGER)), 6) AS short_question,
+  round(avg(CAST(NOT regexp_matches(q, ' and | or | as well as |[,;:/&]') AS INTEGER)), 6) AS one_fact, round(avg(CAST(length(e) BETWEEN 5 AND 140 AS INTEGER)), 6) AS fine_quotes,
+  round(avg(CAST(CASE difficulty WHEN 'easy' THEN n_turns BETWEEN 4 AND 6 ELSE n_turns BETWEEN 8 AND 10 END AS INTEGER)), 6) AS turn_count FROM good GROUP BY ALL""")
+def curation_audit(spark, sf_dir):
+    good, _ = curate.split_valid(I.nested(spark, sf_dir))
+    rates = curate.audit_rates(curate.audit(good))
+    return rates.select("scenario", "difficulty", "n", *[F.round(c, 6).alias(c) for c in ("one_mark", "short_question", "one_fact", "fine_quotes", "turn_count")])
+
+
+@query(f"WITH {I.NESTED} SELECT scenario, difficulty, count(*) AS n FROM nested GROUP BY ALL")
+def curation_counts(spark, sf_dir):
+    return curate.counts(curate.validate(I.nested(spark, sf_dir)))
