@@ -17,6 +17,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from convrecall.llm.common import checkpoint
+
 #: Length of a repeated string that is removed, and of the keys that mark anchors.
 LENGTH = 400
 KEY = 200
@@ -246,8 +248,29 @@ def anchors(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, row long, pos int, key long, around long")
 
 
-def _surroundings(docs: DataFrame, places: DataFrame, length: int, key: int) -> DataFrame:
-    """What precedes and follows the keys at ``places``: (row, at: array of pos, key, n, kinds)."""
+def marks(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
+    """(doc_id, row, settled, at): of each text with repeated keys, the anchors that counting settles and those to order.
+
+    ``settled`` are positions whose whole surroundings occur elsewhere too. ``at`` has, of each kind of surroundings
+    under a key that has several kinds and some single one, one anchor: (pos, key, n: how many are of this kind, kinds).
+    """
+    every = anchors(docs, length, key)
+    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    live = every.join(often, "key")
+    kinds = live.groupBy("key", "around").agg(
+        F.count("*").alias("n"), F.min_by("pos", "row").alias("pos_1"), F.min("row").alias("row_1")
+    )
+    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds"), (F.min("n") == 1).alias("single"))
+    known = kinds.join(mixed, "key").withColumn("order", F.expr("single and kinds > 1")).where("n > 1 or order").drop("single")
+    named = live.join(known, ["key", "around"]).withColumn("order", F.expr("order and row = row_1 and pos = pos_1")).where("n > 1 or order")
+    return named.groupBy("doc_id", "row").agg(
+        F.collect_list(F.when(F.col("n") > 1, F.col("pos"))).alias("settled"),
+        F.collect_list(F.when(F.col("order"), F.struct("pos", "key", "n", "kinds"))).alias("at"),
+    )
+
+
+def _surroundings(docs: DataFrame, found: DataFrame, length: int, key: int) -> DataFrame:
+    """What precedes and follows the keys of the anchors ``at`` of the ``marks``."""
     room = length - key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +293,7 @@ def _surroundings(docs: DataFrame, places: DataFrame, length: int, key: int) ->
                 ["doc_id", "row", "key", "pos", "open", "kinds", "before", "after"],
             )
 
-    by_doc = places.groupBy("doc_id", "row").agg(F.collect_list(F.struct("pos", "key", "n", "kinds")).alias("at"))
-    joined = docs.join(by_doc, ["doc_id", "row"]).select("doc_id", "row", "text", "at")
+    joined = docs.join(found.where("size(at) > 0").select("doc_id", "row", "at"), ["doc_id", "row"]).select("doc_id", "row", "text", "at")
     return joined.mapInArrow(
         run, "doc_id long, row long, key long, pos int, open boolean, kinds long, before binary, after binary"
     )
@@ -333,25 +355,17 @@ def _counted(pieces: DataFrame, length: int, key: int) -> DataFrame:
 def spans(docs: DataFrame, length: int = LENGTH, key: int = KEY, group: int = GROUP) -> DataFrame:
     """``(doc_id, row, lo, hi)``: bytes lo to hi of the text are covered by strings of ``length`` bytes found elsewhere.
 
-    ``docs`` has doc_id, row (a hash of doc_id and text) and text. Spans of a text may overlap.
+    ``docs`` has doc_id, row (a hash of doc_id and text) and text. Spans of a text may overlap, and may reach over its
+    end where all to the end is covered.
     """
-    room = length - key
-    every = anchors(docs, length, key)
-    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    live = every.join(often, "key")
-    kinds = live.groupBy("key", "around").agg(
-        F.count("*").alias("n"), *[F.min_by(c, "row").alias(c) for c in ("doc_id", "pos")], F.min("row").alias("row")
-    )
-    settled = live.join(kinds.where("n > 1").select("key", "around"), ["key", "around"]).select(
-        "doc_id", "row", F.greatest(F.col("pos") - room, F.lit(0)).alias("lo"), (F.col("pos") + length).alias("hi")
+    found = checkpoint(marks(docs, length, key))
+    settled = found.select("doc_id", "row", F.explode("settled").alias("pos")).select(
+        "doc_id", "row", F.greatest(F.col("pos") - (length - key), F.lit(0)).alias("lo"), (F.col("pos") + length).alias("hi")
     )
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest"))
-    places = kinds.join(mixed.where("kinds > 1 and fewest = 1").select("key", "kinds"), "key")
-    pieces = _surroundings(docs, places, length, key)
-    return (
-        settled.unionByName(_ordered(pieces.where(F.col("kinds") <= group), length, key))
-        .unionByName(_counted(pieces.where(F.col("kinds") > group), length, key))
-    )
+    part = lambda test: found.withColumn("at", F.filter("at", lambda x: test(x["kinds"])))
+    ordered = _ordered(_surroundings(docs, part(lambda k: k <= group), length, key), length, key)
+    counted = _counted(_surroundings(docs, part(lambda k: k > group), length, key), length, key)
+    return settled.unionByName(ordered).unionByName(counted)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, group: int = GROUP) -> DataFrame:
