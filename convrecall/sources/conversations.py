@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from convrecall.functions import text as T
 from convrecall.operators.curate import SCHEMA
@@ -90,7 +91,7 @@ def facts_to_json(facts: DataFrame) -> DataFrame:
     return facts.select(F.to_json(F.struct("*")).alias("json"))
 
 
-def facts_from_json(rows: DataFrame, schema: str) -> DataFrame:
+def facts_from_json(rows: DataFrame, schema: StructType | str) -> DataFrame:
     """The rows again."""
     return rows.select(F.from_json("json", schema).alias("x")).select("x.*")
 
