@@ -68,6 +68,8 @@ def mixed(
 ) -> DataFrame:
     """``docs`` with ``domain``, ``tokens``, ``epoch`` and ``budget``: the rows that the mixture takes, once an epoch.
 
+    Columns of ``docs`` that have these names are replaced.
+
     The mixture has ``share`` of all tokens, at most ``epochs`` times each document. Within its leaf a document's
     place in an epoch is its hash by seed, epoch and doc_id (ties by token count); the leaf takes from its epochs, one
     after the other, the longest prefix that fits its budget. Null texts count 0 tokens, null languages and sources are
@@ -75,26 +77,26 @@ def mixed(
     Sums are taken slice by slice of the hash, so a hot leaf is never in one task; only the slice in which a budget
     ends is ordered row by row.
     """
-    rows = docs.withColumn("domain", domain).withColumn("tokens", F.coalesce(tokens.cast("long"), F.lit(0)))
+    rows = docs.withColumns({"domain": domain, "tokens": F.coalesce(tokens.cast("long"), F.lit(0))})
     leaves = rows.groupBy(*LEVELS).agg((F.sum("tokens") * float(epochs)).alias("room"))
     total = leaves.agg(F.coalesce(F.sum("room"), F.lit(0.0)).alias("t")).first()["t"]
-    due = budgets(leaves, total / epochs * share, weights)
-    keyed = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn(
-        "place", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    )
-    keyed = keyed.withColumn("slice", F.substring("place", 1, DIGITS))
-    slices = keyed.groupBy(*LEVELS, "epoch", "slice").agg(F.sum("tokens").alias("sum"))
-    run = Window.partitionBy(*LEVELS).orderBy("epoch", "slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("before", F.coalesce(F.sum("sum").over(run), F.lit(0)))
-
-    slices = joined(slices, due, LEVELS).where("before <= budget")
+    due = budgets(leaves, total / epochs * share, weights).withColumnRenamed("budget", "mix__budget")
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    keyed = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("mix__place", place)
+    keyed = keyed.withColumn("mix__slice", F.substring("mix__place", 1, DIGITS))
+    slices = keyed.groupBy(*LEVELS, "epoch", "mix__slice").agg(F.sum("tokens").alias("mix__sum"))
+    run = Window.partitionBy(*LEVELS).orderBy("epoch", "mix__slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.withColumn("mix__before", F.coalesce(F.sum("mix__sum").over(run), F.lit(0)))
+    slices = joined(slices, due, LEVELS).where("mix__before <= mix__budget")
     # a row for each leaf, epoch and slice that is reached: their number is bounded by the tree, not by the documents
-    key = (*LEVELS, "epoch", "slice")
+    key = (*LEVELS, "epoch", "mix__slice")
     placed = joined(keyed, slices, key)
-    whole = placed.where("before + sum <= budget")
-    order = Window.partitionBy(*key).orderBy("place", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = placed.where("before + sum > budget").withColumn("upto", F.col("before") + F.sum("tokens").over(order)).where("upto <= budget").drop("upto")
-    return whole.unionByName(last).drop("before", "sum", "slice", "place")
+    whole = placed.where("mix__before + mix__sum <= mix__budget")
+    order = Window.partitionBy(*key).orderBy("mix__place", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = placed.where("mix__before + mix__sum > mix__budget")
+    last = last.withColumn("mix__upto", F.col("mix__before") + F.sum("tokens").over(order)).where("mix__upto <= mix__budget").drop("mix__upto")
+    every = whole.unionByName(last).withColumn("budget", F.col("mix__budget"))
+    return every.drop("mix__before", "mix__sum", "mix__slice", "mix__place", "mix__budget")
 
 
 #: The production mixture: half of all tokens; the crawl (src0) is one domain, all curated sources the other.
