@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -10,6 +11,7 @@ from convrecall.functions import text as T
 from convrecall.operators import coref, curate, evaluation, facts as M, graph, keyword, rerank, vectors
 from convrecall.plans import inputs as I
 from convrecall.sources import conversations as S
+from convrecall.streaming import memory as R
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -493,3 +495,37 @@ def curation_audit(spark, sf_dir):
 @query(f"WITH {I.NESTED} SELECT scenario, difficulty, count(*) AS n FROM nested GROUP BY ALL")
 def curation_counts(spark, sf_dir):
     return curate.counts(curate.validate(I.nested(spark, sf_dir)))
+
+
+# streams
+
+
+def _folder(spark):
+    own = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
+    return f"{own}/stream-{uuid.uuid4().hex}"
+
+
+def _stream(spark, sf_dir, name):
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+
+
+@query(f"""WITH {I.TURNS}, u AS (SELECT conv_id, {_norm('text')} AS text FROM turns WHERE lower(role) = 'user')
+  SELECT DISTINCT conv_id, text FROM u WHERE text <> '' AND NOT (contains(text, '?') OR regexp_matches(text, '^\\s*(what|who|whom|whose|which|where|when|why|how)\\b', 'i'))""")
+def stream_documents(spark, sf_dir):
+    """User turns from a stream of files, each text of a conversation once."""
+    return R.drain(R.stream_docs(_stream(spark, sf_dir, "conversations")).select("conv_id", "text"), "append", _folder(spark))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS conv_id, event_type AS predicate, arg_max(json_extract_string(props, '$.k'), event_id) AS object, CAST(max(event_id) AS INTEGER) AS turn_id
+FROM events GROUP BY ALL""")
+def stream_current_slots(spark, sf_dir):
+    """The current fact of every slot, kept by state from a stream of events; the order is that of event_id."""
+    facts = _stream(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("conv_id"), F.lit("<USER>").alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").alias("object"),
+        F.col("event_id").cast("int").alias("turn_id"), F.lit(0).alias("fact_idx"), F.concat(F.lit("f"), F.col("event_id").cast("string")).alias("fact_id"),
+    )
+    changes = R.drain(R.stream_slots(facts), "update", _folder(spark))
+    last = Window.partitionBy("conv_id", "predicate").orderBy(F.desc("turn_id"))
+    now = changes.where("active").withColumn("again", F.row_number().over(last)).where("again = 1")
+    return now.select("conv_id", "predicate", "object", "turn_id")

@@ -94,3 +94,14 @@ def upsert_sink(path: str, key: str, order: str):
         upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return write
+
+
+def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
+    """Run a stream over what is there now and give all rows that it put out; a batch that is replayed is written again."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch_id}")
+
+    started = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write)
+    started.start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows").drop("batch")
