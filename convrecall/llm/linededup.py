@@ -19,6 +19,8 @@ EDITS = 1
 MIN_CHARS = 10
 #: Documents (two longs each) that may be broadcast when the lines of candidate pairs are fetched; beyond, a join shuffles.
 BROADCAST_ROWS = 100_000
+#: Probes of a signature whose lines are paired; larger groups are split.
+FEW = 16
 #: Characters of the blocks that are compared before the edit distance.
 BLOCK = 16
 
@@ -49,37 +51,111 @@ def _segment(i: int, edits: int, n: str) -> tuple[str, str]:
     return f"(1 + {i - 1} * {base} + greatest(0, {i - 1} - {parts} + {longer}))", f"({base} + if({i} > {parts} - {longer}, 1, 0))"
 
 
-def signatures(edits: int) -> tuple[list[str], list[str]]:
-    """SQL of the index keys of a line (content, n), and of those probes that are not index keys as well."""
-    index, probes = [], []
+def _places(edits: int) -> list[tuple[int, int, str, str, bool]]:
+    """(segment, shorter, start, size, own) of all substrings of a line to look at, as SQL over its length n.
+
+    ``own`` ones are the line's own segments: index keys, and probes for lines of its length. The others are probes for
+    lines that are ``shorter`` by so many characters, within the multi-match-aware bounds.
+    """
+    out = []
     for i in range(1, edits + 2):
-        at, size = _segment(i, edits, "n")
-        index.append(f"xxhash64(n, {i}, substring(content, {at}, {size}))")
         for shorter in range(edits + 1):
             at, size = _segment(i, edits, f"n - {shorter}")
             left, right = i - 1, edits + 1 - i
             for off in range(max(-left, shorter - right), min(left, shorter + right) + 1):
-                if shorter or off:
-                    inside = f"{at} + {off} >= 1 and {at} + {off} + {size} <= n + 1"
-                    probes.append(f"if({inside}, xxhash64(n - {shorter}, {i}, substring(content, {at} + {off}, {size})), null)")
-    return index, probes
+                out.append((i, shorter, f"({at} + {off})", size, not shorter and not off))
+    return sorted(out, key=lambda x: not x[4])
+
+
+def _key(i: int, shorter: int, at: str, size: str) -> str:
+    return f"if({at} >= 1 and {at} + {size} <= n + 1, xxhash64(n - {shorter}, {i}, substring(content, {at}, {size})), null)"
 
 
-def candidates(lines: DataFrame, edits: int) -> DataFrame:
-    """(a, b), a < b: places of distinct lines that meet under a signature."""
-    index, probes = signatures(edits)
-    keys = [*index, *probes]
-    rows = lines.select("h1", "h2", "place", *[F.expr(x).alias(f"k{i}") for i, x in enumerate(keys)])
-    rows = rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(f"k{i}").alias(f"k{i}") for i in range(len(keys))])
+def _rest(s: str, n: str, at: str, size: str) -> str:
+    """A string without the substring that was matched."""
+    return f"concat(substring({s}, 1, {at} - 1), substring({s}, {at} + {size}, {n}))"
 
-    def under(names: range, at: str) -> DataFrame:
-        each = F.explode(F.array_distinct(F.array(*[F.col(f"k{i}") for i in names]))).alias(f"key_{at}")
-        return rows.select(F.col("place").alias(at), each).where(F.col(f"key_{at}").isNotNull())
 
-    met = under(range(len(index)), "a").join(under(range(len(keys)), "b"), F.expr("key_a = key_b and a <> b"))
+def candidates(keyed: DataFrame, lines: DataFrame, edits: int, few: int = FEW) -> DataFrame:
+    """(a, b), a < b: places of distinct lines that meet under a signature.
+
+    Lines that meet under a signature of at most ``few`` probes are paired. Larger groups are never paired: as the
+    matched part took no edit, what is left of their lines must be within the edits too, so that is cut into segments
+    again, and the groups split, until they are small or nothing but the edits is left. With one edit such last groups
+    are joined by stars; with more edits they are paired.
+    """
+    looked = _places(edits)
+    own = [k for k, x in enumerate(looked) if x[4]]
+    keys = [F.expr(_key(*x[:4])).alias(f"k{k}") for k, x in enumerate(looked)]
+    rows = lines.select("h1", "h2", "place", *keys)
+    rows = checkpoint(
+        rows.groupBy("h1", "h2").agg(F.min("place").alias("place"), *[F.first(f"k{k}").alias(f"k{k}") for k in range(len(looked))]).drop("h1", "h2")
+    )
+
+    def under(names: list[int], at: str, key: str) -> DataFrame:
+        each = F.explode(F.array_distinct(F.array(*[F.col(f"k{k}") for k in names]))).alias(key)
+        return rows.select(F.col("place").alias(at), each).where(F.col(key).isNotNull())
+
+    probes = under(list(range(len(looked))), "b", "key_b")
+    hot = checkpoint(probes.groupBy("key_b").agg(F.count("*").alias("n")).where(F.col("n") > few).select(F.col("key_b").alias("g")))
+    index = under(own, "a", "key_a").join(hot, F.col("key_a") == F.col("g"), "left_anti")
+    met = index.join(probes, F.expr("key_a = key_b and a <> b")).select("a", "b")
+    groups = probes.join(hot, F.col("key_b") == F.col("g"), "left_semi")
+    texts = _contents(keyed, groups.select(F.col("b").alias("place")).distinct()).withColumn("n", F.length("content"))
+    each = [
+        f"struct({_key(*x[:4])} as g, {role} as role, {_rest('content', 'n', x[2], x[3])} as rest, n - {x[1]} - {x[3]} as m)"
+        for x in looked for role in ((0, 1) if x[4] else (1,))
+    ]
+    level = texts.select("place", F.explode(F.expr(f"array({', '.join(each)})")).alias("x")).select("place", "x.*").join(hot, "g", "left_semi")
+    level = checkpoint(level.distinct())
+    while not level.isEmpty():
+        pairs, level = _split(level, edits, few)
+        met = met.unionByName(pairs)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _split(level: DataFrame, edits: int, few: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the small groups one level down, and the rows of the large ones.
+
+    Rows are (g, role: 0 index or 1 probe, place, rest, m: characters left of the group's index lines).
+    """
+    last = level.where(F.col("m") <= edits)
+    if edits == 1:
+        # what is left of a line is in one piece, and all else is equal: rests of one letter are within an edit of each
+        # other, so a star joins them; longer ones must share a letter with an index line's
+        close = last.where("length(rest) <= 1")
+        hub = close.groupBy("g").agg(F.min("place").alias("a"))
+        ends = close.join(hub, "g").select("a", F.col("place").alias("b"))
+        letter = F.explode(F.array_distinct(F.expr("transform(sequence(1, greatest(1, length(rest))), i -> substring(rest, i, 1))")))
+        letters = lambda rows, at: rows.select("g", F.col("place").alias(at), letter.alias("c"))
+        ends = ends.unionByName(
+            letters(last.where("role = 0"), "a").join(letters(last.where("role = 1 and length(rest) > 1"), "b"), ["g", "c"]).select("a", "b")
+        )
+    else:  # rests are in several pieces: only comparing the lines tells
+        ends = last.where("role = 0").select("g", F.col("place").alias("a")).join(
+            last.where("role = 1").select("g", F.col("place").alias("b")), "g"
+        ).select("a", "b")
+
+    each = []
+    for i in range(1, edits + 2):
+        at, size = _segment(i, edits, "m")
+        left, right = i - 1, edits + 1 - i
+        for off in range(-left, left + 1):
+            p = f"({at} + {off})"
+            bound = f"{off} >= n - m - {right} and {off} <= n - m + {right} and {p} >= 1 and {p} + {size} <= n + 1"
+            test = f"role = 0 and {off} = 0 or role = 1 and {bound}"
+            each.append(f"if({test}, struct(xxhash64(g, {i}, substring(rest, {p}, {size})) as g, {_rest('rest', 'n', p, size)} as rest, m - {size} as m), null)")
+    more = level.where(F.col("m") > edits).withColumn("n", F.length("rest"))
+    more = more.select("role", "place", F.explode(F.expr(f"array({', '.join(each)})")).alias("x")).where("x is not null")
+    more = checkpoint(more.select("x.g", "role", "place", "x.rest", "x.m").distinct())
+    sizes = more.groupBy("g").agg(F.sum("role").alias("probes"), F.sum(1 - F.col("role")).alias("index"))
+    sizes = sizes.where("probes > 0 and index > 0 and probes + index > 2")
+    small = more.join(sizes.where(F.col("probes") <= few), "g", "left_semi")
+    pairs = small.where("role = 0").select("g", F.col("place").alias("a")).join(small.where("role = 1").select("g", F.col("place").alias("b")), "g")
+    found = ends.unionByName(pairs.select("a", "b")).where("a <> b")
+    return checkpoint(found), checkpoint(more.join(sizes.where(F.col("probes") > few), "g", "left_semi"))
+
+
 def _let(value: F.Column, f) -> F.Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
@@ -180,7 +256,7 @@ def _contents(keyed: DataFrame, places: DataFrame) -> DataFrame:
 def removals(keyed: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, row, line, root): each line that is not the first of its class, and the place of the one that is."""
     lines = _lines(keyed, min_chars)
-    pairs = checkpoint(candidates(lines, edits))
+    pairs = checkpoint(candidates(keyed, lines, edits))
     places = pairs.select(F.col("a").alias("place")).unionByName(pairs.select(F.col("b").alias("place"))).distinct()
     texts = checkpoint(_contents(keyed, places))
     side = lambda c: texts.select(F.col("place").alias(c), F.col("content").alias(f"text_{c}"))
