@@ -17,8 +17,8 @@ from convrecall.llm.common import checkpoint, components
 EDITS = 1
 #: Shorter lines are structure rather than text: they are not compared and stay.
 MIN_CHARS = 10
-#: Documents (two longs each) that may be broadcast when the lines of candidate pairs are fetched; beyond, a join shuffles.
-BROADCAST_ROWS = 100_000
+#: Places of lines (two longs and an int each) that may be broadcast when lines are fetched; beyond, a join shuffles.
+BROADCAST_PLACES = 200_000
 #: Probes of a signature whose lines are paired; larger groups are split.
 FEW = 16
 #: Characters of the blocks that are compared before the edit distance.
@@ -245,7 +245,7 @@ def near(a: F.Column, b: F.Column, edits: int) -> F.Column:
 def _contents(keyed: DataFrame, places: DataFrame) -> DataFrame:
     """(place, h1, h2, content) of the lines at distinct ``place``."""
     wanted = places.groupBy("place.doc_id", "place.row").agg(F.collect_list("place.line").alias("at"))
-    if wanted.count() <= BROADCAST_ROWS:  # else the texts are shuffled
+    if places.count() <= BROADCAST_PLACES:  # else the texts are shuffled
         wanted = F.broadcast(wanted)
     rows = keyed.join(wanted, ["doc_id", "row"]).withColumn("all", F.split("text", "\n"))
     rows = rows.select("doc_id", "row", "all", F.explode("at").alias("line")).withColumn("content", F.expr("all[line]"))
