@@ -354,11 +354,14 @@ def fact_chunks(spark, sf_dir):
     return M.chunks(I.facts(spark, sf_dir)).where(F.col("meta")["type"] == "fact").select("chunk_id", "text", "conv_id", "turn_id")
 
 
-@query(f"""WITH {I.FACTS}, old AS (SELECT conv_id AS key, turn_id AS version, object FROM facts WHERE turn_id = 1), new AS (SELECT conv_id AS key, turn_id AS version, object FROM facts WHERE conv_id % 2 = 0)
-SELECT key, version, object FROM old WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT key, max(version) AS version, arg_max(object, version) AS object FROM new GROUP BY key""")
+@query(f"""WITH {I.FACTS}, rows AS (SELECT conv_id || ':' || object AS key, turn_id AS version, predicate, evidence FROM facts WHERE predicate IN ('view', 'click')),
+old AS (SELECT key, max(version) AS version, 'view' AS predicate FROM rows WHERE predicate = 'view' GROUP BY key), new AS (SELECT key, max(version) AS version, 'click' AS predicate FROM rows WHERE predicate = 'click' GROUP BY key)
+SELECT * FROM old WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT * FROM new""")
 def chunk_upsert(spark, sf_dir):
-    rows = I.facts(spark, sf_dir).select(F.col("conv_id").alias("key"), F.col("turn_id").alias("version"), "object")
-    return vectors.upsert(rows.where("version = 1"), rows.where("key % 2 = 0"), "key", "version")
+    """Clicks replace views of the same thing."""
+    rows = I.facts(spark, sf_dir).select(F.concat_ws(":", F.col("conv_id").cast("string"), "object").alias("key"), F.col("turn_id").alias("version"), "predicate")
+    views = vectors.upsert(rows.limit(0), rows.where("predicate = 'view'"), "key", "version")
+    return vectors.upsert(views, rows.where("predicate = 'click'"), "key", "version")
 
 
 @query()
