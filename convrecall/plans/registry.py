@@ -253,6 +253,31 @@ def evaluation_breakdown(spark, sf_dir):
     return _means(evaluation.breakdown(_evaluated(spark, sf_dir), "scenario", "difficulty"), "scenario", "difficulty")
 
 
+_RERANKED = f"""words AS (SELECT f.*, [x for x in string_split(lower(p.query), ' ') if x <> ''] AS a, [x for x in string_split(lower(f.text), ' ') if x <> ''] AS b FROM found f JOIN probes p USING (qid)),
+again AS (SELECT qid, text, row_number() OVER (PARTITION BY qid ORDER BY round(80 * round(score, 4) + 20 * {_jac('a', 'b')}, 9) DESC, doc) AS rank FROM words),
+both AS (SELECT 'keyword' AS system, qid, rank, text FROM found UNION ALL SELECT 'keyword reranked', qid, rank, text FROM again)"""
+
+
+@query(f"""WITH {I.CORPUS}, {I.PASSAGES}, {_bm25_sql(5)}, {_RERANKED.replace("both AS", "runs AS")}
+SELECT s.system, count(*) AS n, round(avg(hit), 6) AS hit, round(avg(rr), 6) AS mrr FROM (
+  SELECT k.system, p.qid, CAST(coalesce(bool_or(contains(lower(r.text), lower(p.query))), false) AS INTEGER) AS hit,
+    coalesce(1.0::DOUBLE / min(r.rank) FILTER (WHERE contains(lower(r.text), lower(p.query))), 0) AS rr
+  FROM probes p CROSS JOIN (SELECT unnest(['keyword', 'keyword reranked']) AS system) k LEFT JOIN runs r ON r.qid = p.qid AND r.system = k.system GROUP BY ALL
+) s GROUP BY s.system""")
+def evaluation_of_systems(spark, sf_dir):
+    """The same probes through two systems, side by side."""
+    probes = I.passages(spark, sf_dir)
+    found = keyword.bm25_retrieve(probes, I.corpus(spark, sf_dir), 5)
+    again = rerank.lexical_rerank(found.join(probes.select("qid", "query"), "qid"))
+    again = keyword.top_k(again.drop("rank", "score"), 5, "doc", score="rerank").withColumnRenamed("rerank", "score")
+    scored = None
+    for name, rows in (("keyword", found), ("keyword reranked", again)):
+        run = rerank.envelope(rows.select("qid", "rank", "score", "text", F.lit("chunk").alias("type"), F.col("doc").alias("id")), name)
+        one = evaluation.evaluate(run, probes, 5).withColumn("system", F.lit(name))
+        scored = one if scored is None else scored.unionByName(one)
+    return scored.groupBy("system").agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit"), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
 @query(f"""WITH {I.CORPUS}, {I.PASSAGES}, {_bm25_sql(1)} SELECT f.qid, contains(lower(f.text), lower(p.query)) AS contained, false AS object_equal,
 trim(regexp_replace(lower(f.text), '[^a-z0-9]+', ' ', 'g')) = trim(regexp_replace(lower(p.query), '[^a-z0-9]+', ' ', 'g')) AS squashed_equal FROM found f JOIN probes p USING (qid)""")
 def evaluation_quick_checks(spark, sf_dir):

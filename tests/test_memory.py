@@ -135,3 +135,31 @@ def test_embedding_each_text_once(spark):
     df = spark.createDataFrame([("a b",), ("a b",), ("c",), (None,)], "text string")
     got = vectors.embed_batch(df, vectors.hashing_embedder(8)).collect()
     assert len(got) == 4 and sum(r.embedding is None for r in got) == 1 and len({tuple(r.embedding) for r in got if r.embedding}) == 2
+
+
+def test_extracted_facts(spark):
+    import json
+
+    turns = spark.createDataFrame([("c", 1, "I like tea"), ("c", 2, "hm"), ("c", 3, None)], "conv_id string, turn_id int, text string")
+
+    def extractor(texts):
+        return texts.map(lambda t: json.dumps([{"subject": "I", "predicate": "likes", "object": t[7:], "source_span": t}]) if t and t.startswith("I like") else "[]")
+
+    rows = M.parse_replies_plain(M.extract_facts(turns, extractor)).collect()
+    assert [(r.turn_id, r.subject, r.object, r.confidence) for r in rows] == [(1, "I", "tea", 0.85)]
+
+
+def test_payloads_and_chunks(spark):
+    good = '[{"subject": "a", "predicate": "love", "object": "b", "confidence": "0.5", "fact_id": "f1", "note": "n"}, {"subject": "", "predicate": "p", "object": "o"}]'
+    df = spark.createDataFrame([("c", 1, good), ("c", 2, "[1]"), ("c", 3, None), ("c", 4, "{")], "conv_id string, turn_id int, payload string")
+    rows = M.coerce_payload(df).collect()
+    assert [(r.predicate, r.confidence, r.fact_id, r.meta) for r in rows] == [("likes", 0.5, "f1", {"note": "n"})]
+    chunks = spark.createDataFrame([("a", "t", [1.0, 2.0]), ("", "t", None), ("b", "t", [float("nan"), 1.0]), ("c", "t", [1.0])], "chunk_id string, text string, embedding array<double>")
+    assert [r.chunk_id for r in chunks.where(M.valid_chunk(2)).collect()] == ["a"]
+
+
+def test_the_same_rows_however_they_are_dealt(spark):
+    df = M.slot_states(M.retroactive_alias(facts_of(spark, CHAT)))
+    again = M.slot_states(M.retroactive_alias(facts_of(spark, CHAT[::-1]).repartition(8)))
+    key = lambda d: sorted(map(str, d.collect()))
+    assert key(df.select(sorted(df.columns))) == key(again.select(sorted(df.columns)))

@@ -55,6 +55,14 @@ def test_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 2
 
 
+def test_reset(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "id long, name string")
+    df.write.parquet(str(tmp_path / "t"))
+    S.reset(df, str(tmp_path / "t"))
+    left = spark.read.parquet(str(tmp_path / "t"))
+    assert left.count() == 0 and left.columns == ["id", "name"]
+
+
 def run(stream, mode):
     name = f"t{abs(hash(stream)) % 10**9}"
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
