@@ -209,7 +209,7 @@ def banded_distance(a: F.Column, b: F.Column, edits: int) -> F.Column:
 
     start = F.struct(bits(full ^ ((1 << (31 - edits)) - 1)).alias("vp"), bits(0).alias("vn"), F.lit(edits).alias("d"))
     run = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["d"])
-    return F.when(m - n > edits, edits + 1).when(m <= edits, m if edits == 0 else F.least(m, F.lit(edits))).when(n == 0, m).otherwise(
+    return F.when(m - n > edits, edits + 1).when(m <= edits, m).when(n == 0, m).otherwise(
         F.least(run, F.lit(edits + 1))
     )
 
