@@ -17,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Entries of a task's table of encoded pre-tokens; when it is full it starts anew.
-CACHE = 300_000
+CACHE = 150_000
+#: Rows that are encoded or decoded before they are handed on.
+ROWS = 512
 
 
 def byte_chars() -> list[str]:
@@ -126,7 +128,7 @@ def _apply(df: DataFrame, column: str, out: str, model: bytes, pattern: str, enc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(shared.value, pattern)
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             if encode:
                 made = [codec.encode(x.as_py() or "") for x in batch.column(at)]
             else:

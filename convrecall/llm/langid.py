@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Trigrams are hashed to so many counters for each language.
@@ -26,7 +27,9 @@ SWITCH = 12.0
 #: A language may be in a script that holds this share of its training letters.
 SHARE = 0.01
 #: Words of a task's table; when it is full it starts anew.
-CACHE = 300_000
+CACHE = 150_000
+#: Characters of the texts that advance together, longest first; a longer text advances alone.
+TOGETHER = 3_000_000
 
 # First code points of Unicode script ranges; what is in none of the named scripts is "other".
 SCRIPTS = [
@@ -214,6 +217,18 @@ def detect(
             if b <= len(at)
         ]
 
+    def together(texts: pa.Array) -> Iterator[list[int]]:
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+        part, size = [], 0
+        for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
+            if part and size + sizes[i] > TOGETHER:
+                yield part
+                part, size = [], 0
+            part.append(i)
+            size += sizes[i]
+        if part:
+            yield part
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         own = _labeller(model) if model.languages else None
@@ -223,16 +238,18 @@ def detect(
             if own is None:
                 langs, scores, found = ["und"] * batch.num_rows, [0.0] * batch.num_rows, [[]] * batch.num_rows
             else:
-                if len(own.known) > CACHE:
-                    own._start()
-                ids = [own.ids(WORDS.findall(x.as_py().lower())) if x.is_valid else [] for x in batch.column(len(keep))]
-                for i, (words, labels) in enumerate(zip(ids, own.viterbi(ids, switch))):
-                    share = np.bincount(labels, own.letters[words], own.n) if words else np.zeros(own.n)
-                    total = share.sum()
-                    langs.append(model.languages[int(share.argmax())] if total else "und")
-                    scores.append(float(share.max() / total) if total else 0.0)
-                    if spans:
-                        found.append(runs(texts[i], labels, model.languages) if total else [])
+                langs, scores, found = [""] * batch.num_rows, [0.0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
+                for part in together(batch.column(len(keep))):
+                    if len(own.known) > CACHE:
+                        own._start()
+                    ids = [own.ids(WORDS.findall((batch.column(len(keep))[i].as_py() or "").lower())) for i in part]
+                    for i, words, labels in zip(part, ids, own.viterbi(ids, switch)):
+                        share = np.bincount(labels, own.letters[words], own.n) if words else np.zeros(own.n)
+                        total = share.sum()
+                        langs[i] = model.languages[int(share.argmax())] if total else "und"
+                        scores[i] = float(share.max() / total) if total else 0.0
+                        if spans and total:
+                            found[i] = runs(texts[i], labels, model.languages)
             made = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
             names = [*keep, "lang_pred", "score"]
             if spans:
