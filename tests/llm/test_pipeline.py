@@ -1,5 +1,6 @@
 """The corpus pipeline: each stage on its own input, and all of them against a brute-force version."""
 
+import random
 from collections import Counter
 
 import duckdb
@@ -58,3 +59,28 @@ def test_run_by_loop(spark, docs):
     texts = dict(zip(fourth["doc_id"], fourth["text"]))
     for r in got.itertuples():
         assert np.frombuffer(r.ids, "<u4").tolist() == other.encode_ordinary(texts[r.doc_id])
+
+
+def test_near_duplicates_beyond_simhash(spark):
+    """Copies with Jaccard of 0.8 and more whose fingerprints are more than four bits apart are one; farther ones stay."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(4))
+    texts = [(1, None), (2, ""), (3, "one two"), (4, "ONE  two"), (5, "one three")]
+    for g in range(8):
+        base = [word() for _ in range(120)]
+        for n in range(40 if g == 0 else 5):  # a group larger than FEW
+            copy = list(base)
+            for p in rnd.sample(range(120), n % 5):
+                copy[p] = word()
+            texts.append((100 + 50 * g + n, " ".join(copy)))
+    runs = lambda t: {tuple(w[i : i + 5]) for w in [(t or "").lower().split()] for i in range(max(1, len(w) - 4)) if w}
+    sets = [runs(t) for _, t in texts]
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    fps = [slow_fingerprint(t) for _, t in texts]
+    assert any((fps[a] ^ fps[b]).bit_count() > 4 for a, b in near)
+    least = {}
+    for k, root in enumerate(roots(len(texts), near)):
+        least[root] = min(least.get(root, 10**9), texts[k][0])
+    rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts] + [(None, "one two", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, rows, SF)
+    assert Counter(r.doc_id for r in got.collect()) == Counter([*least.values(), None])
