@@ -74,16 +74,16 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``(text, lang)`` of ``docs``.
 
-    Rows with a null text or lang teach nothing. Of each language about ``sample`` rows are taken, by a hash of the
-    text, so repeated texts are taken or left together. Counts are summed by Spark; what reaches the driver is one
-    number for each language and bucket.
+    Rows with a null text or lang teach nothing. Of each language about ``sample`` distinct texts are taken, by a hash
+    of the text, and always that of the least hash; each teaches once, however often it is repeated. Counts are summed
+    by Spark; what reaches the driver is one number for each language and bucket.
     """
-    rows = docs.select("text", "lang").where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    rows = docs.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("at")).where("text is not null and lang is not null")
+    kinds = rows.select("lang", "at").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("least")).collect()
+    if not kinds:
         return Model((), b"", ())
-    keep = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample / n))])
-    rows = rows.where((F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)) < keep[F.col("lang")])
+    most = F.create_map(*[F.lit(x) for r in kinds for x in (r["lang"], max(r["least"] + 1, int(min(1.0, sample / r["n"]) * (1 << 40))))])
+    rows = rows.where(F.col("at") < most[F.col("lang")]).dropDuplicates(["lang", "at"]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}

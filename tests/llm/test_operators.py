@@ -365,3 +365,12 @@ def test_orders():
     strings = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(3))) + rnd.choice([b"", b"c" * 60]) + bytes(rnd.choice(b"ab") for _ in range(5)) for _ in range(400)]
     for order in (suffix.deep_shallow_order(strings), suffix.blind_order(strings, list(range(400)))):
         assert sorted(order) == list(range(400)) and [strings[i] for i in order] == sorted(strings)
+
+
+def test_languages_of_few_hot_texts(spark):
+    """A language of few texts is learned whatever their hashes, and copies teach once."""
+    rows = [(f"wort{c} satz{c} und", f"l{c}") for c in "abcdefghijkl" for _ in range(400)]
+    df = lambda r: spark.createDataFrame(r, "text string, lang string")
+    many, once = langid.train(df(rows), sample=1), langid.train(df(sorted(set(rows))), sample=1)
+    assert many.languages == tuple(f"l{c}" for c in "abcdefghijkl")
+    assert many == once
