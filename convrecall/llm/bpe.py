@@ -9,17 +9,18 @@ from __future__ import annotations
 
 import base64
 import struct
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Entries of a task's table of encoded pre-tokens; when it is full it starts anew.
-CACHE = 150_000
-#: Rows that are encoded or decoded before they are handed on.
-ROWS = 512
+#: Entries of a task's table of encoded pre-tokens; when it is full it starts anew. Longer pre-tokens are not entered.
+CACHE = 100_000
+LONG = 64
+#: Bytes of text that are encoded and decoded before they are handed on; a longer text goes by itself.
+TOGETHER = 1 << 20
 
 
 def byte_chars() -> list[str]:
@@ -88,21 +89,22 @@ class Codec:
         self.whole = {t: struct.pack("<I", i) for i, t in enumerate(self.tokens)}
         self.known: dict[str, bytes] = {}
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        hard = []
+    def _found(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of the words that are not in the table; short ones are entered."""
+        found, hard = {}, []
         for w in words:
-            if w in self.known:
-                continue
             ids = self.whole.get(w.encode())  # a pre-token that is itself a token is not merged
             if ids is None:
                 hard.append(w)
             else:
-                self.known[w] = ids
+                found[w] = ids
         mapped = [w.encode().decode("latin-1").translate(self.chars) for w in hard]
         for w, ids in zip(hard, self.processor.encode(mapped, out_type=int, num_threads=1) if hard else ()):
-            self.known[w] = np.array(ids, dtype="<u4").tobytes()
+            found[w] = np.array(ids, dtype="<u4").tobytes()
+        if len(self.known) + len(found) > CACHE:
+            self.known.clear()
+        self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONG)
+        return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -110,38 +112,47 @@ class Codec:
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+            kinds = set(words)
+            own = {w: self.known[w] for w in kinds if w in self.known}
+            own.update(self._found(kinds - own.keys()))
+            return b"".join(map(own.__getitem__, words))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def _codec(model: bytes, pattern: str) -> Codec:
-    return Codec(model, pattern)
+def _parts(column: pa.Array) -> Iterator[pa.Array]:
+    """The column in pieces of about TOGETHER bytes, in order."""
+    begin, size = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        if i > begin and size + n > TOGETHER:
+            yield column.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < len(column):
+        yield column.slice(begin)
 
 
-def _apply(df: DataFrame, column: str, out: str, model: bytes, pattern: str, encode: bool) -> DataFrame:
+def _apply(df: DataFrame, column: str, out: list[str], model: bytes, pattern: str, step: Callable[[Codec, object], list[bytes]]) -> DataFrame:
+    """``df`` with the columns ``out``, which ``step`` makes of a value, in the place of ``column``."""
     shared = df.sparkSession.sparkContext.broadcast(model)  # the vocabulary alone: its size doesn't grow with the data
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
-        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
-            if encode:
-                made = [codec.encode(x.as_py() or "") for x in batch.column(at)]
-            else:
-                made = [codec.decode(x.as_py() or b"") for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*(c for i, c in enumerate(batch.columns) if i != at), pa.array(made, pa.binary())],
-                [*(n for i, n in enumerate(batch.schema.names) if i != at), out],
-            )
-
-    from pyspark.sql import types as T
+        codec = Codec(shared.value, pattern)  # a task's own: a worker that waits for another task holds none
+        for batch in batches:
+            begin = 0
+            for part in _parts(batch.column(at)):
+                made = [step(codec, x.as_py()) for x in part]
+                own = batch.slice(begin, len(part))
+                begin += len(part)
+                yield pa.RecordBatch.from_arrays(
+                    [*(c for i, c in enumerate(own.columns) if i != at), *(pa.array([m[k] for m in made], pa.binary()) for k in range(len(out)))],
+                    [*(n for i, n in enumerate(batch.schema.names) if i != at), *out],
+                )
 
     rest = [f for f in df.schema.fields if f.name != column]
-    return df.mapInArrow(run, T.StructType([*rest, T.StructField(out, T.BinaryType())]))
+    return df.mapInArrow(run, T.StructType([*rest, *(T.StructField(c, T.BinaryType()) for c in out)]))
 
 
 def load(path: str) -> bytes:
@@ -156,18 +167,27 @@ def encode(df: DataFrame, model: bytes, pattern: str, text: str = "text", ids: s
     Null text counts as empty and gives no ids. Nothing is shuffled; every row stays where it is, repeats included.
     Strings that look like special tokens are ordinary text.
     """
-    return _apply(df, text, ids, model, pattern, True)
+    return _apply(df, text, [ids], model, pattern, lambda codec, x: [codec.encode(x or "")])
 
 
 def decode(df: DataFrame, model: bytes, pattern: str, ids: str = "ids", raw: str = "decoded") -> DataFrame:
     """Replace the column ``ids`` by the binary column ``raw``, the bytes that the ids stand for. Null gives none."""
-    return _apply(df, ids, raw, model, pattern, False)
+    return _apply(df, ids, [raw], model, pattern, lambda codec, x: [codec.decode(x or b"")])
+
+
+def encode_and_decode(df: DataFrame, model: bytes, pattern: str, text: str = "text", ids: str = "ids", raw: str = "decoded") -> DataFrame:
+    """``encode`` with, beside the ids, the bytes ``raw`` that they decode to: one pass, one codec for each task."""
+
+    def both(codec: Codec, x: str | None) -> list[bytes]:
+        made = codec.encode(x or "")
+        return [made, codec.decode(made)]
+
+    return _apply(df, text, [ids, raw], model, pattern, both)
 
 
 def round_trip(docs: DataFrame, model: bytes, pattern: str) -> DataFrame:
     """``(doc_id, ids, decoded)`` of every row of ``docs``."""
-    ids = encode(docs.select("doc_id", "text"), model, pattern)
-    return decode(ids.withColumn("again", F.col("ids")), model, pattern, "again")
+    return encode_and_decode(docs.select("doc_id", "text"), model, pattern)
 
 
 def op7_byte_bpe(spark, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
