@@ -11,7 +11,6 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 BUCKETS = 1 << 15
 #: At most about so many labelled rows of each language are learned from (documented bound of the training sample).
 SAMPLE = 5_000
+#: Languages that are learned at most: those of most distinct texts (documented bound of the model).
+LANGUAGES = 256
 #: What a switch of language costs, in nats.
 SWITCH = 12.0
 #: A language may be in a script that holds this share of its training letters.
@@ -48,7 +49,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 
 def script(word: str) -> int:
     """Index in NAMES of the script that most letters of a word are in."""
-    found = [SCRIPTS[bisect_right(_STARTS, ord(c)) - 1][1] for c in set(word) if c.isalpha()]
+    found = [SCRIPTS[bisect_right(_STARTS, ord(c)) - 1][1] for c in word if c.isalpha()]
     return NAMES.index(max(sorted(set(found)), key=found.count)) if found else -1
 
 
@@ -74,12 +75,14 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn from ``(text, lang)`` of ``docs``.
 
-    Rows with a null text or lang teach nothing. Of each language about ``sample`` distinct texts are taken, by a hash
+    Rows with a null text or lang teach nothing. The LANGUAGES labels of most distinct texts are learned (ties by name);
+    rarer ones teach nothing, and only the labels that are learned reach the driver. Of each language about ``sample`` distinct texts are taken, by a hash
     of the text, and always that of the least hash; each teaches once, however often it is repeated. Counts are summed
     by Spark; what reaches the driver is one number for each language and bucket.
     """
     rows = docs.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("at")).where("text is not null and lang is not null")
-    kinds = rows.select("lang", "at").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("least")).collect()
+    kinds = rows.select("lang", "at").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("least"))
+    kinds = kinds.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not kinds:
         return Model((), b"", ())
     most = F.create_map(*[F.lit(x) for r in kinds for x in (r["lang"], max(r["least"] + 1, int(min(1.0, sample / r["n"]) * (1 << 40))))])
@@ -185,28 +188,27 @@ class Labeller:
         return out
 
 
-@lru_cache(maxsize=2)
-def _labeller(model: Model) -> Labeller:
-    return Labeller(model)
-
-
 def detect(
-    docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = False, keep: tuple[str, ...] = ("doc_id",)
-) -> DataFrame:
+    docs: DataFrame, model: Model, switch: float = SWITCH, spans: bool = False, keep: tuple[str, ...] = ("doc_id",),
+    names: tuple[str, str] = ("lang_pred", "score"),
+) -> DataFrame:
     """The columns ``keep``, ``lang_pred`` and ``score`` of every row of ``docs`` and, on demand, ``spans``.
 
     ``lang_pred`` is the language of most letters, ``score`` its share of them; ties go to the language that sorts
     first. A null text, or one without any letter, is ``und`` with score 0, and so is everything when nothing could
     be learned. ``spans`` are ``(lang, start, stop)`` in code points of the text, from the first to the last word of
-    each run. Repeated rows are judged alike; only ``text`` is looked at, what is kept is passed on.
+    each run. Repeated rows are judged alike; only ``text`` is looked at, what is kept is passed on. The two columns may
+    have other ``names``; kept columns that have the name of a new one are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets for each language
-    kept = docs.select(*keep, F.col("text").alias("text__read"))
-    added = "lang_pred string, score double"
+    new = [*names, "spans"] if spans else list(names)
+    keep = tuple(c for c in keep if c not in new)
+    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, "text")  # texts go to Python once
+    read = kept.columns.index("text")
+    out = [i for i, c in enumerate(kept.columns) if c in keep]
     kind = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
-    if spans:
-        added += ", spans array<struct<lang: string, start: int, stop: int>>"
-    schema = T.StructType([*kept.schema.fields[:-1], *T._parse_datatype_string(added).fields])
+    types = [T.StringType(), T.DoubleType(), T._parse_datatype_string("array<struct<lang: string, start: int, stop: int>>")]
+    schema = T.StructType([*(kept.schema.fields[i] for i in out), *map(T.StructField, new, types)])
 
     def runs(text: str, labels: np.ndarray, names: tuple[str, ...]) -> list[dict]:
         at = [m.span() for m in WORDS.finditer(text.lower() if len(text.lower()) == len(text) else text)]
@@ -231,31 +233,25 @@ def detect(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        own = _labeller(model) if model.languages else None
+        own = Labeller(model) if model.languages else None  # a task's own: a worker that waits for another task holds none
         for batch in batches:
-            texts = [x.as_py() or "" for x in batch.column(len(keep))] if spans else None
-            langs, scores, found = [], [], []
-            if own is None:
-                langs, scores, found = ["und"] * batch.num_rows, [0.0] * batch.num_rows, [[]] * batch.num_rows
-            else:
-                langs, scores, found = [""] * batch.num_rows, [0.0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
-                for part in together(batch.column(len(keep))):
-                    if len(own.known) > CACHE:
-                        own._start()
-                    ids = [own.ids(WORDS.findall((batch.column(len(keep))[i].as_py() or "").lower())) for i in part]
-                    for i, words, labels in zip(part, ids, own.viterbi(ids, switch)):
-                        share = np.bincount(labels, own.letters[words], own.n) if words else np.zeros(own.n)
-                        total = share.sum()
-                        langs[i] = model.languages[int(share.argmax())] if total else "und"
-                        scores[i] = float(share.max() / total) if total else 0.0
-                        if spans and total:
-                            found[i] = runs(texts[i], labels, model.languages)
-            made = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            names = [*keep, "lang_pred", "score"]
-            if spans:
-                made, names = [*made, pa.array(found, kind)], [*names, "spans"]
-            yield pa.RecordBatch.from_arrays(made, names)
-
+            texts = batch.column(read)
+            langs, scores, found = ["und"] * batch.num_rows, [0.0] * batch.num_rows, [[] for _ in range(batch.num_rows)]
+            for part in together(texts) if own else ():
+                if len(own.known) > CACHE:
+                    own._start()
+                ids = [own.ids(WORDS.findall((texts[i].as_py() or "").lower())) for i in part]
+                for i, words, labels in zip(part, ids, own.viterbi(ids, switch)):
+                    share = np.bincount(labels, own.letters[words], own.n) if words else np.zeros(own.n)
+                    total = share.sum()
+                    if total:
+                        langs[i], scores[i] = model.languages[int(share.argmax())], float(share.max() / total)
+                        if spans:
+                            found[i] = runs(texts[i].as_py(), labels, model.languages)
+            made = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *([pa.array(found, kind)] if spans else [])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in out), *made], [*(kept_names[i] for i in out), *new])
+
+    kept_names = kept.columns
     return kept.mapInArrow(run, schema)
 
 
