@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from convrecall.llm.common import checkpoint
+
 LEVELS = ("domain", "lang", "source")
 #: Hex digits of the shuffle key that number a leaf's slices: 16^3 of them, whatever the leaf's size.
 DIGITS = 3
+#: Leaves (three names and four numbers each) that may be broadcast to the documents; beyond, a join shuffles.
+BROADCAST_LEAVES = 50_000
 
 
 def joined(a: DataFrame, b: DataFrame, columns: tuple[str, ...] | list[str]) -> DataFrame:
@@ -64,39 +68,43 @@ def budgets(leaves: DataFrame, total: float, weights: dict[str, dict[str | None,
 
 def mixed(
     docs: DataFrame, domain: F.Column, tokens: F.Column, share: float, weights: dict[str, dict[str | None, float]],
-    epochs: int = 1, seed: int = 0,
+    epochs: int = 1, seed: int = 0, text: str = "text",
 ) -> DataFrame:
     """``docs`` with ``domain``, ``tokens``, ``epoch`` and ``budget``: the rows that the mixture takes, once an epoch.
 
     Columns of ``docs`` that have these names are replaced.
 
     The mixture has ``share`` of all tokens, at most ``epochs`` times each document. Within its leaf a document's
-    place in an epoch is its hash by seed, epoch and doc_id (ties by token count); the leaf takes from its epochs, one
-    after the other, the longest prefix that fits its budget. Null texts count 0 tokens, null languages and sources are
-    branches of their own, a null doc_id is hashed like an empty one. Repeated rows are documents of their own.
-    Sums are taken slice by slice of the hash, so a hot leaf is never in one task; only the slice in which a budget
-    ends is ordered row by row.
+    place in an epoch is its hash by seed, epoch and doc_id (ties by token count, then by a hash of the text); the leaf
+    takes from its epochs, one after the other, the longest prefix that fits its budget. Null texts count 0 tokens,
+    null languages and sources are branches of their own, a null doc_id is hashed by its text. Repeated rows are
+    documents of their own. Sums are taken slice by slice of the hash, so a hot leaf is never in one task; only the
+    slice in which a budget ends is ordered row by row. What a leaf takes is said by that slice, so the documents
+    meet a table of leaves and are not shuffled.
     """
     rows = docs.withColumns({"domain": domain, "tokens": F.coalesce(tokens.cast("long"), F.lit(0))})
     leaves = rows.groupBy(*LEVELS).agg((F.sum("tokens") * float(epochs)).alias("room"))
     total = leaves.agg(F.coalesce(F.sum("room"), F.lit(0.0)).alias("t")).first()["t"]
     due = budgets(leaves, total / epochs * share, weights).withColumnRenamed("budget", "mix__budget")
-    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    named = F.coalesce(F.col("doc_id").cast("string"), F.md5(text), F.lit(""))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), named))
     keyed = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("mix__place", place)
     keyed = keyed.withColumn("mix__slice", F.substring("mix__place", 1, DIGITS))
     slices = keyed.groupBy(*LEVELS, "epoch", "mix__slice").agg(F.sum("tokens").alias("mix__sum"))
     run = Window.partitionBy(*LEVELS).orderBy("epoch", "mix__slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.withColumn("mix__before", F.coalesce(F.sum("mix__sum").over(run), F.lit(0)))
-    slices = joined(slices, due, LEVELS).where("mix__before <= mix__budget")
-    # a row for each leaf, epoch and slice that is reached: their number is bounded by the tree, not by the documents
-    key = (*LEVELS, "epoch", "mix__slice")
-    placed = joined(keyed, slices, key)
-    whole = placed.where("mix__before + mix__sum <= mix__budget")
-    order = Window.partitionBy(*key).orderBy("mix__place", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = placed.where("mix__before + mix__sum > mix__budget")
-    last = last.withColumn("mix__upto", F.col("mix__before") + F.sum("tokens").over(order)).where("mix__upto <= mix__budget").drop("mix__upto")
+    slices = joined(slices.withColumn("mix__before", F.coalesce(F.sum("mix__sum").over(run), F.lit(0))), due, LEVELS)
+    over = F.when(F.col("mix__before") + F.col("mix__sum") > F.col("mix__budget"), F.struct("epoch", "mix__slice", "mix__before"))
+    # of each leaf the slice in which its budget ends; null where it never does
+    ends = checkpoint(slices.groupBy(*LEVELS, "mix__budget").agg(F.min(over).alias("mix__end")))
+    small = F.broadcast if ends.count() <= BROADCAST_LEAVES else lambda df: df
+    placed = joined(keyed, small(ends), LEVELS)
+    here, end = F.struct("epoch", "mix__slice"), F.struct("mix__end.epoch", "mix__end.mix__slice")
+    whole = placed.where(F.col("mix__end").isNull() | (here < end))
+    order = Window.partitionBy(*LEVELS).orderBy("mix__place", "tokens", F.md5(text)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = placed.where(F.col("mix__end").isNotNull() & (here == end))
+    last = last.withColumn("mix__upto", F.col("mix__end.mix__before") + F.sum("tokens").over(order)).where("mix__upto <= mix__budget").drop("mix__upto")
     every = whole.unionByName(last).withColumn("budget", F.col("mix__budget"))
-    return every.drop("mix__before", "mix__sum", "mix__slice", "mix__place", "mix__budget")
+    return every.drop("mix__end", "mix__slice", "mix__place", "mix__budget")
 
 
 #: The production mixture: half of all tokens; the crawl (src0) is one domain, all curated sources the other.
@@ -115,8 +123,8 @@ def tokens_of() -> F.Column:
 
 def op3_mixture(spark, sf_dir: str) -> DataFrame:
     """The documents of the production mixture, at most twice each."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", tokens_of().alias("n"))
-    made = mixed(docs, domain_of(), F.col("n"), SHARE, WEIGHTS, epochs=2)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "text")
+    made = mixed(docs, domain_of(), tokens_of(), SHARE, WEIGHTS, epochs=2)
     return made.select("doc_id", "domain", "lang", "source", F.col("epoch").cast("int").alias("epoch"), "tokens", "budget")
 
 
@@ -152,7 +160,7 @@ b0 AS (SELECT sum(room) / {epochs} * {share} AS given FROM leaves),{"".join(map(
 placed AS (
   SELECT r.*, e.epoch, b.budget,
     sum(r.tokens) OVER (PARTITION BY r.domain, r.lang, r.source ORDER BY e.epoch,
-      md5('0:' || e.epoch || ':' || coalesce(CAST(r.doc_id AS VARCHAR), '')), r.tokens ROWS UNBOUNDED PRECEDING) AS upto
+      md5('0:' || e.epoch || ':' || coalesce(CAST(r.doc_id AS VARCHAR), md5(r.text), '')), r.tokens, md5(r.text) ROWS UNBOUNDED PRECEDING) AS upto
   FROM rows r CROSS JOIN (SELECT CAST(unnest(range(1, {epochs + 1})) AS INTEGER) AS epoch) e
   JOIN (SELECT domain, lang, source, CAST(floor(given + 1e-6) AS BIGINT) AS budget FROM b3) b ON {leaf}
 )
