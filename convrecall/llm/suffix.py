@@ -14,10 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from convrecall.llm.common import checkpoint
+from convrecall.llm.common import checkpoint, discard, stored
 
 #: Length of a repeated string that is removed, and of the keys that mark anchors.
 LENGTH = 400
@@ -27,7 +28,7 @@ CHUNK = 1 << 19
 #: Multikey quicksort goes so deep, by words of so many bytes; blind tries do the rest.
 SHALLOW = 32
 WORD = 8
-#: Kinds of surroundings of one key that one task orders. Of keys with more, each window is hashed and counted.
+#: Kinds of surroundings that a task orders at a time. Those of a key with more are dealt out by what they have in common.
 GROUP = 50_000
 
 _BASE = 0x9E3779B97F4A7C15
@@ -252,55 +253,65 @@ def marks(docs: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
     """(doc_id, row, settled, at): of each text with repeated keys, the anchors that counting settles and those to order.
 
     ``settled`` are positions whose whole surroundings occur elsewhere too. ``at`` has, of each kind of surroundings
-    under a key that has several kinds and some single one, one anchor: (pos, key, n: how many are of this kind, kinds).
+    under a key that has several kinds and some single one, one anchor: (pos, open: it is the only one, kinds). Rows
+    alike in doc_id and text have one result. Kinds are counted where they are before they are shuffled, and no step
+    needs all anchors of a key in one task.
     """
-    every = anchors(docs, length, key)
-    often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    live = every.join(often, "key")
-    kinds = live.groupBy("key", "around").agg(
-        F.count("*").alias("n"), F.min_by("pos", "row").alias("pos_1"), F.min("row").alias("row_1")
-    )
-    mixed = kinds.groupBy("key").agg(F.count("*").alias("kinds"), (F.min("n") == 1).alias("single"))
-    known = kinds.join(mixed, "key").withColumn("order", F.expr("single and kinds > 1")).where("n > 1 or order").drop("single")
-    named = live.join(known, ["key", "around"]).withColumn("order", F.expr("order and row = row_1 and pos = pos_1")).where("n > 1 or order")
+    every = stored(anchors(docs, length, key))
+    # a table of its own: what joins two shuffles and nothing else can be split where a key is hot
+    often = stored(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    live = stored(every.join(often, "key"))
+    discard(every)
+    discard(often)
+    # as a struct, for a grouping by key and around would keep a join's partitions by key, hot ones and all
+    live = live.select("doc_id", "row", "pos", F.struct("key", "around").alias("kind"), F.xxhash64("doc_id", "row", "pos").alias("place"))
+    kinds = live.groupBy("kind").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    mixed = kinds.groupBy(F.col("kind.key").alias("key")).agg(F.count("*").alias("kinds"), (F.min("n") == 1).alias("single"))
+    known = kinds.withColumn("key", F.col("kind.key")).join(mixed, "key")
+    known = known.select("kind", "n", "kinds", F.when(F.expr("single and kinds > 1"), F.col("first")).alias("first")).where("n > 1 or first is not null")
+    named = live.join(known, "kind").withColumn("order", F.col("place").eqNullSafe(F.col("first"))).where("n > 1 or order")
     return named.groupBy("doc_id", "row").agg(
-        F.collect_list(F.when(F.col("n") > 1, F.col("pos"))).alias("settled"),
-        F.collect_list(F.when(F.col("order"), F.struct("pos", "key", "n", "kinds"))).alias("at"),
+        F.collect_set(F.when(F.col("n") > 1, F.col("pos"))).alias("settled"),
+        F.collect_set(F.when(F.col("order"), F.struct("pos", (F.col("n") == 1).alias("open"), "kinds"))).alias("at"),
     )
 
 
 def _surroundings(docs: DataFrame, found: DataFrame, length: int, key: int) -> DataFrame:
-    """What precedes and follows the keys of the anchors ``at`` of the ``marks``."""
+    """Pieces: what precedes and follows the keys of the anchors ``at`` of the ``marks``, under 128 bits of the key's hash."""
     room = length - key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            texts = _texts(batch.column(2))
             which, rows = [], []
             for i, places in enumerate(batch.column(3).to_pylist()):
-                b = texts[i]
+                own = (batch.column(0)[i].as_py(), batch.column(1)[i].as_py())
+                if own == last:  # rows alike follow each other after the join
+                    continue
+                last, b = own, batch.column(2)[i].cast(pa.binary()).as_py()
                 for x in places:
                     a = x["pos"]
-                    rows.append((x["key"], a, x["n"] == 1, x["kinds"], b[max(0, a - room) : a][::-1], b[a + key : a + length]))
+                    group = xxhash.xxh3_128_digest(b[a : a + key])
+                    rows.append((group, a, x["open"], x["kinds"], b[max(0, a - room) : a][::-1], b[a + key : a + length]))
                 which += [i] * len(places)
             cols = list(zip(*rows)) or [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
+            kinds = (pa.binary(), pa.int32(), pa.bool_(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i).take(pa.array(which, pa.int64())) for i in (0, 1)),
                     *(pa.array(c, k) for c, k in zip(cols, kinds)),
                 ],
-                ["doc_id", "row", "key", "pos", "open", "kinds", "before", "after"],
+                ["doc_id", "row", "group", "pos", "open", "kinds", "before", "after"],
             )
 
     joined = docs.join(found.where("size(at) > 0").select("doc_id", "row", "at"), ["doc_id", "row"]).select("doc_id", "row", "text", "at")
     return joined.mapInArrow(
-        run, "doc_id long, row long, key long, pos int, open boolean, kinds long, before binary, after binary"
+        run, "doc_id long, row long, group binary, pos int, open boolean, kinds long, before binary, after binary"
     )
 
 
 def _ordered(pieces: DataFrame, length: int, key: int) -> DataFrame:
-    """Spans ``(doc_id, row, lo, hi)`` found by ordering the pieces of each key; a task streams its keys one by one."""
+    """Spans ``(doc_id, row, lo, hi)`` found by ordering the pieces of each group; a task streams its groups one by one."""
     room = length - key
 
     def solve(group: list[tuple]) -> Iterator[tuple]:
@@ -328,28 +339,41 @@ def _ordered(pieces: DataFrame, length: int, key: int) -> DataFrame:
             yield out(made)
         yield out(list(solve(group)))
 
-    rows = pieces.select("key", "doc_id", "row", "pos", "open", "before", "after")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "doc_id long, row long, lo int, hi int")
+    rows = pieces.select("group", "doc_id", "row", "pos", "open", "before", "after")
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(run, "doc_id long, row long, lo int, hi int")
+
 
+def _dealt(pieces: DataFrame, length: int, key: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Groups of at most ``most`` pieces, and spans, of the pieces of groups with more.
 
-def _counted(pieces: DataFrame, length: int, key: int) -> DataFrame:
-    """Spans of keys with too many kinds of surroundings for one task: each of their windows is hashed and counted."""
+    Two pieces share a window if the bytes they have in common before and after the key come to ``room``. Of what is
+    still wanting beyond the ``p`` and ``q`` bytes that a group has in common before and after, they then share one half
+    before or the other after. So a group is dealt out by the bytes of that half on either side, again and again, until
+    groups are small, or have a window in common.
+    """
     room = length - key
-    windows = (
-        pieces.withColumn("d", F.explode(F.expr(f"sequence(0, {room})")))
-        .where(f"d <= octet_length(before) and {room} - d <= octet_length(after)")
-        .withColumn("x", F.expr("substring(before, 1, d)"))
-        .withColumn("y", F.expr(f"substring(after, 1, {room} - d)"))
-        .select(
-            "doc_id", "row", "pos", "open", "d", "key",
-            F.xxhash64("d", "x", "y").alias("w1"), F.xxhash64("y", "d", "x").alias("w2"),
-        )
-    )
-    often = windows.groupBy("key", "w1", "w2").agg(F.count("*").alias("often")).where("often > 1")
-    return (
-        windows.where("open").join(often, ["key", "w1", "w2"])
-        .select("doc_id", "row", (F.col("pos") - F.col("d")).alias("lo"), (F.col("pos") - F.col("d") + length).alias("hi"))
-    )
+    wanting = F.lit(room) - F.col("p") - F.col("q")
+    ahead = F.ceil(wanting / 2).cast("int")
+    rest = (wanting + 1 - ahead).cast("int")
+    level = pieces.drop("kinds").withColumns({"p": F.lit(0), "q": F.lit(0)})
+    spans, ready = None, None
+    while True:
+        side = lambda name, c, at, n, p, q: F.when(
+            F.octet_length(c) >= at + n,
+            F.struct(F.unhex(F.md5(F.concat("group", F.lit(name), F.substring(c, at + 1, n)))).alias("group"), p.alias("p"), q.alias("q")),
+        )
+        p, q = F.col("p"), F.col("q")
+        sides = F.array(side(b"b", F.col("before"), p, ahead, p + ahead, q), side(b"a", F.col("after"), q, rest, p, q + rest))
+        level = level.withColumn("x", F.explode(sides)).where("x is not null").select("doc_id", "row", "pos", "open", "before", "after", "x.*")
+        sizes = level.groupBy("group").agg(F.count("*").alias("n"), F.bool_or("open").alias("some")).where("n > 1 and some").drop("some")
+        level = checkpoint(level.join(sizes, "group"))
+        done = level.where(wanting <= 0)
+        found = done.where("open").select("doc_id", "row", (F.col("pos") - F.col("p")).alias("lo"), (F.col("pos") - F.col("p") + length).alias("hi"))
+        small = level.where((wanting > 0) & (F.col("n") <= most)).drop("n", "p", "q")
+        spans, ready = (found, small) if spans is None else (spans.unionByName(found), ready.unionByName(small))
+        level = level.where((wanting > 0) & (F.col("n") > most)).drop("n")
+        if level.isEmpty():
+            return ready, spans
 
 
 def spans(docs: DataFrame, length: int = LENGTH, key: int = KEY, group: int = GROUP) -> DataFrame:
@@ -362,10 +386,31 @@ def spans(docs: DataFrame, length: int = LENGTH, key: int = KEY, group: int = GR
     settled = found.select("doc_id", "row", F.explode("settled").alias("pos")).select(
         "doc_id", "row", F.greatest(F.col("pos") - (length - key), F.lit(0)).alias("lo"), (F.col("pos") + length).alias("hi")
     )
-    part = lambda test: found.withColumn("at", F.filter("at", lambda x: test(x["kinds"])))
-    ordered = _ordered(_surroundings(docs, part(lambda k: k <= group), length, key), length, key)
-    counted = _counted(_surroundings(docs, part(lambda k: k > group), length, key), length, key)
-    return settled.unionByName(ordered).unionByName(counted)
+    pieces = _surroundings(docs, found, length, key)
+    large = found.where(F.exists("at", lambda x: x["kinds"] > group))
+    if large.isEmpty():
+        return settled.unionByName(_ordered(pieces, length, key))
+    parts, more = _dealt(checkpoint(_surroundings(docs, large, length, key).where(F.col("kinds") > group)), length, key, group)
+    small = pieces.where(F.col("kinds") <= group).drop("kinds").unionByName(parts)
+    return settled.unionByName(_ordered(small, length, key)).unionByName(more)
+
+
+def _runs(cuts: pa.ListArray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, lo, hi) of the maximal runs that the cuts of each text cover, in order."""
+    flat = cuts.flatten()
+    n = pc.fill_null(pc.list_value_length(cuts), 0).to_numpy(zero_copy_only=False)
+    which = np.repeat(np.arange(len(cuts)), n)
+    lo, hi = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+    order = np.lexsort((lo, which))
+    which, lo, hi = which[order], lo[order], np.minimum(hi[order], sizes[which[order]])
+    if not len(lo):
+        return which, lo, hi
+    shift = which * (int(sizes.max()) + 2)  # texts one behind the other, with a gap
+    reach = np.maximum.accumulate(hi + shift)
+    first = np.concatenate([[True], (lo + shift)[1:] > reach[:-1]])
+    at = np.flatnonzero(first)
+    last = np.concatenate([at[1:], [len(lo)]]) - 1
+    return which[at], lo[at], reach[last] - shift[at]
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, group: int = GROUP) -> DataFrame:
@@ -375,6 +420,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, group:
     All is judged on the input. A null text counts as empty; texts shorter than ``length`` stay as they are; repeated
     rows are texts of their own, so they remove each other. Matches end at the ends of texts. A null doc_id is a
     document like any other. Only ``doc_id`` and ``text`` are read.
+
+    Keys and surroundings are counted by 64 bits each, and by both together: texts are taken for equal that are not
+    if two different surroundings of one key agree in 64 bits. What is ordered is compared byte by byte.
     """
     own = docs.select(
         F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text")
@@ -384,22 +432,18 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, key: int = KEY, group:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for text, cuts in zip(_texts(batch.column(2)), batch.column(3).to_pylist()):
-                kept, at, gone, n = [], 0, 0, 0
-                end = -1
-                for lo, hi in sorted((x["lo"], min(x["hi"], len(text))) for x in cuts or ()):
-                    if lo > end:
-                        n += 1
-                    kept.append(text[at:lo])
-                    gone += max(0, hi - max(at, lo))
-                    at = end = max(at, hi)
-                kept.append(text[at:])
-                rows.append((len(text), gone, n, b"".join(kept)))
-            cols = list(zip(*rows)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            raw, cuts = batch.column(2).cast(pa.binary()), batch.column(3)
+            sizes = pc.binary_length(raw).to_numpy()
+            which, lo, hi = _runs(cuts, sizes)
+            ends = np.searchsorted(which, np.arange(len(raw) + 1)).tolist()
+            gone = np.bincount(which, hi - lo, len(raw)).astype(np.int64)
+            lo, hi = lo.tolist(), hi.tolist()
+            kept = []
+            for i, (a, b) in enumerate(zip(ends, ends[1:])):
+                text = raw[i].as_py()
+                kept.append(b"".join(text[x:y] for x, y in zip([0, *hi[a:b]], [*lo[a:b], len(text)])) if a < b else text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone), pa.array(np.diff(ends), pa.int64()), pa.array(kept, pa.binary())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
