@@ -34,25 +34,30 @@ def judge(run: DataFrame, probes: DataFrame) -> DataFrame:
     )
 
 
+def _top() -> Column:
+    """What a row answers: its object if it is a fact, else its text."""
+    return F.when(F.col("type") == "fact", F.col("object")).otherwise(F.col("text"))
+
+
 def predictions(run: DataFrame, probes: DataFrame) -> DataFrame:
     """``(qid, pred, em)``: the first row's object if it is a fact, else its text; no rows predict the empty string."""
-    first = run.where("rank = 1").select("qid", F.when(F.col("type") == "fact", F.col("object")).otherwise(F.col("text")).alias("top"))
+    first = run.where("rank = 1").select("qid", _top().alias("top"))
     pred = T.norm_answer("top")
     return probes.join(first, "qid", "left").select("qid", pred.alias("pred"), (pred == T.norm_answer("expected")).cast("int").alias("em"))
 
 
-def ranking_metrics(judged: DataFrame, probes: DataFrame, k: int, total: DataFrame | None = None) -> DataFrame:
+def ranking_metrics(judged: DataFrame, probes: DataFrame, k: int, total: DataFrame | None = None, **also: Column) -> DataFrame:
     """Per query: hits, precision, recall, f1 at k, average precision, reciprocal rank, ndcg, hit and first relevant rank.
 
     Relevant documents are those retrieved, or ``total`` (qid, n_rel) if given: those of the whole scope. Queries
-    without results score 0.
+    without results score 0. ``also`` has further aggregates over a query's rows, null without results.
     """
     upto = Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = judged.withColumn("found", F.sum("rel").over(upto)).where(F.col("rank") <= k)
     sums = rows.groupBy("qid").agg(
         F.sum("rel").alias("hits"), F.sum(F.col("rel") * F.col("found") / F.col("rank")).alias("ap"),
         F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("rank"), F.sum(F.col("rel") / F.log2(F.col("rank") + 1)).alias("dcg"),
-        F.count("*").alias("retrieved"),
+        F.count("*").alias("retrieved"), *[c.alias(name) for name, c in also.items()],
     )
     if total is not None:
         sums = sums.join(total.select("qid", "n_rel"), "qid", "left")
@@ -65,14 +70,16 @@ def ranking_metrics(judged: DataFrame, probes: DataFrame, k: int, total: DataFra
         "qid", hits.alias("hits"), p.alias("precision"), r.alias("recall"), F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0).alias("f1"),
         F.when(n_rel > 0, F.coalesce("ap", F.lit(0.0)) / n_rel).otherwise(0.0).alias("ap"),
         F.coalesce(1 / F.col("rank"), F.lit(0.0)).alias("rr"), F.when(n_rel > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).otherwise(0.0).alias("ndcg"),
-        F.col("rank").isNotNull().cast("int").alias("hit"), "rank", F.coalesce("retrieved", F.lit(0)).alias("retrieved"),
+        F.col("rank").isNotNull().cast("int").alias("hit"), "rank", F.coalesce("retrieved", F.lit(0)).alias("retrieved"), *also,
     )
 
 
 def evaluate(results: DataFrame, probes: DataFrame, k: int) -> DataFrame:
     """One row for each probe: its labels, prediction, exact match and ranking metrics."""
-    run = build_run(results, k)
-    return probes.join(predictions(run, probes), "qid").join(ranking_metrics(judge(run, probes), probes, k), "qid")
+    run = judge(build_run(results, k), probes)
+    scored = ranking_metrics(run, probes, k, top__e=F.max(F.when(F.col("rank") == 1, _top())))  # the results are computed once
+    rows = probes.join(scored, "qid").withColumn("pred", T.norm_answer("top__e")).withColumn("em", (F.col("pred") == T.norm_answer("expected")).cast("int"))
+    return rows.drop("top__e")
 
 
 MEANS = {"em": "em", "precision": "precision", "recall": "recall", "hits": "hits", "f1": "f1", "ap": "map", "rr": "mrr", "ndcg": "ndcg", "retrieved": "avg_retrieved"}

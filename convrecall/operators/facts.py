@@ -98,21 +98,35 @@ def extract_facts(turns: DataFrame, extractor: Callable[[pd.Series], pd.Series])
     return turns.select("conv_id", "turn_id", "text").mapInPandas(run, f"conv_id {kind}, turn_id int, reply string")
 
 
+def _names() -> Column:
+    """The name that a fact gives, null where it gives none or a blank one."""
+    return F.when(F.col("predicate") == "name", F.nullif(F.trim("object"), F.lit("")))
+
+
 def forward_alias(facts: DataFrame) -> DataFrame:
-    """First-person subjects take the latest name given before them in the conversation; nothing is rewritten."""
+    """First-person subjects take the latest name given before them in the conversation; nothing is rewritten. Blank names give none."""
     before = Window.partitionBy("conv_id").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    alias = F.last(F.when(F.col("predicate") == "name", F.trim("object")), ignorenulls=True).over(before)
+    alias = F.last(_names(), ignorenulls=True).over(before)
     first = F.lower(F.trim("subject")).isin(*T.FIRST_PERSON)
     return facts.withColumn("alias", alias).withColumn("subject", F.when(first & F.col("alias").isNotNull(), F.col("alias")).otherwise(F.col("subject"))).drop("alias")
 
 
 def retroactive_alias(facts: DataFrame) -> DataFrame:
-    """First-person subjects take the name known as of their fact, else the first that the conversation gives at all."""
+    """First-person subjects take the name known as of their fact, else the first that the conversation gives at all.
+
+    A name that differs from the one known only in case leaves it as it is: the first spelling stays until another
+    name comes. Blank names give none.
+    """
     mine = Window.partitionBy("conv_id").orderBy(*ORDER)
-    upto, every = mine.rowsBetween(Window.unboundedPreceding, 0), mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    named = F.when(F.col("predicate") == "name", F.trim("object"))
-    alias = F.coalesce(F.last(named, ignorenulls=True).over(upto), F.first(named, ignorenulls=True).over(every))
-    return facts.withColumn("alias", alias).withColumn("subject", T.canon_subject(F.col("subject"), F.col("alias"))).drop("alias")
+    before, upto = mine.rowsBetween(Window.unboundedPreceding, -1), mine.rowsBetween(Window.unboundedPreceding, 0)
+    every = mine.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = facts.withColumn("name__a", _names())
+    rows = rows.withColumn("last__a", F.last("name__a", ignorenulls=True).over(before))
+    # repeats of the name before, in whatever case, are no new name, so what is left are the spellings that stay
+    rows = rows.withColumn("name__a", F.when(F.lower("name__a").eqNullSafe(F.lower("last__a")), F.lit(None)).otherwise(F.col("name__a")))
+    alias = F.coalesce(F.last("name__a", ignorenulls=True).over(upto), F.first("name__a", ignorenulls=True).over(every))
+    rows = rows.withColumn("alias__a", alias)
+    return rows.withColumn("subject", T.canon_subject(F.col("subject"), F.col("alias__a"))).drop("name__a", "last__a", "alias__a")
 
 
 def slot_states(facts: DataFrame, scope: str = "conv") -> DataFrame:

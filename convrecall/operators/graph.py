@@ -43,6 +43,17 @@ def seeds_from_query(queries: DataFrame, nodes: DataFrame, aliases: DataFrame |
     return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).select("qid", "conv_id", "seed", "place")
 
 
+def parse_query_fact(queries: DataFrame, replies: DataFrame) -> DataFrame:
+    """``queries`` with q_subject, q_predicate and q_object: the first item of each query's reply (qid, reply), empty where it has none.
+
+    The reply is a JSON array, by itself, fenced or within other text; texts become normal and the predicate snake case.
+    """
+    item = F.get(F.from_json(T.json_array("reply"), "array<struct<subject: string, predicate: string, object: string>>"), F.lit(0))
+    said = replies.select("qid", item.alias("x")).where("x is not null").dropDuplicates(["qid"])
+    own = {"q_subject": T.norm_text("x.subject"), "q_predicate": T.snake_like("x.predicate"), "q_object": T.norm_text("x.object")}
+    return queries.join(said, "qid", "left").withColumns(own).drop("x")
+
+
 def khop_frontier(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2) -> DataFrame:
     """``(qid, conv_id, node, hop)``: nodes within ``hops`` undirected steps of the seeds that are nodes, by least steps."""
     reached = seeds.join(nodes.withColumnRenamed("node", "seed"), ["conv_id", "seed"], "left_semi").select(

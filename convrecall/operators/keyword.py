@@ -35,24 +35,38 @@ class Index:
     stats: DataFrame
 
 
-def bm25_index(docs: DataFrame, stopwords: tuple[str, ...] = T.STOPWORDS) -> Index:
-    """Index ``(scope, doc, text)``. Texts of stopwords alone count as documents of length 0."""
+#: Rows (of terms that are asked for, or of results) that may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def bm25_index(docs: DataFrame, stopwords: tuple[str, ...] = T.STOPWORDS, only: DataFrame | None = None) -> Index:
+    """Index ``(scope, doc, text)``. Texts of stopwords alone count as documents of length 0.
+
+    With ``only`` (scope, term) there are postings of these terms alone, so that others are never shuffled.
+    """
     tokens = docs.select("scope", "doc", T.keyword_tokens("text", stopwords).alias("tokens"))
     lengths = tokens.select("scope", "doc", F.size("tokens").alias("length"))
-    postings = (
-        tokens.select("scope", "doc", F.explode("tokens").alias("term")).groupBy("scope", "doc", "term").agg(F.count("*").alias("tf"))
-    )
+    each = tokens.select("scope", "doc", F.explode("tokens").alias("term"))
+    if only is not None:
+        each = each.join(_small(only, only.count()), ["scope", "term"], "left_semi")
+    postings = each.groupBy("scope", "doc", "term").agg(F.count("*").alias("tf"))
     terms = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
     stats = lengths.groupBy("scope").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
     return Index(lengths, postings, terms, stats)
 
 
+def _small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def _asked(queries: DataFrame, stopwords: tuple[str, ...]) -> DataFrame:
+    terms = queries.select("qid", "scope", F.explode(T.keyword_tokens("query", stopwords)).alias("term"))
+    return terms.groupBy("qid", "scope", "term").agg(F.count("*").alias("qtf"))
+
+
 def bm25_score(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.75, stopwords: tuple[str, ...] = T.STOPWORDS) -> DataFrame:
     """``(qid, scope, doc, score)`` of ``queries`` (qid, scope, query); a query's repeated terms count each time."""
-    asked = (
-        queries.select("qid", "scope", F.explode(T.keyword_tokens("query", stopwords)).alias("term"))
-        .groupBy("qid", "scope", "term").agg(F.count("*").alias("qtf"))
-    )
+    asked = _asked(queries, stopwords)
     wanted = asked.select("scope", "term").distinct()
     postings = index.postings.join(wanted, ["scope", "term"], "left_semi")
     weights = (
@@ -77,8 +91,12 @@ def bm25_retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1
     A document equal to the normalised query still counts in the statistics. ``score`` is rounded to four places.
     Ties go to the smaller doc, which is the earlier turn.
     """
-    scored = bm25_score(queries, bm25_index(docs), k1, b).where("score > 0")
-    asked = queries.select("qid", T.norm_text("query").alias("asked"))
-    named = scored.join(docs.select("scope", "doc", "text"), ["scope", "doc"]).join(asked, "qid")
-    found = top_k(named.where("asked <> '' and asked <> text"), k, "doc")
+    wanted = _asked(queries, T.STOPWORDS).select("scope", "term").distinct()
+    scored = bm25_score(queries, bm25_index(docs, only=wanted), k1, b).where("score > 0")
+    # texts are compared by 128 bits of hashes and fetched for what is found; no step before that carries them
+    hashes = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
+    asked = queries.select("qid", "scope", T.norm_text("query").alias("asked"))
+    own = asked.select("qid", "scope", *hashes("asked")).join(docs.select("scope", "doc", *hashes("text")), ["scope", "h1", "h2"])
+    scored = scored.join(asked.where("asked <> ''").select("qid"), "qid", "left_semi").join(own.select("qid", "scope", "doc"), ["qid", "scope", "doc"], "left_anti")
+    found = _small(top_k(scored, k, "doc"), queries.count() * max(1, k)).join(docs.select("scope", "doc", "text"), ["scope", "doc"])
     return found.select("qid", "scope", "rank", "doc", "text", F.round("score", 4).alias("score"), F.col("score").alias("bm25"))

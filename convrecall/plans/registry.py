@@ -339,6 +339,23 @@ def alias_retroactive(spark, sf_dir):
     return M.retroactive_alias(I.facts(spark, sf_dir)).select("conv_id", "turn_id", "subject", "predicate", "object")
 
 
+def _cased(facts):
+    """Facts with names in two casings, some of them blank."""
+    name = F.when(F.col("ingest_seq") % 5 == 0, F.lit("  ")).when(F.col("ingest_seq") % 2 == 0, F.upper("object")).otherwise(F.col("object"))
+    return facts.withColumn("object", F.when(F.col("predicate") == "name", name).otherwise(F.regexp_replace("object", "[0-9]+", "")))
+
+
+@query(f"""WITH {I.FACTS}, cased AS (
+  SELECT * REPLACE (CASE WHEN predicate <> 'name' THEN regexp_replace(object, '[0-9]+', '', 'g') WHEN ingest_seq % 5 = 0 THEN '  ' WHEN ingest_seq % 2 = 0 THEN upper(object) ELSE object END AS object) FROM facts
+), heard AS (
+  SELECT *, list(trim(object)) FILTER (WHERE predicate = 'name' AND trim(object) <> '') OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS names,
+    list(trim(object)) FILTER (WHERE predicate = 'name' AND trim(object) <> '') OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS every FROM cased
+) SELECT conv_id, turn_id, coalesce(list_reduce(names, lambda a, b: CASE WHEN lower(a) = lower(b) THEN a ELSE b END), every[1], subject) AS subject, predicate, object FROM heard""")
+def alias_casing(spark, sf_dir):
+    """Names that come again in another casing leave the first spelling; blank ones are no names."""
+    return M.retroactive_alias(_cased(I.facts(spark, sf_dir))).select("conv_id", "turn_id", "subject", "predicate", "object")
+
+
 _SLOTS = f"""{I.FACTS}, states AS (
   SELECT *, lead(fact_id) OVER w IS NULL AS active, lag(fact_id) OVER w AS supersedes, lead(turn_id) OVER w AS valid_to
   FROM facts WINDOW w AS (PARTITION BY conv_id, lower(subject), lower(predicate) ORDER BY turn_id, fact_idx)
@@ -439,6 +456,27 @@ def graph_retrieval(spark, sf_dir):
     return found.select("qid", "rank", "subject", "predicate", "object", "text", "hop", F.round("path", 6).alias("path"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {_NEAR}, asked AS (SELECT q.qid, q.query, CASE n.n_nationkey % 3 WHEN 0 THEN n.n_name ELSE '' END AS qs, CASE WHEN n.n_nationkey % 3 < 2 THEN 'part_of' ELSE '' END AS qp,
+  CASE n.n_nationkey % 3 WHEN 1 THEN n.n_name ELSE '' END AS qo FROM questions q JOIN nation n ON n.n_name = q.qid),
+cand AS (SELECT n.qid, w.fact_id, min(n.hop) AS hop FROM near n JOIN world w ON n.node IN (w.subject, w.object) GROUP BY ALL),
+t AS (SELECT c.qid, c.hop, w.*, qs, qp, qo, {_toks('q.query')} AS qt, {_toks('w.predicate')} AS pt, {_toks("w.subject || ' ' || w.predicate || ' ' || w.object")} AS ft,
+  CAST(qs <> '' AND {_jac(_toks('qs'), _toks('w.subject'))} >= 0.5 AS INTEGER) AS gs, CAST(qp <> '' AND {_jac(_toks('qp'), _toks('w.predicate'))} >= 0.5 AS INTEGER) AS gp,
+  CAST(qo <> '' AND {_jac(_toks('qo'), _toks('w.object'))} >= 0.5 AS INTEGER) AS go FROM cand c JOIN world w USING (fact_id) JOIN asked q USING (qid)),
+p AS (SELECT *, (0.55 * {_jac('qt', 'pt')} + 0.45 * confidence) / (1 + 0.3 * hop) + 0.1 * (gs + gp + go) AS path FROM t),
+s AS (SELECT *, 0.45 * path + 0.30 * {_jac('qt', 'ft')} + 0.20 + CASE WHEN lower(subject) = lower(qid) OR lower(object) = lower(qid) THEN 0.05 ELSE 0 END + 0.05 * (gp + go) AS score FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, hop, turn_id, fact_idx, fact_id) AS rank FROM s)
+SELECT qid, CAST(rank AS INTEGER) AS rank, subject, predicate, object, hop, round(path, 6) AS path, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def graph_guided(spark, sf_dir):
+    """Questions with a fact that a reply makes of them: it seeds the search and guides the scores."""
+    n, name = F.col("n_nationkey") % 3, F.col("n_name")
+    made = F.when(n == 0, F.concat(F.lit('Here: [{"subject": " '), name, F.lit(' ", "predicate": "Part-Of", "object": ""}]')))
+    made = made.when(n == 1, F.concat(F.lit('```json\n[{"predicate": "part of", "object": "'), name, F.lit('"}]\n```'))).otherwise(F.lit("[]"))
+    replies = I.table(spark, sf_dir, "nation").select(name.alias("qid"), made.alias("reply"))
+    asked = graph.parse_query_fact(I.questions(spark, sf_dir), replies)
+    found = graph.graph_retrieve(asked, I.world(spark, sf_dir), 5)
+    return found.select("qid", "rank", "subject", "predicate", "object", "hop", F.round("path", 6).alias("path"), F.round("score", 6).alias("score"))
+
+
 # vector memory
 
 
