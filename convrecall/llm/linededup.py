@@ -15,7 +15,7 @@ from convrecall.llm.common import checkpoint, components
 
 #: Edits (of code points) that near-equal lines may be apart.
 EDITS = 1
-#: Shorter lines are structure rather than text: they are not compared and stay.
+#: Shorter lines are compared exactly only. Lines without a letter are structure rather than text: they stay.
 MIN_CHARS = 10
 #: Places of lines (two longs and an int each) that may be broadcast when lines are fetched; beyond, a join shuffles.
 BROADCAST_PLACES = 200_000
@@ -35,10 +35,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines(keyed: DataFrame, min_chars: int) -> DataFrame:
-    """(place, h1, h2, n, content): the lines that are long enough, with 128 bits of hashes."""
+def _lines(keyed: DataFrame) -> DataFrame:
+    """(place, h1, h2, n, content): the lines that hold a letter, with 128 bits of hashes."""
     rows = keyed.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line", "content"))
-    rows = rows.withColumn("n", F.length("content")).where(F.col("n") >= min_chars)
+    rows = rows.where(F.rlike("content", F.lit(r"\p{L}"))).withColumn("n", F.length("content"))
     return rows.select(
         F.struct(*_PLACE).alias("place"), F.xxhash64("content").alias("h1"), F.xxhash64(F.lit(1), "content").alias("h2"), "n", "content"
     )
@@ -101,7 +101,7 @@ def candidates(keyed: DataFrame, lines: DataFrame, edits: int, few: int = FEW) -
     index = under(own, "a", "key_a").join(hot, F.col("key_a") == F.col("g"), "left_anti")
     met = index.join(probes, F.expr("key_a = key_b and a <> b")).select("a", "b")
     groups = probes.join(hot, F.col("key_b") == F.col("g"), "left_semi")
-    texts = _contents(keyed, groups.select(F.col("b").alias("place")).distinct()).withColumn("n", F.length("content"))
+    texts = _contents(keyed, checkpoint(groups.select(F.col("b").alias("place")).distinct())).withColumn("n", F.length("content"))
     each = [
         f"struct({_key(*x[:4])} as g, {role} as role, {_rest('content', 'n', x[2], x[3])} as rest, n - {x[1]} - {x[3]} as m)"
         for x in looked for role in ((0, 1) if x[4] else (1,))
@@ -160,9 +160,16 @@ def _let(value: F.Column, f) -> F.Column:
     return F.element_at(F.transform(F.array(value), f), 1)
 
 
+def _pieces(s: F.Column, size: int) -> F.Column:
+    """The string cut after every ``size`` characters, as an array: one pass, where each substring is one of its own."""
+    return F.regexp_extract_all(s, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+
+
 def banded_distance(a: F.Column, b: F.Column, edits: int) -> F.Column:
     """Edit distance of the longer string a and b where it is at most ``edits`` (15 at most); else ``edits`` + 1.
 
+    Time and memory are in proportion to the strings.
+
     A string a that is no longer than ``edits`` is within them of any b; its length is given without a look at b.
 
     Differences down a column are kept as bits of a band that moves along the diagonal: the band's top bit, 31, is
@@ -170,16 +177,20 @@ def banded_distance(a: F.Column, b: F.Column, edits: int) -> F.Column:
     """
     if not 0 <= edits <= 15:
         raise ValueError("edits must be 0 to 15")
-    m, n = F.length(a), F.length(b)
+    letters = F.struct(_pieces(a, 1).alias("a"), _pieces(b, 1).alias("b"))
+    return _let(letters, lambda p: _banded(p["a"], p["b"], edits))
+
+
+def _banded(a: F.Column, b: F.Column, edits: int) -> F.Column:
+    m, n = F.size(a), F.size(b)
     full, top = (1 << 32) - 1, 1 << 31
     bits = lambda x: F.lit(x).cast("long")
 
     def step(s: F.Column, j: F.Column) -> F.Column:
-        c = F.substring(b, j + 1, F.lit(1))
+        c = F.get(b, j)
         match = bits(0)
-        for k in range(2 * edits + 1):
-            at = j + 1 + (edits - k)
-            match = match.bitwiseOR(F.when((at >= 1) & (at <= m) & (F.substring(a, at, F.lit(1)) == c), bits(top >> k)).otherwise(bits(0)))
+        for k in range(2 * edits + 1):  # null outside of a
+            match = match.bitwiseOR(F.when(F.get(a, j + (edits - k)) == c, bits(top >> k)).otherwise(bits(0)))
         vp, vn = s["vp"], s["vn"]
 
         def down(x: F.Column) -> F.Column:
@@ -218,12 +229,11 @@ def near(a: F.Column, b: F.Column, edits: int) -> F.Column:
     """True where the two strings are within ``edits`` edits, compared between their equal first and last blocks."""
 
     def shared(x: F.Column, y: F.Column, most: F.Column) -> F.Column:
-        """Whole blocks, up to ``most`` characters, that x and y begin with."""
-        same = F.transform(
-            F.sequence(F.lit(0), F.floor(most / BLOCK).cast("int")),
-            lambda k: (k < F.floor(most / BLOCK)) & (F.substring(x, k * BLOCK + 1, F.lit(BLOCK)) == F.substring(y, k * BLOCK + 1, F.lit(BLOCK))),
-        )
-        return (F.array_position(same, False) - 1).cast("int") * BLOCK
+        """Characters, up to ``most``, of the whole blocks that x and y begin with."""
+        blocks = F.struct(_pieces(x, BLOCK).alias("x"), _pieces(y, BLOCK).alias("y"), F.floor(most / BLOCK).cast("int").alias("n"))
+        # a null behind the last block differs from it, so there is always a first difference
+        same = lambda q: F.transform(F.sequence(F.lit(0), q["n"]), lambda k: (k < q["n"]) & (F.get(q["x"], k) == F.get(q["y"], k)))
+        return _let(blocks, lambda q: (F.array_position(same(q), False) - 1).cast("int") * BLOCK)
 
     def verified(p: F.Column) -> F.Column:
         x, y = p["x"], p["y"]
@@ -255,9 +265,9 @@ def _contents(keyed: DataFrame, places: DataFrame) -> DataFrame:
 
 def removals(keyed: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, row, line, root): each line that is not the first of its class, and the place of the one that is."""
-    lines = _lines(keyed, min_chars)
-    pairs = checkpoint(candidates(keyed, lines, edits))
-    places = pairs.select(F.col("a").alias("place")).unionByName(pairs.select(F.col("b").alias("place"))).distinct()
+    lines = _lines(keyed)
+    pairs = checkpoint(candidates(keyed, lines.where(F.col("n") >= min_chars), edits))
+    places = checkpoint(pairs.select(F.col("a").alias("place")).unionByName(pairs.select(F.col("b").alias("place"))).distinct())
     texts = checkpoint(_contents(keyed, places))
     side = lambda c: texts.select(F.col("place").alias(c), F.col("content").alias(f"text_{c}"))
     links = pairs.join(side("a"), "a").join(side("b"), "b").where(near(F.col("text_a"), F.col("text_b"), edits)).select("a", "b")
@@ -271,11 +281,11 @@ def removals(keyed: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -
 def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with lines of ``text`` removed, and ``n_lines`` and ``n_removed``; every row stays.
 
-    Lines are what line feeds separate. Lines of at least ``min_chars`` code points that are equal, or joined by a
-    chain of lines within ``edits`` edits of each other, are a class, and only its first line stays: the least by
-    doc_id (null first), a hash of the row, and line number. Shorter lines stay. A null text has no lines and stays
-    null; an empty one has one. Rows alike in doc_id and text count as one document and are treated alike. Other
-    columns are passed on.
+    Lines are what line feeds separate. Lines that hold a letter and are equal, or joined by a chain of lines of at
+    least ``min_chars`` code points within ``edits`` edits of each other, are a class, and only its first line stays:
+    the least by doc_id (null first), a hash of the row, and line number. Blank lines and lines without a letter stay.
+    A null text has no lines and stays null; an empty one has one. Rows alike in doc_id and text count as one document
+    and are treated alike. Other columns are passed on; columns named as the two new ones are replaced.
     """
     mine = {"doc_id": "doc_id__k", "row": "row__k"}
     drop = removals(_keyed(docs), edits, min_chars).groupBy("doc_id", "row").agg(F.collect_set("line").alias("drop__k")).withColumnsRenamed(mine)
@@ -286,7 +296,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS)
     rows = rows.withColumn("n_removed", F.when(F.col("drop__k").isNull(), F.lit(0)).otherwise(F.size("drop__k")).cast("long"))
     stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size("all__k") - 1), "drop__k"), lambda i: F.get("all__k", i))
     rows = rows.withColumn("text", F.when(F.col("drop__k").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n")))
-    return rows.select(*docs.columns, "n_lines", "n_removed")
+    return rows.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -304,9 +314,9 @@ def line_sql(docs: str) -> str:
 lines AS (
   SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS content FROM {docs} WHERE text IS NOT NULL
 ), kinds AS (
-  SELECT content, length(content) AS n, min([doc_id, line]) AS place FROM lines WHERE length(content) >= {MIN_CHARS} GROUP BY content
+  SELECT content, length(content) AS n, min([doc_id, line]) AS place FROM lines WHERE regexp_matches(content, '\\pL') GROUP BY content
 ), halves AS (
-  SELECT content, place, n, unnest([n, n - 1]) AS m FROM kinds
+  SELECT content, place, n, unnest([n, n - 1]) AS m FROM kinds WHERE n >= {MIN_CHARS}
 ), sides AS (
   SELECT content, place, m, substr(content, 1, m // 2) AS h, 0 AS side FROM halves
   UNION ALL SELECT content, place, m, right(content, m - m // 2) AS h, 1 FROM halves
