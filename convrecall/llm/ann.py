@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Each table turns unit vectors by its own pseudo-rotation (random signs and a fast Hadamard transform, three times) and
-files them under the nearest signed axis. A query looks into its nearest axes of each table; what it meets there is
-ranked by the exact inner product.
+Each hash turns unit vectors by its own pseudo-rotation (random signs and a fast Hadamard transform, three times) and
+takes the nearest signed axis. A table files vectors under several hashes, as many as bring a bucket to about MEAN
+vectors, however many there are. A query looks into the buckets of each table whose axes are nearest by the sum of
+their coordinates; what it meets there is ranked by the exact inner product.
 """
 
 from __future__ import annotations
@@ -13,9 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-TABLES = 8
-PROBES = 16
-#: Vectors of one bucket that a task ranks at a time; larger buckets are dealt out in blocks.
+from convrecall.llm.common import checkpoint
+
+TABLES = 16
+#: Vectors of a bucket, on average, from which on a further hash (or more axes of it) splits the buckets.
+MEAN = 32
+#: Buckets of a table that a query looks into, where a table has one hash; they grow with the root ROOT of the buckets.
+PROBES = 10
+ROOT = 4
+#: Vectors that a task ranks at a time; larger buckets are dealt out in blocks, and so are their queries.
 BLOCK = 4096
 SEED = 11
 
@@ -31,7 +38,7 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def turned(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
-    """Rows under a table's pseudo-rotation, filled up with zeros to a power of two."""
+    """Rows under a hash's pseudo-rotation, filled up with zeros to a power of two."""
     n = 1 << max(0, (x.shape[1] - 1).bit_length())
     x = np.pad(x, ((0, 0), (0, n - x.shape[1])))
     signs = np.random.default_rng([seed, table]).choice([-1.0, 1.0], (3, n))
@@ -40,11 +47,32 @@ def turned(x: np.ndarray, table: int, seed: int = SEED) -> np.ndarray:
     return x
 
 
-def axes(x: np.ndarray, table: int, probes: int, seed: int = SEED) -> np.ndarray:
-    """For each row the ``probes`` nearest signed axes, nearest first: 2 i for axis i, 2 i + 1 for its negative."""
-    y = turned(x, table, seed)
-    both = np.stack([y, -y], 2).reshape(len(y), -1)
-    return np.argsort(-both, axis=1, kind="stable")[:, :probes]
+def plan(n: int, dim: int, mean: int = MEAN) -> list[int]:
+    """Axes of each hash of a table for n vectors: all of them for the first, then as many as buckets should be split by."""
+    most = 1 << max(0, (dim - 1).bit_length())
+    out, want = [most], n / mean / (2 * most)
+    while want >= 2:
+        out.append(min(most, 1 << (int(want / 2).bit_length() - 1)))
+        want /= 2 * out[-1]
+    return out
+
+
+def probes_of(hashes: list[int], probes: int = PROBES) -> int:
+    """Buckets to look into: ever more, but an ever smaller share of all."""
+    return round(probes * np.prod([2.0 * a for a in hashes[1:]]) ** (1 / ROOT))
+
+
+def buckets(x: np.ndarray, table: int, hashes: list[int], probes: int, seed: int = SEED) -> np.ndarray:
+    """For each row its ``probes`` nearest buckets of a table, nearest first: the signed axes of all hashes as one number."""
+    at, score = np.zeros((len(x), 1), np.int64), np.zeros((len(x), 1))
+    for k, axes in enumerate(hashes):
+        y = turned(x, table + 1_000_000 * k, seed)[:, :axes]
+        both = np.stack([y, -y], 2).reshape(len(y), -1)  # 2 i for axis i, 2 i + 1 for its negative
+        score = (score[:, :, None] + both[:, None, :]).reshape(len(x), -1)
+        best = score.argmax(1)[:, None] if probes == 1 else np.argsort(-score, axis=1, kind="stable")[:, :probes]
+        score = np.take_along_axis(score, best, 1)
+        at = np.take_along_axis(at, best // (2 * axes), 1) * 2 * axes + best % (2 * axes)
+    return at
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -53,63 +81,93 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; brought to a common size first, as squares of large components overflow."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     """``(id, v)`` of the rows with an id and a vector that is not zero and has no null, NaN or infinite component.
 
-    Where several rows share an id, one of them stays (that of the least vector).
+    Floats stay floats; vectors of any other numbers are taken as doubles. Where several rows share an id, one of them
+    stays (that of the least vector).
     """
     v = F.col(vector)
     fine = F.coalesce(
         F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)
     )
-    own = vectors.select(F.col(id_).cast("long").alias("id"), v.cast("array<float>").alias("v"))
-    return own.where(F.col("id").isNotNull() & fine).withColumnRenamed("v", "w").groupBy("id").agg(F.min("w").alias("v"))
+    kind = vectors.schema[vector].dataType.simpleString()
+    own = vectors.where(F.col(id_).isNotNull() & fine).select(F.col(id_).cast("long").alias("id"), (v if kind == "array<float>" else v.cast("array<double>")).alias("w"))
+    return own.groupBy("id").agg(F.min("w").alias("v"))
+
 
+def _hashed(rows: DataFrame, tables: int, hashes: list[int], probes: int, seed: int) -> DataFrame:
+    """``(id, bucket)``: the bucket's table, its first axis and the others as one number."""
+    size = int(np.prod([2 * a for a in hashes]))
 
-def _hashed(rows: DataFrame, tables: int, probes: int, seed: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = matrix(batch.column(1))
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                x = unit(matrix(part.column(1)))
                 for t in range(tables):
-                    bucket = axes(x, t, probes, seed) + t * 4 * x.shape[1]
+                    found = buckets(x, t, hashes, probes, seed) + t * size
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            batch.column(0).take(pa.array(np.repeat(np.arange(len(x)), bucket.shape[1]))),
-                            pa.array(bucket.ravel(), pa.int32()),
-                        ],
-                        ["id", "bucket"],
+                        [part.column(0).take(pa.array(np.repeat(np.arange(len(x)), found.shape[1]))), pa.array(found.ravel())], ["id", "bucket"]
                     )
 
-    return rows.mapInArrow(run, "id long, bucket int")
+    return rows.mapInArrow(run, "id long, bucket long")
 
 
 def search(
-    queries: DataFrame, rows: DataFrame, k: int = 20, tables: int = TABLES, probes: int = PROBES, block: int = BLOCK, seed: int = SEED
+    queries: DataFrame, rows: DataFrame, k: int = 20, tables: int = TABLES, probes: int = PROBES, mean: int = MEAN, block: int = BLOCK, seed: int = SEED
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: of each query the ``k`` rows of largest inner product that were found.
 
     Both tables have ``id`` and ``v`` as ``usable`` gives them, of one dimension. A row never answers its own id.
     Scores are in double precision on the vectors as given; ties go to the smaller id. Every row is filed once in each
-    table. A bucket's rows are dealt into blocks of about ``block``, of which each query of the bucket sees all, so a
-    hot bucket is spread over many tasks and nothing is cut. Queries that met fewer than ``k`` rows are compared with
+    table. Buckets of neighbouring numbers are ranked together, in cells of about ``block`` rows, so a query is
+    sent once to a cell, with the buckets it looks into. A bucket of more than ``block`` rows is dealt out in blocks,
+    and so are its queries; each meets all, and nothing is cut. Queries that met fewer than ``k`` rows are compared with
     all rows, block by block. Empty tables give none.
     """
-    filed = _hashed(rows, tables, 1, seed)
-    sizes = filed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    deal = lambda df: df.withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
-    # a few buckets for each table and axis: their number does not depend on the rows
-    filed = deal(filed.join(F.broadcast(sizes), "bucket")).drop("blocks").join(rows, "id")
-    asked = _hashed(queries, tables, probes, seed).join(F.broadcast(sizes), "bucket")
-    asked = asked.withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)"))).drop("blocks").join(queries, "id")
-    best = _best(_ranked(asked, filed, k), k)
+    first = rows.select(F.size("v").alias("d")).first()
+    n = rows.count()
+    hashes = plan(n, first["d"] if first else 1, mean)
+    # buckets of some first axes of a table, and the cells that they are dealt out to where they are too many for one
+    mean_axis = max(1, n // (2 * hashes[0]))
+    wide = int(np.prod([2 * a for a in hashes[1:]])) * max(1, 1 << ((block // mean_axis).bit_length() - 1) if block > mean_axis else 1)
+    cells = -(-mean_axis // block)
+    filed = checkpoint(_hashed(rows, tables, hashes, 1, seed))
+    asked = checkpoint(_hashed(queries, tables, hashes, probes_of(hashes, probes), seed))
+    sizes = filed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    hot = sizes.join(asked.groupBy("bucket").agg(F.count("*").alias("m")), "bucket", "left")
+    blocks = lambda c: F.greatest(F.ceil(F.coalesce(F.col(c), F.lit(0)) / block), F.lit(1)).cast("int")
+    hot = checkpoint(hot.select("bucket", blocks("n").alias("of_rows"), blocks("m").alias("of_queries")))
+    cell = F.struct(F.floor(F.col("bucket") / wide).alias("axis"), F.pmod(F.xxhash64("bucket"), F.lit(cells).cast("long")).alias("part"))
+
+    def placed(df: DataFrame, own: str, other: str) -> DataFrame:
+        """(id, axis, part, i, j, buckets): once to each cell; to all blocks of the other side where a bucket is hot."""
+        known = df.join(hot, "bucket", "left")
+        cold = known.where(f"{own} is null").select("id", cell.alias("c"), "bucket").groupBy("id", "c").agg(F.collect_list("bucket").alias("buckets"))
+        cold = cold.select("id", "c.axis", "c.part", F.lit(0).alias("i"), F.lit(0).alias("j"), "buckets")
+        mine = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+        warm = known.where(f"{own} is not null").withColumn("mine", mine).withColumn("theirs", F.explode(F.expr(f"sequence(0, {other} - 1)")))
+        i, j = ("mine", "theirs") if own == "of_rows" else ("theirs", "mine")
+        warm = warm.select("id", (-1 - F.col("bucket")).alias("axis"), F.lit(0).cast("long").alias("part"), F.col(i).alias("i"), F.col(j).alias("j"), F.array("bucket").alias("buckets"))
+        return cold.unionByName(warm)
+
+    there = placed(filed, "of_rows", "of_queries").join(rows, "id")
+    here = placed(asked, "of_queries", "of_rows").join(queries, "id")
+    best = checkpoint(_best(_ranked(here, there, k), k))
     few = queries.join(best.where(F.col("rank") == k).select(F.col("query_id").alias("id")), "id", "left_anti")
-    everywhere = rows.withColumn("bucket", F.lit(0))
-    total = everywhere.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    everywhere = deal(everywhere.join(F.broadcast(total), "bucket")).select("id", "bucket", "part", "v")
-    few = few.withColumn("bucket", F.lit(0)).join(F.broadcast(total), "bucket")
-    few = few.withColumn("part", F.explode(F.expr("sequence(0, blocks - 1)"))).select("id", "bucket", "part", "v")
+    parts = -(-n // block) or 1
+    all_of = lambda df, part: df.select(
+        "id", F.lit(0).cast("long").alias("axis"), part.alias("part"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.array(F.lit(0).cast("long")).alias("buckets"), "v"
+    )
+    everywhere = all_of(rows, F.pmod(F.xxhash64("id"), F.lit(parts).cast("long")))
+    few = all_of(few, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     return _best(best.drop("rank").unionByName(_ranked(few, everywhere, k)), k)
 
 
@@ -120,34 +178,51 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _ranked(asked: DataFrame, filed: DataFrame, k: int) -> DataFrame:
-    """The best ``k`` of each query in each block that it looks into."""
+    """The best ``k`` of each query in each cell that it looks into, among the rows of its buckets."""
+    none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
-            return empty
+            return none
         q, x = (matrix(t.column(-1).combine_chunks()) for t in (left, right))
-        q_ids, x_ids = (t.column(0).to_numpy() for t in (left, right))
-        out = [empty]
+        q_ids, x_ids = (t.column(-3).to_numpy() for t in (left, right))
+        of = lambda t: t.column(-2).combine_chunks()
+        home = of(right).flatten().to_numpy()
+        order = np.argsort(home, kind="stable")
+        names, starts = np.unique(home[order], return_index=True)
+        order = np.repeat(np.arange(len(x)), of(right).value_lengths().to_numpy())[order]  # small cells span tables
+        stops = [*starts[1:], len(home)]
+        who = np.repeat(np.arange(len(q)), of(left).value_lengths().to_numpy())
+        looks = of(left).flatten().to_numpy()
+        out = [none]
         for at in range(0, len(q), 512):
-            near = q[at : at + 512] @ x.T
-            near[q_ids[at : at + 512, None] == x_ids[None, :]] = -np.inf
-            floor = np.partition(near, -k, axis=1)[:, -k] if len(x) > k else np.full(len(near), -np.inf)
-            # a matrix product rounds by a value's place; what may be among the best is summed again, each row alike
-            i, j = np.nonzero((near >= floor[:, None] - 1e-9 * np.maximum(1, np.abs(floor[:, None]))) & (near > -np.inf))
-            exact = (q[at + i] * x[j]).sum(1)
-            order = np.lexsort((x_ids[j], -exact, i))
-            i, j, exact = i[order], j[order], exact[order]
-            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-            out.append(pa.table({"query_id": q_ids[at + i[keep]], "vec_id": x_ids[j[keep]], "score": exact[keep]}))
+            own = (who >= at) & (who < at + 512)
+            ii, jj = [], []
+            for name, a, b in zip(names, starts, stops):
+                i, j = who[own & (looks == name)], order[a:b]
+                if len(i):
+                    near = q[i] @ x[j].T
+                    near[q_ids[i][:, None] == x_ids[j][None, :]] = -np.inf
+                    floor = np.partition(near, -k, axis=1)[:, -k] if len(j) > k else np.full(len(i), -np.inf)
+                    # a matrix product rounds by a value's place; what may be among the best is summed again, each row alike
+                    r, c = np.nonzero((near >= floor[:, None] - 1e-9 * np.maximum(1, np.abs(floor[:, None]))) & (near > -np.inf))
+                    ii.append(i[r])
+                    jj.append(j[c])
+            i, j = (np.concatenate([*z, np.zeros(0, np.int64)]) for z in (ii, jj))
+            if len(i):
+                i, j = np.divmod(np.unique(i * len(x) + j), len(x))
+                exact = np.concatenate([(q[i[s : s + 65536]] * x[j[s : s + 65536]]).sum(1) for s in range(0, len(i), 65536)])
+                best = np.lexsort((x_ids[j], -exact, i))
+                i, j, exact = i[best], j[best], exact[best]
+                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+                out.append(pa.table({"query_id": q_ids[i[keep]], "vec_id": x_ids[j[keep]], "score": exact[keep]}))
         return pa.concat_tables(out)
 
-    asked = asked.select(F.col("id").alias("q_id"), F.col("bucket").alias("q_bucket"), F.col("part").alias("q_part"), F.col("v").alias("q"))
-    filed = filed.select("id", "bucket", "part", "v")
-    return (
-        asked.groupBy("q_bucket", "q_part").cogroup(filed.groupBy("bucket", "part"))
-        .applyInArrow(run, "query_id long, vec_id long, score double")
-    )
+    key, own = ["axis", "part", "i", "j"], ["id", "buckets", "v"]
+    here = asked.select(*[F.col(c).alias(f"q_{c}") for c in (*key, *own)])
+    return here.groupBy(*[f"q_{c}" for c in key]).cogroup(filed.select(*key, *own).groupBy(*key)).applyInArrow(
+        run, "query_id long, vec_id long, score double"
+    )
 
 
 def op4_cross_polytope(spark, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from convrecall.llm.ann import matrix, usable
+from convrecall.llm.ann import matrix, unit, usable
 from convrecall.llm.common import checkpoint, components
 
 THRESHOLD = 0.95
@@ -22,6 +22,8 @@ THRESHOLD = 0.95
 TILE = 2048
 #: Dimensions after which a product's rest is bounded, again and again.
 STEP = 16
+#: Pairs whose coordinates are gathered at a time.
+SLAB = 1 << 17
 
 
 def principal_axes(rows: DataFrame) -> np.ndarray:
@@ -48,8 +50,7 @@ def principal_axes(rows: DataFrame) -> np.ndarray:
 
 
 def _unit(column: pa.Array) -> np.ndarray:
-    x = matrix(column)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+    return unit(matrix(column))
 
 
 def _tiles(distinct: DataFrame, turn: np.ndarray, tile: int) -> DataFrame:
@@ -61,7 +62,8 @@ def _tiles(distinct: DataFrame, turn: np.ndarray, tile: int) -> DataFrame:
                 lead = _unit(batch.column(1)) @ turn[:, 0]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead)], [*batch.schema.names, "lead"])
 
-    led = checkpoint(distinct.select("id", "v", "copies").mapInArrow(run, "id long, v array<float>, copies long, lead double"))
+    kind = distinct.schema["v"].dataType.simpleString()
+    led = checkpoint(distinct.select("id", "v", "copies").mapInArrow(run, f"id long, v {kind}, copies long, lead double"))
     # counts of narrow strips of the axis, at most 4096 whatever the rows, give each row's place to within a strip
     led = led.withColumn("strip", F.least(F.floor((F.col("lead") + 1) * 2048), F.lit(4095)).cast("int"))
     strips = led.groupBy("strip").agg(F.count("*").alias("n"))
@@ -89,11 +91,12 @@ def near_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarr
     """Rows i of x and j of y, both turned unit vectors, whose product is at least the threshold."""
     out_i, out_j = [], []
     tails = [[np.sqrt(np.maximum(0, 1 - (z[:, :d] ** 2).sum(1))) for d in range(STEP, z.shape[1], STEP)] for z in (x, y)]
-    for at in range(0, len(x), 512):
-        own = x[at : at + 512]
+    slab = max(1, SLAB // max(1, len(y)))  # all its pairs may be alive
+    for at in range(0, len(x), slab):
+        own = x[at : at + slab]
         sums = own[:, :STEP] @ y[:, :STEP].T
         if tails[0]:
-            i, j = np.nonzero(sums + tails[0][0][at : at + 512, None] * tails[1][0] >= threshold - 1e-9)
+            i, j = np.nonzero(sums + tails[0][0][at : at + slab, None] * tails[1][0] >= threshold - 1e-9)
         else:
             i, j = np.nonzero(sums >= threshold - 1e-9)
         part = sums[i, j]
@@ -128,9 +131,8 @@ def _compared(tiles: DataFrame, pairs: DataFrame, turn: np.ndarray, threshold: f
 
     def run(rows: pa.Table) -> pa.Table:
         ids, copies = rows.column("id").to_numpy(), rows.column("copies").to_numpy()
-        raw = matrix(rows.column("v").combine_chunks())
-        unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        z = unit @ turn
+        x = _unit(rows.column("v").combine_chunks())
+        z = x @ turn
         first, same = rows.column("first").to_numpy(zero_copy_only=False), bool((rows.column("a").to_numpy() == rows.column("b").to_numpy()).all())
         left = np.flatnonzero(first)
         right = left if same else np.flatnonzero(~first)
@@ -139,7 +141,7 @@ def _compared(tiles: DataFrame, pairs: DataFrame, turn: np.ndarray, threshold: f
         if same:
             i, j = i[i < j], j[i < j]
         fine = np.concatenate(
-            [(unit[i[at : at + 65536]] * unit[j[at : at + 65536]]).sum(1) >= threshold for at in range(0, len(i), 65536)] or [np.zeros(0, bool)]
+            [(x[i[at : at + 65536]] * x[j[at : at + 65536]]).sum(1) >= threshold for at in range(0, len(i), 65536)] or [np.zeros(0, bool)]
         )
         i, j = i[fine], j[fine]
         n = np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
