@@ -44,7 +44,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+#: Edges (two nodes each) of a graph that one task may hold; its rounds then need no shuffles. Larger ones are distributed.
+SMALL_GRAPH = 50_000
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_GRAPH) -> DataFrame:
     """Connected components of an undirected graph: one row ``(node, component)`` per node that has an edge.
 
     ``component`` is the smallest node that can be reached. Large-star and small-star steps take turns until the
@@ -60,6 +64,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen or not state[0]:
             break
+        if seen is None and state[0] <= small:  # the edges never grow in number
+            e = checkpoint(e.coalesce(1))
         seen = state
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
             e.select(F.col("v").alias("x"), F.col("u").alias("y"))

@@ -68,9 +68,9 @@ def test_equals_sql(spark, name):
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(300, 360)]
-    got = {r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got, again = ({r.node: r.component for r in common.components(spark.createDataFrame(edges, "a long, b long"), small=n).collect()} for n in (0, 1000))
     want = roots(361, edges)
-    assert got == {n: want[n] for e in edges for n in e if e[0] != e[1]} | {n: want[n] for n in got}
+    assert got == again == {n: want[n] for e in edges for n in e if e[0] != e[1]} | {n: want[n] for n in got}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -116,7 +116,7 @@ def test_near_lines_by_loop(spark, edits, few, seed):
     lines = sorted({varied(rnd, b, rnd.choice([0, 1, 1, 2, 3])) for b in base for _ in range(15)})
     lines = [x for x in lines if len(x) >= 10]
     keyed = linededup._keyed(docs_of(spark, enumerate(lines)))
-    pairs = {(r.a.doc_id, r.b.doc_id) for r in linededup.candidates(keyed, linededup._lines(keyed, 10), edits, few).collect()}
+    pairs = {(r.a.doc_id, r.b.doc_id) for r in linededup.candidates(keyed, linededup._lines(keyed), edits, few).collect()}
     db = duckdb.connect()
     close = lambda a, b: db.execute("SELECT levenshtein(?, ?)", [lines[a], lines[b]]).fetchall()[0][0] <= edits
     want = [p for p in itertools.combinations(range(len(lines)), 2) if abs(len(lines[p[0]]) - len(lines[p[1]])) <= edits and close(*p)]
@@ -132,13 +132,23 @@ def test_banded_distance(spark):
         assert got.where("want <> got").count() == 0
 
 
+def test_near_on_long_lines(spark):
+    """Time is in proportion to the line: a megabyte with an edit in its middle, and one whose halves differ."""
+    long = "".join(random.Random(1).choices("abcdefgh é", k=1_000_000))
+    rows = [(1, long), (2, long[:500_000] + "ß" + long[500_000:]), (3, long[:600_000] + long[:400_001][::-1])]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 1, 3: 0}
+
+
 def test_lines_edge_cases(spark):
     rows = [*ODD, (8, "keep me as I am\nshort\nshort"), (9, "keep me as I an\nshort\n\nkeep me as I am"), (10, "x\nkeep me as I am" * 2)]
     got = linededup.dedup_lines(docs_of(spark, rows))
     assert got.columns == [*docs_of(spark, rows).columns, "n_lines", "n_removed"] and got.count() == len(rows)
     by = {r.doc_id: r for r in got.collect()}
     assert by[1].text is None and (by[1].n_lines, by[1].n_removed) == (0, 0) and by[2].n_lines == 1
-    assert by[8].text == "keep me as I am\nshort\nshort" and by[9].text == "short\n" and by[9].n_removed == 2
+    assert by[8].text == "keep me as I am\nshort" and by[9].text == "" and by[9].n_removed == 3  # its blank line stays
+    clash = docs_of(spark, rows).withColumn("n_lines", F.lit("mine")).withColumn("n_removed", F.lit("mine"))
+    assert linededup.dedup_lines(clash).columns == got.columns
     assert linededup.dedup_lines(docs_of(spark, rows).limit(0)).count() == 0
 
 
@@ -200,11 +210,24 @@ def test_neighbours(spark):
         assert all(c == pytest.approx(s[v], abs=1e-12) for v, c in got[q])
         hits += len({v for v, _ in got[q]} & set(order))
     assert hits >= 0.9 * 150
+    split = {(r.query_id, r.rank, r.vec_id) for r in ann.search(rows.where("id % 20 = 0"), rows, k=10, mean=1, probes=24, block=8).collect()}
+    assert len(split & {(q, i + 1, v) for q, found in got.items() for i, (v, _) in enumerate(found)}) >= 0.9 * 150  # several hashes, hot blocks
     few = rows.where("id < 4")
     assert ann.search(few, few, k=10).count() == 12  # fewer rows than asked for: all of them
     assert ann.search(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_double_vectors(spark):
+    """Doubles stay doubles, large ones too; a hot vector is dealt out in blocks."""
+    rows = [(i, [0.17, 0.0, 1.0]) for i in range(60)] + [(100, [1.0, 0.0, 0.0]), (101, [1e300, 1e300, 0.0]), (102, [-1e300, 0.0, 1e-9])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    own = ann.usable(df, "vec_id", "embedding")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in ann.search(own.where("id = 100"), own, k=70, block=8).collect()}
+    assert len(got) == 62 and got[100, 1] == (101, 1e300) and got[100, 2] == (0, 0.17) and got[100, 62] == (102, -1e300)
+    near = {r.id: r.n_links for r in vecdedup.near_vectors(df, "vec_id", "embedding").collect()}
+    assert near[0] == 59 and near[101] == 0 and near[100] == 0
+
+
 @pytest.mark.parametrize("tile", [16, 2048])
 def test_near_vectors(spark, tile):
     x = random_vectors(2)
@@ -351,6 +374,15 @@ def test_repeats_by_loop(spark, length, key, group):
     assert suffix.remove_repeats(docs_of(spark, rows).limit(0), length, key).count() == 0
 
 
+def test_many_rows_alike(spark):
+    """Thousands of rows that are alike in doc_id and text take a result each, in time in proportion to them."""
+    text = "".join(random.Random(3).choices("abcdefgh ", k=4000))
+    one = spark.createDataFrame([(None, text), (1, text[1000:1600] + "x" * 300), (2, "y" * 399)], DOC.rpartition(",")[0])
+    rows = one.withColumn("k", F.explode(F.sequence(F.lit(1), F.when(F.col("doc_id").isNull(), 10_000).otherwise(1))))
+    got = {(r.doc_id, r.n_removed, r.n_spans, r.n) for r in suffix.remove_repeats(rows).groupBy("doc_id", "n_removed", "n_spans").agg(F.count("*").alias("n")).collect()}
+    assert got == {(None, 4000, 1, 10_000), (1, 600, 1, 1), (2, 0, 0, 1)}
+
+
 def test_long_texts_in_parts(monkeypatch):
     monkeypatch.setattr(suffix, "CHUNK", 128)
     rnd = random.Random(1)
