@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,6 +49,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
 SMALL_GRAPH = 50_000
 
 
+def _pairs(*pairs: tuple[str, str], names: tuple[str, str]) -> Column:
+    """An array of structs with these names, one for each pair of columns."""
+    return F.array(*[F.struct(F.col(p).alias(names[0]), F.col(q).alias(names[1])) for p, q in pairs])
+
+
+def _lowest_in_place(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Each row with ``m``, the least value of its key: a window shuffles nothing where the rows are in one task."""
+    return df.withColumn("m", F.min(value).over(Window.partitionBy(key)))
+
+
+def _lowest_by_join(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The same by a join, which may be split where a key is hot."""
+    return df.join(df.groupBy(key).agg(F.min(value).alias("m")), key)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_GRAPH) -> DataFrame:
     """Connected components of an undirected graph: one row ``(node, component)`` per node that has an edge.
 
@@ -64,23 +80,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", small: int = SMALL_
         state = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if state == seen or not state[0]:
             break
-        if seen is None and state[0] <= small:  # the edges never grow in number
-            e = checkpoint(e.coalesce(1))
+        if state[0] <= small:  # stated in each round, as a checkpoint forgets how its rows are dealt
+            e, lowest = e.coalesce(1), _lowest_in_place
+        else:
+            lowest = _lowest_by_join
         seen = state
-        both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(
-            e.select(F.col("v").alias("x"), F.col("u").alias("y"))
-        )
-        low = both.groupBy("x").agg(F.min("y").alias("m"))
-        large = (
-            both.join(low, "x").where("y > x").select(F.least("m", "x").alias("u"), F.col("y").alias("v")).distinct()
-        )
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        near = large.join(low, "v")
-        e = checkpoint(
-            near.where("u <> m")
-            .select(F.col("m").alias("u"), F.col("u").alias("v"))
-            .unionByName(near.select(F.col("m").alias("u"), "v"))
-            .distinct()
-        )
+        both = e.select(F.inline(_pairs(("u", "v"), ("v", "u"), names=("x", "y"))))
+        large = lowest(both, "x", "y").where("y > x").select(F.least("m", "x").alias("u"), F.col("y").alias("v")).distinct()
+        near = lowest(large, "v", "u")
+        e = checkpoint(near.select(F.inline(_pairs(("m", "u"), ("m", "v"), names=("u", "v")))).where("u <> v").distinct())
     roots = e.select(F.col("u").alias("node"), F.col("u").alias("component")).distinct()
     return e.select(F.col("v").alias("node"), F.col("u").alias("component")).unionByName(roots)
