@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convrecall.functions import text as T
-from convrecall.operators.coref import fold
+from convrecall.operators.coref import Memory, is_open
 from convrecall.operators.keyword import user_turns
 from convrecall.operators.vectors import upsert
 
@@ -60,37 +62,68 @@ def stream_slots(facts: DataFrame) -> DataFrame:
 def stream_repaired(facts: DataFrame) -> DataFrame:
     """Facts with repaired subjects in update form: whatever a micro-batch adds or changes in its conversations.
 
-    The state of a conversation is its facts so far. Facts of turns before the last one seen come out as ``late`` and
-    are not taken up.
+    The state of a conversation is its alias and entities before its last turn, the facts of that turn (which may go
+    on in the next micro-batch) and those that still wait for the user's name. Facts of turns before the last one seen
+    come out as ``late`` and are not taken up. A null turn_id counts as -1.
     """
     names = ["turn_id", "fact_idx", "subject", "predicate", "object", "text"]
-    kinds = [F.col("turn_id").cast("int"), F.col("fact_idx").cast("int"), *names[2:]]
+    kinds = [F.coalesce(F.col("turn_id").cast("int"), F.lit(-1)).alias("turn_id"), F.coalesce(F.col("fact_idx").cast("int"), F.lit(0)).alias("fact_idx"), *names[2:]]
+    shown, now = len(names), len(names) + 1  # what came out for a fact before, and what holds now
+
+    def advance(memory: Memory, turn: int, rows: list[list], waiting: list[list]) -> list[list]:
+        for row, (subject, learned) in zip(rows, memory.turn(turn, [tuple(r[2:6]) for r in rows])):
+            row[now] = subject
+            if learned:
+                for other in waiting:
+                    other[now] = learned
+                waiting = []
+            if is_open(subject):
+                waiting = [*waiting, row]
+        return waiting
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = [tuple(x) for x in zip(*state.get)] if state.exists else []
-        new = [tuple(x) for x in pd.concat(list(batches)).sort_values(["turn_id", "fact_idx"], kind="stable")[names].itertuples(index=False, name=None)]
-        last = old[-1][0] if old else None
+        old = json.loads(state.get[0]) if state.exists else {"memory": None, "waiting": [], "rows": []}
+        memory, waiting, rows = Memory(old["memory"]), old["waiting"], old["rows"]
+        last = rows[-1][0] if rows else None
+        new = pd.concat(list(batches)).sort_values(["turn_id", "fact_idx"], kind="stable")[names]
+        new = [[*x, None, None] for x in new.itertuples(index=False, name=None)]
         late = [x for x in new if last is not None and x[0] < last]
-        kept = [*old, *(x for x in new if last is None or x[0] >= last)]
-        as_rows = lambda xs: [dict(zip(names, x)) for x in xs]
-        before, after = fold(as_rows(old)), fold(as_rows(kept))
-        out = [(key[0], *x[:2], s, *x[3:5], False) for i, (x, s) in enumerate(zip(kept, after)) if i >= len(old) or before[i] != s]
+        rows = rows + [x for x in new if last is None or x[0] >= last]
+        facts = [*waiting, *rows]
+        turns = [(turn, list(xs)) for turn, xs in groupby(rows, key=lambda x: x[0])]
+        for turn, xs in turns[:-1]:
+            waiting = advance(memory, turn, xs, waiting)
+        before = memory.kept()
+        advance(memory, *turns[-1], waiting)
+        out = [(key[0], *x[:2], x[now], *x[3:5], False) for x in facts if x[now] != x[shown]]
         out += [(key[0], *x[:5], True) for x in late]
-        if kept:
-            state.update(tuple(list(c) for c in zip(*kept)))
+        for x in facts:
+            x[shown] = x[now]
+        state.update((json.dumps({"memory": before, "waiting": [[*x[:2], "", *x[3:5], "", *x[shown:]] for x in waiting], "rows": turns[-1][1]}),))
         yield pd.DataFrame(out, columns=["conv_id", *names[:5], "late"])
 
-    state = "turn_id array<int>, fact_idx array<int>, subject array<string>, predicate array<string>, object array<string>, text array<string>"
     out = "conv_id string, turn_id int, fact_idx int, subject string, predicate string, object string, late boolean"
-    return facts.select("conv_id", *kinds).groupBy("conv_id").applyInPandasWithState(run, out, state, "update", GroupStateTimeout.NoTimeout)
+    return facts.select("conv_id", *kinds).groupBy("conv_id").applyInPandasWithState(run, out, "kept string", "update", GroupStateTimeout.NoTimeout)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of a kept table that were written to their end."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")
+    found = done.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(done)
+    return sorted(int(f.getPath().getParent().getName()[1:]) for f in found or ())
 
 
 def upsert_sink(path: str, key: str, order: str):
-    """A ``foreachBatch`` function that keeps the table at ``path``: a version for each batch, so replays change nothing."""
+    """A ``foreachBatch`` function that keeps the table at ``path``: a version for each batch, so replays change nothing.
+
+    A batch starts from the newest version before it, whatever number the first batch has. Each batch writes the whole
+    table: this is a sink for tables that are small beside their stream.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{batch_id - 1}") if batch_id else batch.limit(0)
+        before = [v for v in _versions(spark, path) if v < batch_id]
+        old = spark.read.parquet(f"{path}/v{before[-1]}") if before else batch.limit(0)
         upsert(old, batch, key, order).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return write

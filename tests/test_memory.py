@@ -100,9 +100,101 @@ def test_pronouns(spark):
     assert got[:3] == ["Liam Chen", "Liam Chen", "Nova Labs"]
 
 
-def test_named_user_rewrites_earlier_facts():
-    rows = [dict(turn_id=t, fact_idx=0, subject=s, predicate=p, object=o, text="") for t, s, p, o in ((1, "me", "likes", "tea"), (2, "<USER>", "name", "Ann"))]
-    assert coref.fold(rows)[0] == "Ann"
+def plain_fold(rows: list[dict]) -> list[str]:
+    """Repaired subjects of one conversation's facts in their order, with everything looked at again at each turn."""
+    alias: str | None = None
+    seen: dict[str, int] = {}  # entity -> turn, in order of first mention
+    cased: dict[str, str] = {}
+    out: list[str] = []
+
+    def canon(subject: str) -> str:
+        low = subject.strip().lower()
+        if low in coref.FIRST:
+            return alias or "<USER>"
+        return alias if alias and low == alias.lower() else subject
+
+    i = 0
+    while i < len(rows):
+        turn = rows[i]["turn_id"]
+        here = [r for r in rows[i:] if r["turn_id"] == turn]
+        recent = [cased.get(e, e) for e, _ in sorted(seen.items(), key=lambda x: -x[1])]
+        words = coref._tokens(here[0]["text"])
+        repaired = []
+        for r in here:
+            subject = r["subject"] or ""
+            low = subject.strip().lower()
+            if low in coref.PRONOUNS:
+                subject = alias or (recent[0] if recent else "<USER>")
+            elif any(v in low for v in coref.VAGUE):
+                subject = next((e for e in recent if coref._overlap(words, coref._tokens(e)) >= 0.2), subject)
+            repaired.append(canon(subject))
+        for subject, r in zip(repaired, here):
+            seen[subject.lower()] = turn
+            seen[(r["object"] or "").lower()] = turn
+        for subject, r in zip(repaired, here):
+            if r["predicate"] == "name" and (r["object"] or "").strip():
+                name = r["object"].strip()
+                alias = alias if alias and alias.lower() == name.lower() else name
+                out = [alias if s.lower() == "<user>" else s for s in out]
+                if "<user>" in seen:
+                    seen[alias.lower()] = seen.pop("<user>")
+                cased.pop("<user>", None)
+            subject = canon(subject)
+            out.append(subject)
+            cased.setdefault(subject.lower(), subject)
+            cased.setdefault((r["object"] or "").lower(), r["object"] or "")
+            seen[subject.lower()] = turn
+            seen[(r["object"] or "").lower()] = turn
+        i += len(here)
+    return out
+
+
+TOLD = "conv_id string, turn_id int, fact_idx int, subject string, predicate string, object string, text string"
+
+
+def told(rnd, conv, turns):
+    """Facts of a conversation in its order, with pronouns, vague heads, names in several casings and blanks."""
+    subjects = ["me", "she", "they", "Ann", "ANN", "Nova Labs", "nova labs", "the office", "Nova team", "<USER>", "", None, "Bo"]
+    rows = []
+    for t in sorted(rnd.sample(range(turns * 2), turns)):
+        text = rnd.choice(["the Nova Labs office", "ann and her team", "", None, "Bo headquarters of nova"])
+        for i in range(rnd.randrange(1, 4)):
+            p, o = rnd.choice([("likes", "tea"), ("name", "Ann"), ("name", " ANN "), ("name", "Bo"), ("name", " "), ("works_at", "Nova Labs"), ("likes", None), ("at", "<USER>")])
+            rows.append((conv, t, i, rnd.choice(subjects), p if rnd.random() < 0.5 or p != "name" else "knows", o, text))
+    return rows
+
+
+def by_plain_fold(rows):
+    named = [dict(zip(("conv_id", "turn_id", "fact_idx", "subject", "predicate", "object", "text"), r)) for r in rows]
+    return {(*r[:3],): s for r, s in zip(rows, plain_fold(named))}
+
+
+def test_repairs_by_plain_fold(spark):
+    rnd = random.Random(5)
+    chats = [told(rnd, f"c{k}", rnd.randrange(1, 14)) for k in range(60)]
+    want = {k: s for rows in chats for k, s in by_plain_fold(rows).items()}
+    rows = [(*r, 7) for chat in chats for r in chat]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, TOLD + ", more int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")  # turns go on from batch to batch
+    try:
+        got = coref.repair(df)
+        assert got.columns == df.columns
+        assert {(r.conv_id, r.turn_id, r.fact_idx): r.subject for r in got.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert coref.repair(df.limit(0)).count() == 0
+
+
+def test_repairs_of_nulls_and_long_conversations(spark):
+    nulls = spark.createDataFrame([(None, None, None, None, None, None, None), ("c", 1, 0, "me", "name", "Ann", None), ("c", None, 0, "i", "likes", "tea", None)], TOLD)
+    got = {(r.conv_id, r.turn_id): r.subject for r in coref.repair(nulls).collect()}
+    assert got == {(None, None): "", ("c", 1): "Ann", ("c", None): "Ann"}
+    # 60,000 facts, all of them waiting for the name in the last one
+    n = F.col("id").cast("int")
+    long = spark.range(60_000).select(F.lit("c").alias("conv_id"), n.alias("turn_id"), F.lit(0).alias("fact_idx"), F.lit("<USER>").alias("subject"),
+        F.when(n == 59_999, "name").otherwise("likes").alias("predicate"), F.when(n == 59_999, "Ann").otherwise(F.concat(F.lit("thing"), n)).alias("object"), F.lit("x").alias("text"))
+    assert [tuple(r) for r in coref.repair(long).groupBy("subject").count().collect()] == [("Ann", 60_000)]
 
 
 def test_metrics_worked(spark):

@@ -1,6 +1,7 @@
 """Readers, curation and streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from convrecall.operators import curate, facts as M, keyword
 from convrecall.plans import inputs
 from convrecall.sources import conversations as S
 from convrecall.streaming import memory
+from tests.test_memory import TOLD, by_plain_fold, told
 
 SF = "/root/testdata/sf0.001"
 ROW = {"conversation_id": "c1", "scenario": " Simple", "difficulty": "EASY", "turns": [{"role": "User", "content": " I live in Oslo. "}, {"role": "assistant", "content": "ok"},
@@ -95,10 +97,36 @@ def test_streamed_repairs(spark, tmp_path):
     assert [(r.turn_id, r.subject, r.late) for r in got] == [(1, "<USER>", False)]
 
 
+def test_streamed_repairs_equal_batch(spark, tmp_path):
+    rnd = random.Random(6)
+    for k in range(12):
+        rows, folder = told(rnd, "c", 9), tmp_path / str(k)
+        at = sorted(rnd.sample(range(1, len(rows)), 3))  # also in the midst of turns
+        for part in (rows[i:j] for i, j in zip([0, *at], [*at, len(rows)])):
+            spark.createDataFrame(part, TOLD).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = spark.readStream.schema(TOLD).option("maxFilesPerTrigger", 1).parquet(str(folder))
+        now = {}
+        query = stream_to(now, memory.stream_repaired(stream))
+        assert now == by_plain_fold(rows), query
+
+
+def stream_to(now, stream):
+    """Run a stream and keep the last subject that comes out for each fact."""
+
+    def take(batch, batch_id):
+        for r in batch.collect():
+            assert not r.late
+            now[r.conv_id, r.turn_id, r.fact_idx] = r.subject
+
+    query = stream.writeStream.outputMode("update").trigger(availableNow=True).foreachBatch(take).start()
+    query.awaitTermination()
+    return query
+
+
 def test_upserts_replay(spark, tmp_path):
     write = memory.upsert_sink(str(tmp_path / "t"), "key", "n")
     a = spark.createDataFrame([("x", 1)], "key string, n int")
     b = spark.createDataFrame([("x", 2), ("y", 1)], "key string, n int")
-    for df, k in ((a, 0), (b, 1), (b, 1)):
+    for df, k in ((a, 3), (b, 5), (b, 5)):  # a first batch of any number
         write(df, k)
-    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()} == {("x", 2), ("y", 1)}
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "t/v5")).collect()} == {("x", 2), ("y", 1)}
