@@ -112,6 +112,19 @@ def generation_grid(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
     return rows.select(name.alias("conversation_id"), "scenario", "difficulty", "temperature", F.pmod(F.xxhash64(name), F.lit(1_000_000_000)).alias("row_seed"))
 
 
+def generation_prompts(grid: DataFrame, system: str, template: str, model: str) -> DataFrame:
+    """``grid`` with the two prompts of each example and the model's name, in the form of a prompt log.
+
+    ``template`` names columns of the grid and ``{n_turns}``, the turns asked for, in braces. The texts of the prompts
+    are the caller's, as the model is.
+    """
+    turns = F.create_map(*[x for d, (low, high) in TURNS.items() for x in (F.lit(d), F.lit(f"{low}-{high}"))])
+    user = F.lit(template)
+    for name, value in (*[(c, F.col(c).cast("string")) for c in grid.columns], ("n_turns", turns[F.col("difficulty")])):
+        user = F.replace(user, F.lit(f"{{{name}}}"), F.coalesce(value, F.lit("")))
+    return grid.withColumns({"system": F.lit(system), "user": user, "model": F.lit(model)})
+
+
 def parse_generated(replies: DataFrame) -> DataFrame:
     """Examples from replies (conversation_id, scenario, difficulty, reply), validated; what fails keeps its reason."""
     own = F.from_json(T.json_object("reply"), SCHEMA)

@@ -69,6 +69,24 @@ def split_valid(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return facts.where(valid_fact()), facts.where(~valid_fact())
 
 
+def make_facts(rows: DataFrame) -> DataFrame:
+    """Whole facts of rows that have a subject, a predicate and an object at least; ``split_valid`` parts good from bad.
+
+    Subject, predicate, object and source become normal text (null: empty). What is missing or null gets its default:
+    a confidence of 0.85, active, no supersedes and no created_at, an empty ``meta``, and an id that is a hash of the
+    source and the fact. Other columns are kept.
+    """
+    none = F.lit(None).cast("string")
+    given = lambda c, default: F.coalesce(F.col(c), default) if c in rows.columns else default
+    made = rows.withColumns({c: T.norm_text(given(c, none)) for c in ("subject", "predicate", "object", "source")})
+    empty = F.create_map().cast("map<string, string>")
+    return made.withColumns({
+        "fact_id": F.coalesce(F.nullif(given("fact_id", none), F.lit("")), T.fact_id("source", "subject", "predicate", "object")),
+        "confidence": given("confidence", F.lit(0.85)).cast("double"), "active": given("active", F.lit(True)),
+        "supersedes": given("supersedes", none), "created_at": given("created_at", none), "meta": given("meta", empty),
+    })
+
+
 def valid_chunk(dim: int | None = None) -> Column:
     """Id and text are not empty; an embedding, if there is one, is of numbers and of the dimension asked for."""
     v = F.col("embedding")
@@ -78,8 +96,9 @@ def valid_chunk(dim: int | None = None) -> Column:
 
 
 def chunks(facts: DataFrame) -> DataFrame:
-    """A chunk of each fact: its text and, as ``meta``, what it was made from."""
+    """A chunk of each fact: its text and, as ``meta``, what it was made from and its state, as far as it is known."""
     meta = ("conv_id", "fact_id", "subject", "predicate", "object", "confidence", "evidence")
+    meta += tuple(c for c in ("created_at", "active", "supersedes") if c in facts.columns)
     pairs = [x for c in meta for x in (F.lit(c), F.col(c).cast("string"))]
     return facts.select(
         F.concat(F.lit("chunk_"), F.substring(F.sha2(F.col("fact_id"), 256), 1, 12)).alias("chunk_id"),

@@ -78,13 +78,15 @@ def _guided(c: Column, own: str, weight: float) -> Column:
 
 
 def graph_retrieve(
-    queries: DataFrame, states: DataFrame, k: int = 5, hops: int = 2, aliases: DataFrame | None = None, max_edges: int | None = None
+    queries: DataFrame, states: DataFrame, k: int = 5, hops: int = 2, aliases: DataFrame | None = None, max_edges: int | None = None,
+    half_life_s: float | None = None,
 ) -> DataFrame:
     """``(qid, rank, fact_id, subject, predicate, object, text, hop, path, score)`` of each query's best facts.
 
     Candidates touch a node that the seeds reach. The path score falls with the distance, so the least distance over
     both ends and all seeds decides. ``max_edges`` bounds a query's candidates in the order (hop, turn_id, fact_idx);
-    by default nothing is cut. Ties are broken in that order too.
+    by default nothing is cut. Ties are broken in that order too. Recency counts 0.20 for every fact; with
+    ``half_life_s`` it is halved with each half-life of ``age_s``, a column of ``states`` (null: no age).
     """
     nodes, edges = build_graph(states)
     seeds = seeds_from_query(queries, nodes, aliases)
@@ -92,7 +94,7 @@ def graph_retrieve(
     ends = near.join(edges.withColumn("node", F.col("src")), ["conv_id", "node"]).unionByName(
         near.join(edges.withColumn("node", F.col("dst")), ["conv_id", "node"])
     )
-    fact = ["conv_id", "turn_id", "fact_idx", "src", "predicate", "dst", "confidence", "evidence"]
+    fact = ["conv_id", "turn_id", "fact_idx", "src", "predicate", "dst", "confidence", "evidence"] + ["age_s"] * (half_life_s is not None)
     found = ends.groupBy("qid", "fact_id").agg(F.min("hop").alias("hop"), *[F.first(c).alias(c) for c in fact])
     if max_edges is not None:
         order = Window.partitionBy("qid").orderBy("hop", "turn_id", "fact_idx", "fact_id")
@@ -108,7 +110,8 @@ def graph_retrieve(
     touches = F.array_contains("seeds", F.lower("src")) | F.array_contains("seeds", F.lower("dst"))
     boost = _guided(F.col("q_predicate"), "predicate", 0.05) + _guided(F.col("q_object"), "dst", 0.05)
     rows = rows.withColumn("path", path).where("path > 0")
-    rows = rows.withColumn("score", 0.45 * F.col("path") + 0.30 * lexical + 0.20 + F.when(touches, 0.05).otherwise(0.0) + boost)
+    recency = F.lit(0.20) if half_life_s is None else 0.20 * T.half_life_weight(F.col("age_s"), half_life_s)
+    rows = rows.withColumn("score", 0.45 * F.col("path") + 0.30 * lexical + recency + F.when(touches, 0.05).otherwise(0.0) + boost)
     best = top_k(rows, k, "hop", "turn_id", "fact_idx", "fact_id")
     return best.select(
         "qid", "rank", "fact_id", F.col("src").alias("subject"), "predicate", F.col("dst").alias("object"), F.col("evidence").alias("text"), "hop", "path", "score"

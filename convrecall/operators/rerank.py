@@ -33,10 +33,15 @@ def model_rerank(rows: DataFrame, replies: DataFrame) -> DataFrame:
     return rows.join(scored, ["qid", "rank"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(0.0)))
 
 
-def envelope(results: DataFrame, system: str) -> DataFrame:
-    """Results of one system in the shared form; ``text`` falls back to object, then subject, then the empty string."""
+def envelope(results: DataFrame, system: str, parts: tuple[str, ...] = ()) -> DataFrame:
+    """Results of one system in the shared form; ``text`` falls back to object, then subject, then the empty string.
+
+    ``scores`` maps the names of ``parts``, the columns that the score was made of, to their values; null ones are left out.
+    """
     have = set(results.columns)
+    pairs = [x for c in parts for x in (F.lit(c), F.col(c).cast("double"))]
+    scores = F.map_filter(F.create_map(*pairs).cast("map<string, double>"), lambda k, v: v.isNotNull()).alias("scores")
     cols = [F.col(c).cast("string").alias(c) if c in have else F.lit(None).cast("string").alias(c) for c in ENVELOPE]
-    rows = results.select(F.lit(system).alias("system"), "qid", "rank", F.col("score").cast("double").alias("score"), *cols)
+    rows = results.select(F.lit(system).alias("system"), "qid", "rank", F.col("score").cast("double").alias("score"), *cols, scores)
     filled = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in ("text", "object", "subject")], F.lit(""))
     return rows.withColumn("text", filled)

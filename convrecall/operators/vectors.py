@@ -46,6 +46,18 @@ def embed_batch(df: DataFrame, embed: Callable[[pd.Series], list[list[float]]],
     return df.join(distinct.mapInPandas(run, f"`{text}` string, embedding array<float>"), text, "left")
 
 
+def vector_rows(chunks: DataFrame, embed: Callable[[pd.Series], list[list[float]]]) -> DataFrame:
+    """``(id, text, source, created_at, vector, metadata)`` of chunks (chunk_id, text, source, created_at, meta).
+
+    ``metadata`` is ``meta`` with source and created_at, where ``meta`` has none of these; null values are left out.
+    """
+    own = F.map_from_arrays(F.array(F.lit("source"), F.lit("created_at")), F.array(F.col("source"), F.col("created_at").cast("string")))
+    meta = F.coalesce("meta", F.create_map().cast("map<string, string>"))
+    every = F.map_filter(F.map_zip_with(own, meta, lambda k, ours, given: F.coalesce(given, ours)), lambda k, v: v.isNotNull())
+    rows = chunks.select(F.col("chunk_id").alias("id"), "text", "source", "created_at", every.alias("metadata"))
+    return embed_batch(rows, embed).select("id", "text", "source", "created_at", F.col("embedding").alias("vector"), "metadata")
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", block: int = BLOCK) -> DataFrame:
     """``(qid, id, rank, score)``: exact neighbours of ``queries`` (qid, v) among ``vectors`` (id, v).
 

@@ -291,7 +291,7 @@ CAST(NULL AS VARCHAR) AS object, CAST(NULL AS VARCHAR) AS source, CAST(NULL AS V
 def result_envelope(spark, sf_dir):
     docs, probes = _chats(spark, sf_dir)
     rows = keyword.bm25_retrieve(probes, docs, 3).select("qid", "rank", "score", "text", F.lit("chunk").alias("type"), F.col("doc").alias("id"))
-    return rerank.envelope(rows, "keyword").withColumn("score", F.round("score", 6))
+    return rerank.envelope(rows, "keyword").withColumn("score", F.round("score", 6)).drop("scores")
 
 
 @query(f"""WITH {_CHATS}, {_bm25_sql(3)}, w AS (SELECT f.*, p.query, [x for x in string_split(lower(p.query), ' ') if x <> ''] AS a, [x for x in string_split(lower(f.text), ' ') if x <> ''] AS b FROM found f JOIN probes p USING (qid))
@@ -396,6 +396,65 @@ def fact_chunks(spark, sf_dir):
     return M.chunks(I.facts(spark, sf_dir)).where(F.col("meta")["type"] == "fact").select("chunk_id", "text", "conv_id", "turn_id")
 
 
+@query("""SELECT DISTINCT source, subject, predicate, object, confidence, active, supersedes, created_at,
+  'fact_' || substr(sha256(concat_ws(chr(31), source, subject, predicate, object)), 1, 12) AS fact_id, valid FROM (
+  SELECT 'user ' || user_id AS source, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'user ' || user_id END AS subject, event_type AS predicate, json_extract_string(props, '$.k') AS object,
+    CASE WHEN event_id % 3 = 0 THEN 0.85 ELSE value / 100 END AS confidence, true AS active, CAST(NULL AS VARCHAR) AS supersedes, CAST(ts AS VARCHAR) AS created_at,
+    event_id % 7 <> 0 AND coalesce(json_extract_string(props, '$.k'), '') <> '' AND CASE WHEN event_id % 3 = 0 THEN 0.85 ELSE value / 100 END BETWEEN 0 AND 1 AS valid FROM events)""")
+def made_facts(spark, sf_dir):
+    """Events as loose rows, some without a subject or a confidence, made whole and judged."""
+    n, user = F.col("event_id"), F.concat(F.lit("  user\t"), F.col("user_id").cast("string"), F.lit(" "))
+    rows = I.table(spark, sf_dir, "events").select(
+        user.alias("source"), F.when(n % 7 != 0, user).alias("subject"), F.col("event_type").alias("predicate"), F.get_json_object("props", "$.k").alias("object"),
+        F.when(n % 3 != 0, F.col("value") / 100).alias("confidence"), F.col("ts").cast("timestamp_ntz").cast("string").alias("created_at"),
+    )
+    return M.make_facts(rows).select("source", "subject", "predicate", "object", "confidence", "active", "supersedes", "created_at", "fact_id", M.valid_fact().alias("valid")).distinct()
+
+
+@query(f"""WITH {_SLOTS} SELECT 'chunk_' || substr(sha256(fact_id), 1, 12) AS chunk_id, conv_id, predicate, CASE WHEN active THEN 'true' ELSE 'false' END AS active, supersedes FROM states""")
+def chunk_states(spark, sf_dir):
+    """Chunks of facts with their state as metadata."""
+    rows = M.chunks(M.slot_states(I.facts(spark, sf_dir)))
+    return rows.select("chunk_id", "conv_id", *[F.col("meta")[c].alias(c) for c in ("predicate", "active", "supersedes")])
+
+
+@query("SELECT vec_id, vec_id % 5 <> 0 AND vec_id % 3 <> 0 AND len(embedding) = 64 AS valid FROM embeddings")
+def chunk_validation(spark, sf_dir):
+    """Vectors as chunks, some without an id, others with a component that is no number."""
+    n = F.col("vec_id")
+    rows = I.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.when(n % 5 != 0, n.cast("string")).alias("chunk_id"), F.col("label").cast("string").alias("text"),
+        F.when(n % 3 != 0, F.col("embedding")).otherwise(F.transform("embedding", lambda x, i: F.when(i == 3, F.lit(float("nan"))).otherwise(x))).alias("embedding"),
+    )
+    return rows.select("vec_id", M.valid_chunk(64).alias("valid"))
+
+
+@query("""SELECT conv_id || ':' || turn AS id, text, 'conv:' || conv_id AS source, 64 AS dim, role, 'conv:' || conv_id AS of_source, CAST(turn AS VARCHAR) AS of_created FROM conversations WHERE text IS NOT NULL""")
+def vector_rows(spark, sf_dir):
+    """Turns as rows of a vector table; the stand-in embedder's components are left to the tests."""
+    name = F.col("conv_id").cast("string")
+    chunks = I.table(spark, sf_dir, "conversations").where("text is not null").select(
+        F.concat_ws(":", name, F.col("turn").cast("string")).alias("chunk_id"), "text", F.concat(F.lit("conv:"), name).alias("source"), F.col("turn").alias("created_at"),
+        F.create_map(F.lit("role"), "role", F.lit("gone"), F.lit(None).cast("string")).alias("meta"),
+    )
+    rows = vectors.vector_rows(chunks, vectors.hashing_embedder(64)).where(~F.map_contains_key("metadata", "gone"))
+    of = F.col("metadata")
+    return rows.select("id", "text", "source", F.size("vector").alias("dim"), of["role"].alias("role"), of["source"].alias("of_source"), of["created_at"].alias("of_created"))
+
+
+@query("""SELECT conv_id, turn, CASE WHEN trim(regexp_extract(coalesce(text, ''), '(?i)the ([^.!?\n]+)', 1)) <> '' THEN trim(regexp_extract(coalesce(text, ''), '(?i)the ([^.!?\n]+)', 1))
+  ELSE trim(coalesce(text, '')) END AS answer FROM conversations""")
+def answers_in_texts(spark, sf_dir):
+    return I.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.answer_from_text("text", r"(?i)the ([^.!?\n]+)").alias("answer"))
+
+
+@query(f"WITH {I.FACTS} SELECT conv_id, turn_id, subject, predicate, object, confidence, fact_id FROM facts")
+def facts_as_json(spark, sf_dir):
+    """Facts as JSON text and back."""
+    rows = I.facts(spark, sf_dir).select("conv_id", "turn_id", "subject", "predicate", "object", "confidence", "fact_id")
+    return S.facts_from_json(S.facts_to_json(rows), rows.schema)
+
+
 @query(f"""WITH {I.FACTS}, rows AS (SELECT conv_id || ':' || object AS key, turn_id AS version, predicate, evidence FROM facts WHERE predicate IN ('view', 'click')),
 old AS (SELECT key, max(version) AS version, 'view' AS predicate FROM rows WHERE predicate = 'view' GROUP BY key), new AS (SELECT key, max(version) AS version, 'click' AS predicate FROM rows WHERE predicate = 'click' GROUP BY key)
 SELECT * FROM old WHERE key NOT IN (SELECT key FROM new) UNION ALL SELECT * FROM new""")
@@ -456,6 +515,23 @@ def graph_retrieval(spark, sf_dir):
     return found.select("qid", "rank", "subject", "predicate", "object", "text", "hop", F.round("path", 6).alias("path"), F.round("score", 6).alias("score"))
 
 
+@query(_SQL["graph_retrieval"].replace(" + 0.20 + ", " + 0.20 * pow(0.5, turn_id / 7.0) + "))
+def graph_recency(spark, sf_dir):
+    """The same with facts that lose half of their recency in a week; a turn is a day here."""
+    states = I.world(spark, sf_dir).withColumn("age_s", F.col("turn_id") * 86400.0)
+    found = graph.graph_retrieve(I.questions(spark, sf_dir), states, 5, half_life_s=7 * 86400.0)
+    return found.select("qid", "rank", "subject", "predicate", "object", "text", "hop", F.round("path", 6).alias("path"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH best AS ({_SQL["graph_retrieval"]}) SELECT qid, rank, 'graph' AS system, 'graph_edge' AS type, subject, object, text, score, path AS score_path, CAST(hop AS DOUBLE) AS score_hop, CAST(NULL AS DOUBLE) AS score_none FROM best""")
+def envelope_scores(spark, sf_dir):
+    """Graph results in the shared form with the parts of their scores."""
+    found = graph_retrieval(spark, sf_dir).withColumns({"type": F.lit("graph_edge"), "none": F.lit(None).cast("double")})
+    rows = rerank.envelope(found, "graph", ("path", "hop", "none"))
+    part = F.col("scores")
+    return rows.select("qid", "rank", "system", "type", "subject", "object", "text", "score", part["path"].alias("score_path"), part["hop"].alias("score_hop"), part["none"].alias("score_none"))
+
+
 @query(f"""WITH {_NEAR}, asked AS (SELECT q.qid, q.query, CASE n.n_nationkey % 3 WHEN 0 THEN n.n_name ELSE '' END AS qs, CASE WHEN n.n_nationkey % 3 < 2 THEN 'part_of' ELSE '' END AS qp,
   CASE n.n_nationkey % 3 WHEN 1 THEN n.n_name ELSE '' END AS qo FROM questions q JOIN nation n ON n.n_name = q.qid),
 cand AS (SELECT n.qid, w.fact_id, min(n.hop) AS hop FROM near n JOIN world w ON n.node IN (w.subject, w.object) GROUP BY ALL),

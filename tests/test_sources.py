@@ -44,6 +44,8 @@ def test_validation(spark, tmp_path):
 def test_grid(spark):
     grid = curate.generation_grid(spark, 2)
     assert grid.count() == 18 and grid.where("conversation_id = 'SIMPLE_EASY_7_001'").count() == 1
+    prompts = curate.generation_prompts(grid, "Write JSON.", "{scenario}, {difficulty}: {n_turns} turns as {conversation_id}", "m").where("conversation_id = 'SIMPLE_EASY_7_001'").first()
+    assert (prompts.system, prompts.user, prompts.model) == ("Write JSON.", "simple, easy: 4-6 turns as SIMPLE_EASY_7_001", "m")
 
 
 def test_writers(spark, tmp_path):
