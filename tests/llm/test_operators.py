@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -349,6 +350,58 @@ def test_language_spans_and_edge_cases(spark):
     assert langid.detect(docs.limit(0), model).count() == 0
 
 
+def plain_language(model, text):
+    """Language and score by a plain dynamic program over the words, in double precision."""
+    weights = np.frombuffer(model.weights, np.float32).reshape(-1, len(model.languages)).astype(float)
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    letters = [sum(c.isalpha() for c in w) for w in words]
+    if not sum(letters):
+        return "und", 0.0, 0.0, []
+    every = []
+    for w in words:
+        b = f" {w} ".encode()
+        own = sum(weights[((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % (1 << 32)) >> 17] for i in range(len(b) - 2))
+        may = np.array(model.scripts[langid.script(w)])
+        every.append(np.where(may, own, -1e6) if may.any() and langid.script(w) >= 0 else np.zeros_like(own))
+    best, back = np.array(every[0]), []
+    for own in every[1:]:
+        moved = best[:, None] - langid.SWITCH * (1 - np.eye(len(best)))  # from row to column
+        back.append(moved.argmax(0))
+        best = moved.max(0) + own
+    path = [int(best.argmax())]
+    for came in reversed(back):
+        path.append(int(came[path[-1]]))
+    path.reverse()
+    share = np.bincount(path, letters, len(best))
+    return model.languages[int(share.argmax())], float(share.max() / share.sum()), float(best.max()), every
+
+
+def test_language_by_plain_dynamic_program(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.train(docs.where(~langid.held_out() & F.col("doc_id").isNotNull()))
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in langid.op9_language(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for doc_id, text in texts.items():
+        lang, score, _, _ = plain_language(model, text)
+        assert (got[doc_id].lang_pred, got[doc_id].score) == (lang, pytest.approx(score, abs=1e-3))
+
+
+def test_mixed_spans_by_plain_dynamic_program(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and lang is not null")
+    model = langid.train(docs)
+    pool = [w for r in docs.collect() for w in r.text.lower().split()[:30]]
+    rnd = random.Random(9)
+    own = langid.Labeller(model)
+    texts = [" ".join(rnd.choices(pool, k=rnd.randrange(1, 40))) for _ in range(80)]
+    words = [langid.WORDS.findall(t) for t in texts]
+    labels = own.viterbi([own.ids(w) for w in words], langid.SWITCH)
+    for text, path in zip(texts, labels):
+        _, _, best, every = plain_language(model, text)
+        found = sum(own[k] for own, k in zip(every, path)) - langid.SWITCH * int((np.diff(path) != 0).sum())
+        assert found == pytest.approx(best, abs=0.05)  # as good a path as the best one, whatever its ties
+
+
 # 10
 
 
