@@ -102,16 +102,11 @@ def groups(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """
     fps = checkpoint(fingerprints(docs, shingle))
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    pairs = links(first.select("fp"))
-    ends = (
-        pairs.join(first.select(F.col("fp").alias("fa"), F.col("first").alias("a")), "fa")
-        .join(first.select(F.col("fp").alias("fb"), F.col("first").alias("b")), "fb")
-        .select("a", "b")
-    )
-    found = components(ends)
-    named = first.join(found.withColumnRenamed("node", "first"), "first", "left").select(
-        F.col("fp").alias("fp2"), F.coalesce("component", "first").alias("component_id")
-    )
+    found = components(links(first.select("fp")), "fa", "fb")  # of fingerprints, so that those without any doc_id link too
+    linked = found.join(first, F.col("node") == F.col("fp")).select("node", "component", "first")
+    least = linked.groupBy("component").agg(F.min("first").alias("least"))
+    linked = linked.join(least, "component").select("node", "least")
+    named = first.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("fp2"), F.coalesce("least", "first").alias("component_id"))
     return fps.join(named, F.col("fp") == F.col("fp2"), "left").select("doc_id", "fp", "component_id")
 
 

@@ -58,7 +58,7 @@ def varied(rnd, base, edits):
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_equals_sql(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "labels", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = registry.queries()[name](spark, SF).toPandas(), db.execute(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -311,6 +311,26 @@ def test_simhash_by_loop(spark):
     assert simhash.groups(docs_of(spark, rows).limit(0)).count() == 0
 
 
+def test_simhash_without_ids(spark, monkeypatch):
+    """Rows without a doc_id link what is near them: a chain over one, and groups of such rows alone."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: docs.select("doc_id", "fp"))
+    rows = [(7, 0b0), (None, 0b1111), (3, 0b11111111), (None, 1 << 40), (None, (1 << 40) + 1), (9, 0b11 << 50), (9, 0b11 << 50)]
+    got = simhash.groups(spark.createDataFrame(rows, "doc_id long, fp long")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(7, 3), (None, 3), (3, 3), (None, 3), (None, 3), (9, 3), (9, 3)])
+    far = [(None, 0b11111 << 20), (None, 0b11111 << 20), (1, 0)]
+    got = simhash.groups(spark.createDataFrame(far, "doc_id long, fp long")).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter([(None, None), (None, None), (1, 1)])
+    rnd = random.Random(9)
+    fps = [rnd.getrandbits(62) for _ in range(5)]
+    for _ in range(80):
+        fps.append(rnd.choice(fps) ^ sum(1 << b for b in rnd.sample(range(62), rnd.randrange(1, 6))))
+    ids = [None if rnd.random() < 0.33 else i for i in range(len(fps))]
+    got = simhash.groups(spark.createDataFrame(list(zip(ids, fps)), "doc_id long, fp long")).collect()
+    of = roots(len(fps), [(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 4])
+    least = {root: min((ids[k] for k in range(len(fps)) if of[k] == root and ids[k] is not None), default=None) for root in of}
+    assert Counter((r.doc_id, r.fp, r.component_id) for r in got) == Counter((i, f, least[root]) for i, f, root in zip(ids, fps, of))
+
+
 def test_every_link_once(spark):
     rnd = random.Random(6)
     fps = {0, -1, -(1 << 63)}
