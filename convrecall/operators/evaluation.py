@@ -74,10 +74,14 @@ def ranking_metrics(judged: DataFrame, probes: DataFrame, k: int, total: DataFra
     )
 
 
-def evaluate(results: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """One row for each probe: its labels, prediction, exact match and ranking metrics."""
+def evaluate(results: DataFrame, probes: DataFrame, k: int, total: DataFrame | None = None) -> DataFrame:
+    """One row for each probe: its labels, prediction, exact match and ranking metrics.
+
+    ``total`` (qid, n_rel) has the relevant documents of whole scopes, as ``qrels.totals`` gives them; without it
+    those retrieved are all there are, and recall is 1 after any hit.
+    """
     run = judge(build_run(results, k), probes)
-    scored = ranking_metrics(run, probes, k, top__e=F.max(F.when(F.col("rank") == 1, _top())))  # the results are computed once
+    scored = ranking_metrics(run, probes, k, total, top__e=F.max(F.when(F.col("rank") == 1, _top())))  # the results are computed once
     rows = probes.join(scored, "qid").withColumn("pred", T.norm_answer("top__e")).withColumn("em", (F.col("pred") == T.norm_answer("expected")).cast("int"))
     return rows.drop("top__e")
 

@@ -159,12 +159,38 @@ def slot_states(facts: DataFrame, scope: str = "conv") -> DataFrame:
     slot = (["conv_id"] if scope == "conv" else []) + ["slot_s", "slot_p"]
     last = Window.partitionBy(*slot, "fact_id").orderBy(*[F.desc(c) for c in order])
     keyed = keyed.withColumn("again", F.row_number().over(last)).where("again = 1").drop("again")
+    if scope == "global":
+        return _stitched(keyed, slot, order).drop("slot_s", "slot_p")
     w = Window.partitionBy(*slot).orderBy(*order)
     return keyed.withColumns({
         "active": F.lead("fact_id").over(w).isNull(), "supersedes": F.lag("fact_id").over(w), "valid_to": F.lead("turn_id").over(w),
     }).drop("slot_s", "slot_p")
 
 
+def _stitched(keyed: DataFrame, slot: list[str], order: tuple[str, ...]) -> DataFrame:
+    """The lineage of slots of any size: linked within ranges of ``order[0]``, and the ranges stitched together.
+
+    Ranges are cut at quantiles, as many as there are shuffle partitions, so a task holds a slot's facts of one range.
+    What meets beyond that are each range's first and last fact of the slot.
+    """
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = keyed.select(F.percentile_approx(order[0], [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0]
+    at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts or []))]), lambda c: c <= F.col(order[0])))
+    keyed = keyed.withColumn("range__s", F.when(F.col(order[0]).isNull(), 0).otherwise(at))
+    own = Window.partitionBy("range__s", *slot).orderBy(*order)
+    here = F.struct("fact_id", "turn_id")
+    keyed = keyed.withColumns({"prev__s": F.lag("fact_id").over(own), "next__s": F.lead(here).over(own)})
+    ends = keyed.groupBy("range__s", *slot).agg(
+        F.max(F.when(F.col("prev__s").isNull(), here)).alias("first__s"), F.max(F.when(F.col("next__s").isNull(), F.col("fact_id"))).alias("last__s")
+    )
+    whole = Window.partitionBy(*slot).orderBy("range__s")  # a row for each range
+    ends = ends.select("range__s", *slot, F.lag("last__s").over(whole).alias("before__s"), F.lead("first__s").over(whole).alias("after__s"))
+    after = F.coalesce("next__s", "after__s")
+    return keyed.join(ends, ["range__s", *slot]).withColumns({
+        "active": after.isNull(), "supersedes": F.coalesce("prev__s", "before__s"), "valid_to": after["turn_id"],
+    }).drop("range__s", "prev__s", "next__s", "before__s", "after__s")
+
+
 def latest_global(facts: DataFrame) -> DataFrame:
     """The current fact of each global slot without a sort of the whole slot: the latest by conversation, then of those."""
     key = [T.norm_entity("subject").alias("slot_s"), T.norm_entity("predicate").alias("slot_p")]

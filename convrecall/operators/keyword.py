@@ -85,14 +85,16 @@ def top_k(scored: DataFrame, k: int, *ties: str, by: str = "qid", score: str = "
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k))
 
 
-def bm25_retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, index: Index | None = None) -> DataFrame:
     """``(qid, scope, rank, doc, text, score, bm25)``: each query's best documents, itself excluded.
 
+    With ``index`` (one that is kept, say) nothing is indexed here; ``docs`` then give the texts alone.
+
     A document equal to the normalised query still counts in the statistics. ``score`` is rounded to four places.
     Ties go to the smaller doc, which is the earlier turn.
     """
-    wanted = _asked(queries, T.STOPWORDS).select("scope", "term").distinct()
-    scored = bm25_score(queries, bm25_index(docs, only=wanted), k1, b).where("score > 0")
+    index = index or bm25_index(docs, only=_asked(queries, T.STOPWORDS).select("scope", "term").distinct())
+    scored = bm25_score(queries, index, k1, b).where("score > 0")
     # texts are compared by 128 bits of hashes and fetched for what is found; no step before that carries them
     hashes = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
     asked = queries.select("qid", "scope", T.norm_text("query").alias("asked"))

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from convrecall.functions import text as T
-from convrecall.operators import coref, curate, evaluation, facts as M, graph, keyword, rerank, vectors
+from convrecall.operators import coref, curate, evaluation, facts as M, graph, keyword, qrels, rerank, vectors
+from convrecall.operators.kept_index import KeptIndex
 from convrecall.plans import inputs as I
 from convrecall.sources import conversations as S
+from convrecall.sources.keyed import KeyedTable
+from convrecall.sources.shared import new_folder
 from convrecall.streaming import memory as R
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,6 +238,43 @@ def evaluation_per_query(spark, sf_dir):
     return rows.select("qid", "scenario", "difficulty", "em", "hits", *[F.round(c, 6).alias(c) for c in _COLS], "hit", "rank", "retrieved")
 
 
+_LONGEST = "list_reduce(list_prepend('', regexp_extract_all(lower(query), '[a-z]+')), lambda a, b: CASE WHEN length(b) > length(a) OR (length(b) = length(a) AND b < a) THEN b ELSE a END)"
+
+
+def _answered(probes):
+    """Passages as questions with an answer, their longest word, the first of equal ones; the passage is the quote."""
+    words = F.regexp_extract_all(F.lower("query"), F.lit("[a-z]+"), 0)
+    longer = lambda a, b: F.when((F.length(b) > F.length(a)) | ((F.length(b) == F.length(a)) & (b < a)), b).otherwise(a)
+    return probes.withColumn("expected", F.aggregate(words, F.lit(""), longer))
+
+
+_HELD = "(want <> '' AND contains(lower({d}.text), want)) OR (query <> '' AND contains(lower({d}.text), lower(query)))"
+_ASKED = f"{I.CORPUS}, {I.PASSAGES}, wants AS (SELECT qid, scenario, difficulty, query, {_LONGEST} AS want FROM probes)"
+
+
+@query(f"WITH {_ASKED} SELECT DISTINCT qid, doc FROM wants JOIN docs d ON {_HELD.format(d='d')}")
+def qrels_corpus(spark, sf_dir):
+    """Every document that holds a passage's answer or the passage."""
+    return qrels.corpus_qrels(_answered(I.passages(spark, sf_dir)), I.corpus(spark, sf_dir))
+
+
+@query(f"""WITH {_ASKED}, {_bm25_sql(5)}, total AS (SELECT qid, count(DISTINCT doc) AS n_rel FROM wants JOIN docs d ON {_HELD.format(d='d')} GROUP BY qid),
+judged AS (SELECT f.qid, f.rank, CAST({_HELD.format(d='f')} AS INTEGER) AS rel FROM found f JOIN wants USING (qid)), upto AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS sofar FROM judged),
+sums AS (SELECT qid, sum(rel) AS hits, sum(rel * sofar / rank::DOUBLE) AS ap, min(rank) FILTER (WHERE rel = 1) AS rank, sum(rel / log2(rank + 1)) AS dcg FROM upto GROUP BY qid),
+whole AS (SELECT a.qid, a.difficulty, CAST(coalesce(hits, 0) AS BIGINT) AS hits, coalesce(n_rel, 0) AS n_rel, ap, dcg, rank FROM wants a LEFT JOIN total USING (qid) LEFT JOIN sums USING (qid))
+SELECT qid, difficulty, hits, round(hits / 5.0::DOUBLE, 6) AS precision, round(CASE WHEN n_rel > 0 THEN hits / n_rel::DOUBLE ELSE 0 END, 6) AS recall,
+  round(CASE WHEN hits > 0 THEN 2 * (hits / 5.0::DOUBLE) * (hits / n_rel::DOUBLE) / (hits / 5.0::DOUBLE + hits / n_rel::DOUBLE) ELSE 0 END, 6) AS f1,
+  round(CASE WHEN n_rel > 0 THEN coalesce(ap, 0) / n_rel ELSE 0 END, 6) AS ap, round(coalesce(1.0::DOUBLE / rank, 0), 6) AS rr,
+  round(CASE WHEN n_rel > 0 THEN coalesce(dcg, 0) / list_sum([1 / log2(i + 1) for i in range(1, least(n_rel, 5) + 1)]) ELSE 0 END, 6) AS ndcg, CAST(rank AS INTEGER) AS rank FROM whole""")
+def evaluation_corpus(spark, sf_dir):
+    """The same passages judged against all that is relevant in the corpus, so that recall is what was found of it."""
+    docs, probes = I.corpus(spark, sf_dir), _answered(I.passages(spark, sf_dir))
+    found = keyword.bm25_retrieve(probes, docs, 5)
+    run = found.select("qid", "rank", F.lit("chunk").alias("type"), F.col("doc").cast("string").alias("id"), "text", *[F.lit("").alias(c) for c in ("subject", "predicate", "object")], "score")
+    rows = evaluation.evaluate(run, probes, 5, qrels.totals(qrels.corpus_qrels(probes, docs)))
+    return rows.select("qid", "difficulty", "hits", *[F.round(c, 6).alias(c) for c in _COLS], "rank")
+
+
 _MEANS = ", ".join(f"round(avg({c}), 6) AS {n}" for c, n in evaluation.MEANS.items())
 
 
@@ -465,6 +504,46 @@ def chunk_upsert(spark, sf_dir):
     return vectors.upsert(views, rows.where("predicate = 'click'"), "key", "version")
 
 
+@query("""SELECT user_id, event_type, max(event_id) AS event_id, arg_max(json_extract_string(props, '$.k'), event_id) AS k FROM events
+GROUP BY ALL HAVING arg_max(event_id % 97 = 0, event_id) = false""")
+def keyed_upserts(spark, sf_dir):
+    """The newest event of each user and kind, kept by a table that takes three batches, one of them twice; some take theirs away."""
+    rows = I.table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", F.get_json_object("props", "$.k").alias("k"), (F.col("event_id") % 97 == 0).alias("gone"))
+    table = KeyedTable(spark, new_folder(spark, "keyed"), rows.drop("gone").schema, ("user_id", "event_type"), "event_id", ("user_id",), 16)
+    for i in (1, 0, 0, 2):  # a batch of older events comes late, and is replayed
+        table.upsert(rows.where(F.col("event_id") % 3 == i), (1, 0, 2).index(i), "gone")
+    table.compact(2)
+    return table.read()
+
+
+def _kept(spark, sf_dir):
+    """An index kept over four batches: early versions of some documents, then all, then documents that come and go."""
+    docs, index = I.corpus(spark, sf_dir).withColumn("at", F.lit(2)), KeptIndex(spark, new_folder(spark, "index"), buckets=16)
+    early = docs.where("doc % 3 = 0").withColumns({"at": F.lit(1), "text": F.concat(F.lit("an early version of "), F.reverse("text"))})
+    passing = docs.where("doc % 5 = 0").withColumn("doc", -1 - F.col("doc"))
+    for i, batch in enumerate((early.unionByName(passing), docs, early, passing.withColumns({"at": F.lit(3), "deleted": F.lit(True)}))):
+        index.update(batch, i)
+        index.update(batch, i)  # a replay
+    index.compact(2)
+    return index.open()
+
+
+@query(_SQL["bm25_term_statistics"])
+def kept_index_statistics(spark, sf_dir):
+    """Document frequencies and statistics of an index that batches change; they are those of the documents there are."""
+    index = _kept(spark, sf_dir)
+    return index.terms.join(index.stats, "scope").select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@query(_SQL["bm25_passages"])
+def kept_index_passages(spark, sf_dir):
+    """Passages searched in an index that is kept; rows are those of an index of all documents."""
+    probes = I.passages(spark, sf_dir)
+    found = keyword.bm25_retrieve(probes, I.corpus(spark, sf_dir), 5, index=_kept(spark, sf_dir))
+    run = found.select("qid", "rank", "doc", "score", "text", F.lit("").alias("object"))
+    return evaluation.judge(run, probes).select("qid", "rank", "doc", "score", "rel")
+
+
 @query()
 def pronoun_repair(spark, sf_dir):
     """The sequential fold over every user's events; no SQL, tests compare it with worked conversations."""
@@ -643,8 +722,7 @@ def curation_counts(spark, sf_dir):
 
 
 def _folder(spark):
-    own = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_streams"
-    return f"{own}/stream-{uuid.uuid4().hex}"
+    return new_folder(spark, "stream")
 
 
 def _stream(spark, sf_dir, name):

@@ -12,8 +12,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from convrecall.functions import text as T
 from convrecall.operators.coref import Memory, is_open
+from convrecall.operators.kept_index import KeptIndex
 from convrecall.operators.keyword import user_turns
 from convrecall.operators.vectors import upsert
+from convrecall.sources.keyed import KeyedTable
 
 SLOT = "conv_id string, fact_id string, subject string, predicate string, object string, turn_id int, fact_idx int, active boolean, supersedes string"
 
@@ -117,7 +119,7 @@ def upsert_sink(path: str, key: str, order: str):
     """A ``foreachBatch`` function that keeps the table at ``path``: a version for each batch, so replays change nothing.
 
     A batch starts from the newest version before it, whatever number the first batch has. Each batch writes the whole
-    table: this is a sink for tables that are small beside their stream.
+    table: this is a sink for tables that are small beside their stream. ``keyed_sink`` is for others.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -129,6 +131,29 @@ def upsert_sink(path: str, key: str, order: str):
     return write
 
 
+def keyed_sink(table: KeyedTable, deleted: str | None = None, most: int = 8):
+    """A ``foreachBatch`` function that keeps a table of any size: a batch appends to its own buckets, replays change nothing.
+
+    Buckets of more than ``most`` batches are merged as they come up.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if table.upsert(batch, batch_id, deleted):
+            table.compact(most)
+
+    return write
+
+
+def index_sink(index: KeptIndex, most: int = 8):
+    """A ``foreachBatch`` function that keeps a keyword index of the documents (scope, doc, at, text, maybe deleted)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if index.update(batch, batch_id):
+            index.compact(most)
+
+    return write
+
+
 def drain(stream: DataFrame, mode: str, folder: str) -> DataFrame:
     """Run a stream over what is there now and give all rows that it put out; a batch that is replayed is written again."""
 
