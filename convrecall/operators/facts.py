@@ -200,9 +200,35 @@ def latest_global(facts: DataFrame) -> DataFrame:
 
 
 def as_of(states: DataFrame, moments: DataFrame) -> DataFrame:
-    """Facts that are current at each moment (qid, conv_id, at): known by then and not yet replaced."""
-    on = (states["conv_id"] == moments["conv_id"]) & (F.col("turn_id") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at")))
-    return moments.join(states, on).drop(states["conv_id"])
+    """Facts that are current at each moment (qid, conv_id, at): known by then and not yet replaced.
+
+    The span of turns that moments ask for is halved again and again into cells. A fact's time is cut into the fewest
+    cells that make it up, two of a size at most, and a moment lies in one cell of each size; so facts and moments meet by
+    equality, each pair once. A fact without a turn is never current, a moment without ``at`` has no facts.
+    """
+    low, high = moments.select(F.min("at"), F.max("at")).first()
+    low, high = (0, 0) if low is None else (int(low), int(high))
+    levels = max(1, (high - low + 1).bit_length())
+    begin = F.greatest(F.col("turn_id").cast("long") - low, F.lit(0))
+    end = F.least(F.coalesce(F.col("valid_to").cast("long"), F.lit(high + 1)) - low, F.lit(high - low + 1))
+    none = F.array().cast("array<struct<level: int, cell: bigint>>")
+    cell = lambda level, x: F.array(F.struct(level.alias("level"), x.alias("cell")))
+
+    def halve(acc: Column, level: Column) -> Column:
+        """Cells of this size at the two ends; what is left is counted in cells of twice the size."""
+        l, r = acc["l"], acc["r"]
+        left, right = (l < r) & (l % 2 == 1), (l < r) & (r % 2 == 1)
+        r_left = (l + 1 < r) | (l % 2 == 0)  # an odd cell may be both ends
+        cells = F.concat(acc["cells"], F.when(left, cell(level, l)).otherwise(none), F.when(right & r_left, cell(level, r - 1)).otherwise(none))
+        return F.struct(F.floor((l + 1) / 2).alias("l"), F.floor(r / 2).alias("r"), cells.alias("cells"))
+
+    start = F.struct(begin.alias("l"), end.alias("r"), none.alias("cells"))
+    spans = states.where("turn_id is not null").withColumn("x__a", F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, halve)["cells"]))
+    spans = spans.withColumns({"level__a": F.col("x__a.level"), "cell__a": F.col("x__a.cell"), "conv__a": F.col("conv_id")}).drop("x__a", "conv_id")
+    asked = moments.where("at is not null").withColumn("level__m", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    asked = asked.withColumn("cell__m", F.floor((F.col("at").cast("long") - low) / F.pow(F.lit(2), F.col("level__m"))))
+    on = F.expr("conv_id = conv__a and level__m = level__a and cell__m = cell__a")
+    return asked.join(spans, on).drop("conv__a", "level__a", "cell__a", "level__m", "cell__m")
 
 
 def entity_timeline(facts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from convrecall.functions import text as T
 from convrecall.operators.keyword import top_k
+from convrecall.sources.shared import stored
 
 
 def build_graph(states: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,6 +72,34 @@ def khop_frontier(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: in
     return reached
 
 
+def visits(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, hops: int = 2, most: int = 512) -> DataFrame:
+    """``(qid, conv_id, fact_id, hop)``: the first ``most`` edge visits of each query, in a stated order.
+
+    Each seed that is a node is walked from by itself, in order of place; its nodes come by steps and then by name; a
+    node's edges are visited outgoing first, then incoming, each by (turn_id, fact_idx, fact_id). An edge that is met
+    again counts again. A hub gives a query no more than its budget: of a node's edges the first ``most`` are kept, of
+    its neighbours the first 2 ``most`` by name, of a seed's nodes the first ``most``. Nothing beyond can be visited, as
+    every node that is reached has a visit of its own.
+    """
+    order = ["turn_id", "fact_idx", "fact_id"]
+    both = edges.select("conv_id", F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(0).alias("way"), *order).unionByName(
+        edges.select("conv_id", F.col("dst").alias("node"), F.col("src").alias("next"), F.lit(1).alias("way"), *order)
+    )
+    first = lambda df, n, name, by, *o: df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*o))).where(F.col(name) <= n)
+    near = first(both.select("conv_id", "node", "next").where("node <> next").distinct(), 2 * most, "nth", ["conv_id", "node"], "next").drop("nth")
+    reached = seeds.join(nodes.withColumnRenamed("node", "seed"), ["conv_id", "seed"], "left_semi")
+    reached = reached.select("qid", "conv_id", "place", F.col("seed").alias("node"), F.lit(0).alias("hop"))
+    for step in range(1, hops + 1):
+        out = reached.where(F.col("hop") == step - 1).join(near, ["conv_id", "node"]).select("qid", "conv_id", "place", F.col("next").alias("node"), F.lit(step).alias("hop"))
+        reached = reached.unionByName(out).groupBy("qid", "conv_id", "place", "node").agg(F.min("hop").alias("hop"))
+        reached = stored(first(reached, most, "nth", ["qid", "place"], "hop", "node").drop("nth"))
+    each = stored(first(both, most, "nth", ["conv_id", "node"], "way", *order).select("conv_id", "node", "fact_id", "nth"))
+    held = reached.join(each.groupBy("conv_id", "node").agg(F.max("nth").alias("n")), ["conv_id", "node"])
+    before = Window.partitionBy("qid").orderBy("place", "hop", "node").rowsBetween(Window.unboundedPreceding, -1)  # ``most`` for each seed
+    walk = held.withColumn("begun", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("begun") < most)
+    return walk.join(each, ["conv_id", "node"]).where(F.col("nth") <= most - F.col("begun")).select("qid", "conv_id", "fact_id", "hop")
+
+
 def _guided(c: Column, own: str, weight: float) -> Column:
     """``weight`` where the query fact's part resembles the fact's."""
     near = T.jaccard(T.graph_tokens(c), T.graph_tokens(own)) >= 0.5
@@ -79,23 +108,27 @@ def _guided(c: Column, own: str, weight: float) -> Column:
 
 def graph_retrieve(
     queries: DataFrame, states: DataFrame, k: int = 5, hops: int = 2, aliases: DataFrame | None = None, max_edges: int | None = None,
-    half_life_s: float | None = None,
+    half_life_s: float | None = None, max_visits: int | None = None,
 ) -> DataFrame:
     """``(qid, rank, fact_id, subject, predicate, object, text, hop, path, score)`` of each query's best facts.
 
     Candidates touch a node that the seeds reach. The path score falls with the distance, so the least distance over
     both ends and all seeds decides. ``max_edges`` bounds a query's candidates in the order (hop, turn_id, fact_idx);
-    by default nothing is cut. Ties are broken in that order too. Recency counts 0.20 for every fact; with
+    by default nothing is cut. ``max_visits`` bounds the edges that a query visits, see ``visits``. Ties are broken by
+    (hop, turn_id, fact_idx, fact_id). Recency counts 0.20 for every fact; with
     ``half_life_s`` it is halved with each half-life of ``age_s``, a column of ``states`` (null: no age).
     """
-    nodes, edges = build_graph(states)
-    seeds = seeds_from_query(queries, nodes, aliases)
-    near = khop_frontier(seeds, nodes, edges, hops)
-    ends = near.join(edges.withColumn("node", F.col("src")), ["conv_id", "node"]).unionByName(
-        near.join(edges.withColumn("node", F.col("dst")), ["conv_id", "node"])
-    )
-    fact = ["conv_id", "turn_id", "fact_idx", "src", "predicate", "dst", "confidence", "evidence"] + ["age_s"] * (half_life_s is not None)
-    found = ends.groupBy("qid", "fact_id").agg(F.min("hop").alias("hop"), *[F.first(c).alias(c) for c in fact])
+    nodes, edges = (stored(x) for x in build_graph(states))
+    edges = edges.dropDuplicates(["conv_id", "fact_id"])
+    seeds = stored(seeds_from_query(queries, nodes, aliases))
+    if max_visits is not None:
+        ends = visits(seeds, nodes, edges, hops, max_visits)
+    else:
+        near = stored(khop_frontier(seeds, nodes, edges, hops))
+        touched = edges.select("conv_id", "fact_id", F.explode(F.array_distinct(F.array("src", "dst"))).alias("node"))
+        ends = near.join(touched, ["conv_id", "node"])
+    fact = ["turn_id", "fact_idx", "src", "predicate", "dst", "confidence", "evidence"] + ["age_s"] * (half_life_s is not None)
+    found = ends.groupBy("qid", "conv_id", "fact_id").agg(F.min("hop").alias("hop")).join(edges.select("conv_id", "fact_id", *fact), ["conv_id", "fact_id"])
     if max_edges is not None:
         order = Window.partitionBy("qid").orderBy("hop", "turn_id", "fact_idx", "fact_id")
         found = found.withColumn("visit", F.row_number().over(order)).where(F.col("visit") <= max_edges).drop("visit")

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from convrecall.functions import text as T
+from convrecall.sources.shared import stored
 
 
 def user_turns(turns: DataFrame, index_questions: bool = False) -> DataFrame:
@@ -45,11 +46,18 @@ def bm25_index(docs: DataFrame, stopwords: tuple[str, ...] = T.STOPWORDS, only:
     With ``only`` (scope, term) there are postings of these terms alone, so that others are never shuffled.
     """
     tokens = docs.select("scope", "doc", T.keyword_tokens("text", stopwords).alias("tokens"))
-    lengths = tokens.select("scope", "doc", F.size("tokens").alias("length"))
+    return _index_of(tokens.withColumn("length", F.size("tokens")), only)
+
+
+def _index_of(tokens: DataFrame, only: DataFrame | None) -> Index:
+    """The index of ``(scope, doc, tokens, length)``."""
     each = tokens.select("scope", "doc", F.explode("tokens").alias("term"))
     if only is not None:
         each = each.join(_small(only, only.count()), ["scope", "term"], "left_semi")
     postings = each.groupBy("scope", "doc", "term").agg(F.count("*").alias("tf"))
+    if only is not None:
+        postings = stored(postings)  # of what is asked alone; it is counted, and scored
+    lengths = tokens.select("scope", "doc", "length")
     terms = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
     stats = lengths.groupBy("scope").agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"))
     return Index(lengths, postings, terms, stats)
@@ -93,12 +101,16 @@ def bm25_retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1
     A document equal to the normalised query still counts in the statistics. ``score`` is rounded to four places.
     Ties go to the smaller doc, which is the earlier turn.
     """
-    index = index or bm25_index(docs, only=_asked(queries, T.STOPWORDS).select("scope", "term").distinct())
-    scored = bm25_score(queries, index, k1, b).where("score > 0")
     # texts are compared by 128 bits of hashes and fetched for what is found; no step before that carries them
     hashes = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
+    if index is None:  # one pass over the texts: what follows reads columns of its table
+        docs = stored(docs.select("scope", "doc", "text", *hashes("text"), T.keyword_tokens("text").alias("tokens")).withColumn("length", F.size("tokens")))
+        index = _index_of(docs, _asked(queries, T.STOPWORDS).select("scope", "term").distinct())
+    else:
+        docs = docs.select("scope", "doc", "text", *hashes("text"))
+    scored = bm25_score(queries, index, k1, b).where("score > 0")
     asked = queries.select("qid", "scope", T.norm_text("query").alias("asked"))
-    own = asked.select("qid", "scope", *hashes("asked")).join(docs.select("scope", "doc", *hashes("text")), ["scope", "h1", "h2"])
+    own = asked.select("qid", "scope", *hashes("asked")).join(docs.select("scope", "doc", "h1", "h2"), ["scope", "h1", "h2"])
     scored = scored.join(asked.where("asked <> ''").select("qid"), "qid", "left_semi").join(own.select("qid", "scope", "doc"), ["qid", "scope", "doc"], "left_anti")
     found = _small(top_k(scored, k, "doc"), queries.count() * max(1, k)).join(docs.select("scope", "doc", "text"), ["scope", "doc"])
     return found.select("qid", "scope", "rank", "doc", "text", F.round("score", 4).alias("score"), F.col("score").alias("bm25"))

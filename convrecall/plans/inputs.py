@@ -5,7 +5,7 @@ Each DataFrame has its twin in SQL, as a common table expression, so that querie
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from convrecall.functions import text as T
 
@@ -29,6 +29,18 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 CORPUS = "docs AS (SELECT 'all' AS scope, doc_id AS doc, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text FROM documents)"
 
 
+def longest_word(text: Column | str) -> Column:
+    """The longest run of a-z in the lower-case text, the first of equal ones by name."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), 0)
+    longer = lambda a, b: F.when((F.length(b) > F.length(a)) | ((F.length(b) == F.length(a)) & (b < a)), b).otherwise(a)
+    return F.aggregate(words, F.lit(""), longer)
+
+
+def longest_word_sql(text: str) -> str:
+    better = "CASE WHEN length(b) > length(a) OR (length(b) = length(a) AND b < a) THEN b ELSE a END"
+    return f"list_reduce(list_prepend('', regexp_extract_all(lower({text}), '[a-z]+')), lambda a, b: {better})"
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as probes of the corpus: each should find documents that hold it."""
     rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("qid"), T.norm_text("text").alias("query"), F.col("item_id").alias("item"))
@@ -110,15 +122,15 @@ QUESTIONS = "questions AS (SELECT n_name AS qid, 'world' AS conv_id, 'Where is '
 
 
 def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as dataset rows; the last user turn is the question, a turn's first 30 characters the evidence."""
+    """Conversations as dataset rows; the last user turn is the question, the first turn the evidence, its longest word the answer."""
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
         F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t")
     )  # conversations of an evaluation set have a few turns
     said = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
     asked = F.try_element_at(F.filter("t", lambda x: x["role"] == "user"), F.lit(-1))["text"]
     item = F.struct(
-        asked.alias("question"), F.substring(F.element_at("t", 1)["text"], 1, 12).alias("expected_answer"),
-        F.array(F.substring(F.element_at("t", 1)["text"], 1, 30)).alias("relevant_texts"), F.lit(None).cast("string").alias("subject_hint"),
+        asked.alias("question"), longest_word(F.element_at("t", 1)["text"]).alias("expected_answer"),
+        F.array(F.element_at("t", 1)["text"]).alias("relevant_texts"), F.lit(None).cast("string").alias("subject_hint"),
     )
     return rows.select(
         F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("conversation_id"), F.when(F.col("conv_id") % 2 == 0, " Simple").otherwise("update").alias("scenario"),
@@ -132,6 +144,6 @@ _LAST_USER = "arg_max(text, turn) FILTER (WHERE role = 'user')"
 NESTED = f"""nested AS (
   SELECT 'conv_' || conv_id AS conversation_id, CASE WHEN conv_id % 2 = 0 THEN 'simple' ELSE 'update' END AS scenario,
     CASE WHEN conv_id % 3 = 0 THEN 'easy' ELSE 'complex' END AS difficulty, count(*) AS n_turns, bool_or(role NOT IN ('user', 'assistant')) AS bad_role,
-    {_LAST_USER} AS question, substr(arg_min(text, turn), 1, 12) AS answer, substr(arg_min(text, turn), 1, 30) AS quote
+    {_LAST_USER} AS question, {longest_word_sql('arg_min(text, turn)')} AS answer, arg_min(text, turn) AS quote
   FROM conversations GROUP BY conv_id
 )"""

@@ -169,10 +169,10 @@ def bm25_passages(spark, sf_dir):
 
 
 def _chats(spark, sf_dir):
+    """What users say in each conversation, and all of its keywords as a query of the conversation."""
     docs = keyword.dedup_turns(keyword.user_turns(I.turns(spark, sf_dir))).select(F.col("conv_id").alias("scope"), F.col("turn_id").alias("doc"), "text")
-    first = docs.groupBy("scope").agg(F.min_by("text", "doc").alias("text"))
-    asked = F.array_join(F.slice(T.keyword_tokens("text"), 1, 6), " ")
-    return docs, first.select(F.col("scope").cast("string").alias("qid"), "scope", asked.alias("query"))
+    asked = F.array_join(T.keyword_tokens("text"), " ")
+    return docs, docs.select(F.concat_ws(":", F.col("scope").cast("string"), F.col("doc").cast("string")).alias("qid"), "scope", asked.alias("query"))
 
 
 _CHATS = f"""{I.TURNS}, u AS (
@@ -180,7 +180,7 @@ _CHATS = f"""{I.TURNS}, u AS (
 ), docs AS (
   SELECT scope, min(doc) AS doc, text FROM u WHERE text <> '' AND NOT (contains(text, '?') OR regexp_matches(text, '^\\s*(what|who|whom|whose|which|where|when|why|how)\\b', 'i')) GROUP BY scope, text
 ), probes AS (
-  SELECT CAST(scope AS VARCHAR) AS qid, scope, array_to_string([lower(x) for x in regexp_extract_all(arg_min(text, doc), '[A-Za-z0-9_]+') if lower(x) NOT IN ({_STOP})][1:6], ' ') AS query FROM docs GROUP BY scope
+  SELECT scope || ':' || doc AS qid, scope, array_to_string([lower(x) for x in regexp_extract_all(text, '[A-Za-z0-9_]+') if lower(x) NOT IN ({_STOP})], ' ') AS query FROM docs
 )"""
 
 
@@ -238,18 +238,13 @@ def evaluation_per_query(spark, sf_dir):
     return rows.select("qid", "scenario", "difficulty", "em", "hits", *[F.round(c, 6).alias(c) for c in _COLS], "hit", "rank", "retrieved")
 
 
-_LONGEST = "list_reduce(list_prepend('', regexp_extract_all(lower(query), '[a-z]+')), lambda a, b: CASE WHEN length(b) > length(a) OR (length(b) = length(a) AND b < a) THEN b ELSE a END)"
-
-
 def _answered(probes):
-    """Passages as questions with an answer, their longest word, the first of equal ones; the passage is the quote."""
-    words = F.regexp_extract_all(F.lower("query"), F.lit("[a-z]+"), 0)
-    longer = lambda a, b: F.when((F.length(b) > F.length(a)) | ((F.length(b) == F.length(a)) & (b < a)), b).otherwise(a)
-    return probes.withColumn("expected", F.aggregate(words, F.lit(""), longer))
+    """Passages as questions with an answer, their longest word; the passage is the quote."""
+    return probes.withColumn("expected", I.longest_word("query"))
 
 
 _HELD = "(want <> '' AND contains(lower({d}.text), want)) OR (query <> '' AND contains(lower({d}.text), lower(query)))"
-_ASKED = f"{I.CORPUS}, {I.PASSAGES}, wants AS (SELECT qid, scenario, difficulty, query, {_LONGEST} AS want FROM probes)"
+_ASKED = f"{I.CORPUS}, {I.PASSAGES}, wants AS (SELECT qid, scenario, difficulty, query, {I.longest_word_sql('query')} AS want FROM probes)"
 
 
 @query(f"WITH {_ASKED} SELECT DISTINCT qid, doc FROM wants JOIN docs d ON {_HELD.format(d='d')}")
@@ -594,6 +589,18 @@ def graph_retrieval(spark, sf_dir):
     return found.select("qid", "rank", "subject", "predicate", "object", "text", "hop", F.round("path", 6).alias("path"), F.round("score", 6).alias("score"))
 
 
+_BUDGET = f"""walked AS (SELECT * FROM near JOIN questions USING (qid)), adj AS (SELECT subject AS node, 0 AS way, fact_id, turn_id, fact_idx FROM world UNION ALL SELECT object, 1, fact_id, turn_id, fact_idx FROM world),
+visited AS (SELECT w.qid, a.fact_id, w.hop, row_number() OVER (PARTITION BY w.qid ORDER BY w.hop, w.node, a.way, a.turn_id, a.fact_idx, a.fact_id) AS visit FROM walked w JOIN adj a USING (node)),
+cand AS (SELECT qid, fact_id, min(hop) AS hop FROM visited WHERE visit <= 40 GROUP BY ALL)"""
+
+
+@query(_SQL["graph_retrieval"].replace("cand AS (SELECT n.qid, w.fact_id, min(n.hop) AS hop FROM near n JOIN world w ON n.node IN (w.subject, w.object) GROUP BY ALL)", _BUDGET).replace("rank <= 5", "rank <= 60"))
+def graph_budget(spark, sf_dir):
+    """All facts that a question gets for 40 visits of edges; a nation is a hub with more."""
+    found = graph.graph_retrieve(I.questions(spark, sf_dir), I.world(spark, sf_dir), 60, max_visits=40)
+    return found.select("qid", "rank", "subject", "predicate", "object", "text", "hop", F.round("path", 6).alias("path"), F.round("score", 6).alias("score"))
+
+
 @query(_SQL["graph_retrieval"].replace(" + 0.20 + ", " + 0.20 * pow(0.5, turn_id / 7.0) + "))
 def graph_recency(spark, sf_dir):
     """The same with facts that lose half of their recency in a week; a turn is a day here."""

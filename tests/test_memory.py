@@ -255,3 +255,59 @@ def test_the_same_rows_however_they_are_dealt(spark):
     again = M.slot_states(M.retroactive_alias(facts_of(spark, CHAT[::-1]).repartition(8)))
     key = lambda d: sorted(map(str, d.collect()))
     assert key(df.select(sorted(df.columns))) == key(again.select(sorted(df.columns)))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_as_of_by_loop(spark, seed):
+    rnd = random.Random(seed)
+    span = rnd.choice([3, 40, 1000])
+    states = [(rnd.choice("ab"), rnd.choice([None, rnd.randrange(-5, span)]), rnd.choice([None, rnd.randrange(-5, span + 9)]), f"f{i}") for i in range(150)]
+    moments = [(f"q{i}", rnd.choice("abc"), rnd.choice([None, rnd.randrange(-9, span + 9)])) for i in range(60)]
+    rows = spark.createDataFrame(states, "conv_id string, turn_id int, valid_to int, fact_id string").withColumn("level", F.lit("mine"))
+    got = M.as_of(rows, spark.createDataFrame(moments, "qid string, conv_id string, at int"))
+    want = [(q, f) for q, c, at in moments for d, a, b, f in states if c == d and at is not None and a is not None and a <= at and (b is None or at < b)]
+    assert sorted((r.qid, r.fact_id) for r in got.collect()) == sorted(want) and "level" in got.columns
+    assert M.as_of(rows, spark.createDataFrame(moments, "qid string, conv_id string, at int").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 30, 500])
+def test_visits_by_loop(spark, most):
+    """The walk of each seed, step by step, until the budget is used; a hub among the nodes."""
+    rnd = random.Random(most)
+    names = [f"n{i:02}" for i in range(25)]
+    rows = [("c", rnd.randrange(9), i, rnd.choice(names), rnd.choice([*names, "n00", "n00", "n00"]), f"f{i}") for i in range(90)]
+    edges = spark.createDataFrame(rows, "conv_id string, turn_id int, fact_idx int, src string, dst string, fact_id string")
+    nodes = spark.createDataFrame([("c", n) for n in [*names, "alone"]], "conv_id string, node string")
+    asked = [("q", "c", "n03", 1), ("q", "c", "none", 2), ("q", "c", "n00", 3), ("r", "c", "alone", 1), ("r", "c", "n07", 2), ("s", "other", "n01", 1)]
+    want = []
+    for q in "qrs":
+        seen = []
+        for _, conv, seed, _ in sorted((x for x in asked if x[0] == q), key=lambda x: x[3]):
+            dist = {seed: 0} if conv == "c" and seed in [*names, "alone"] else {}
+            for step in (1, 2):
+                for *_, s, d, _ in rows:
+                    for a, b in ((s, d), (d, s)):
+                        if dist.get(a) == step - 1:
+                            dist.setdefault(b, step)
+            for hop, node in sorted((h, n) for n, h in dist.items()):
+                for end in (3, 4):
+                    seen += [(q, x[5], hop) for x in sorted(rows, key=lambda x: (x[1], x[2])) if x[end] == node]
+        want += seen[:most]
+    got = graph.visits(spark.createDataFrame(asked, "qid string, conv_id string, seed string, place int"), nodes, edges, 2, most)
+    assert sorted((r.qid, r.fact_id, r.hop) for r in got.collect()) == sorted(want)
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    """One pass over the documents makes all that a search needs of them."""
+    docs = spark.createDataFrame([("s", i, f"alpha w{i % 3} beta") for i in range(50)], "scope string, doc long, text string")
+    docs.write.parquet(str(tmp_path / "docs"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    read = spark.read.parquet(str(tmp_path / "docs")).mapInArrow(count, docs.schema)
+    asked = spark.createDataFrame([("q", "s", "w2 beta"), ("r", "s", "alpha w1 beta")], "qid string, scope string, query string")
+    assert keyword.bm25_retrieve(asked, read, 3).count() == 6 and seen.value == 50
