@@ -15,6 +15,7 @@ import json
 import re
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,10 +34,10 @@ HEAD = struct.Struct("<8sQQQ")
 CHUNK, STEP = 8, 512
 #: Tokens of a file, beyond which the next document begins another one.
 FILE_TOKENS = 1 << 25
-#: Tokens that are read together; a longer document is read by itself.
+#: Tokens that are written or read together; a longer document is read by itself.
 TOGETHER = 1 << 20
 #: Entries of a worker's tables of words; one that is full starts anew. Longer words are not entered.
-CACHE, LONG = 400_000, 64
+CACHE, LONG = 600_000, 64
 # How a tokenizer of the plain kind changes and splits texts.
 PLAIN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -53,11 +54,11 @@ SIMPLE = re.compile(r"([!-&(-/:-@\[-`{-~]*)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u0
 MANIFEST = "shard int, seq int, path string, n_docs long, n_tokens long"
 
 
-class Encoder:
-    """A tokenizer with a table of what it has encoded. Runs between white space are encoded by themselves.
+class Encoder(dict):
+    """A tokenizer with a table of the words that it has encoded, words being what white space separates.
 
-    A tokenizer of the PLAIN kind need not see runs of letters whose case alone changes, with punctuation before or
-    behind: those are split, as it would do, and merged by its model.
+    A tokenizer of the PLAIN kind need not see runs of letters whose case alone changes, with signs before or behind:
+    those are split, as it would do, and merged by its model.
     """
 
     def __init__(self, spec: str, end: int | None):
@@ -66,9 +67,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_str(spec)
         self.end = b"" if end is None else struct.pack("<I", end)
-        self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         self.chars = dict(enumerate(byte_chars()))
         made = json.loads(spec)
@@ -78,42 +79,33 @@ class Encoder:
     def _merged(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            mapped = piece.encode().decode("latin-1").translate(self.chars)
-            ids = np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
+            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.chars)
+            ids = array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
             if len(piece) <= LONG:
+                if len(self.pieces) >= CACHE:
+                    self.pieces.clear()
                 self.pieces[piece] = ids
         return ids
 
-    def _found(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found, hard = {}, []
-        for w in words:
-            text = w.decode()
-            split = SIMPLE(text) if self.plain and not any(x in text for x in self.added) else None
-            if split:
-                before, core, behind = split.groups()
-                found[w] = b"".join(self._merged(x) for x in (before, core.lower(), behind) if x)
-            else:
-                hard.append(text)
-        for text, e in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False) if hard else ()):
-            found[text.encode()] = np.array(e.ids, "<u4").tobytes()
-        return found
-
-    def encode(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().split()  # of bytes: ASCII white space alone
-        try:
-            ids = b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            kinds = set(words)
-            own = {w: self.known[w] for w in kinds if w in self.known}
-            found = self._found(list(kinds - own.keys()))
-            if len(self.known) + len(found) > CACHE:
-                self.known.clear()
-            self.known.update((w, ids) for w, ids in found.items() if len(w) <= LONG)
-            own.update(found)
-            ids = b"".join(map(own.__getitem__, words))
-        return np.frombuffer(ids + self.end, "<u4")
+    def __missing__(self, word: bytes) -> bytes:
+        text = word.decode()
+        split = SIMPLE(text) if self.plain and not any(x in text for x in self.added) else None
+        if split:
+            before, core, behind = split.groups()
+            ids = self._merged(core.lower())
+            if before or behind:
+                ids = b"".join([self._merged(before) if before else b"", ids, self._merged(behind) if behind else b""])
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(word) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.__getitem__, (text or "").encode().split())) + self.end  # split of bytes: ASCII white space alone
 
 
 @lru_cache(maxsize=1)
@@ -128,17 +120,23 @@ class Writer:
     def __init__(self) -> None:
         self.docs: list[int | None] = []
         self.ends: list[int] = []
+        self.waiting: list[bytes] = []
+        self.n_tokens = self.n_waiting = 0
         self.chunks: list[list[np.ndarray]] = []
         self.marks: list[list[np.ndarray]] = []
 
-    @property
-    def n_tokens(self) -> int:
-        return self.ends[-1] if self.ends else 0
-
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
+    def add(self, doc: int | None, ids: bytes) -> None:
+        self.n_tokens += len(ids) // 4
+        self.n_waiting += len(ids) // 4
         self.docs.append(doc)
-        self.ends.append(self.n_tokens + len(ids))
-        rest, level = ids, 0
+        self.ends.append(self.n_tokens)
+        self.waiting.append(ids)
+        if self.n_waiting >= TOGETHER:
+            self._split()
+
+    def _split(self) -> None:
+        rest, level = np.frombuffer(b"".join(self.waiting), "<u4"), 0
+        self.waiting, self.n_waiting = [], 0
         while len(rest):
             if level == len(self.chunks):
                 self.chunks.append([])
@@ -149,6 +147,7 @@ class Writer:
             rest, level = rest[more] >> CHUNK, level + 1
 
     def write(self, out: pa.NativeFile) -> None:
+        self._split()
         sizes = [sum(map(len, c)) for c in self.chunks]
         out.write(HEAD.pack(MAGIC, len(self.docs), self.n_tokens, len(sizes)))
         out.write(np.array(sizes, "<u8").tobytes())

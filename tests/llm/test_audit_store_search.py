@@ -99,15 +99,15 @@ def test_encoder_is_the_library(spec):
     signs = [*" \t\n\x0b\x1c'.,;!<>|=~^`\"()abzAZ\x00\x7f\x85\xa0", *"éÉñßİıǅΣσς½²１٣̸́…中", "\U0001f600", "<|endoftext|>", "'s", "word", "WORD", "ŉ", "ẞ", "≠"]
     texts = ["", "x<|endoftext|>", "<|endoftext|>", "'S 'sword it's \"x'll\"", "A" * 3000 + "é" * 2000, *("".join(rnd.choice(signs) for _ in range(rnd.randrange(40))) for _ in range(4000))]
     for t in texts:
-        assert own.encode(t).tolist() == other.encode(t, add_special_tokens=False).ids + [1], t
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == other.encode(t, add_special_tokens=False).ids + [1], t
 
 
 def test_full_tables_start_anew(spec, monkeypatch):
     monkeypatch.setattr(tokenstore, "CACHE", 3)
     few = tokenstore.Encoder(spec, None)
     words = "alpha beta gamma delta, alpha! beta gamma (epsilon) zeta alpha"
-    assert [few.encode(w).tolist() for w in (words, words, words[:20])] == [tokenstore.Encoder(spec, None).encode(w).tolist() for w in (words, words, words[:20])]
-    assert max(len(few.known), len(few.pieces)) <= 10
+    assert [few.encode(w) for w in (words, words, words[:20])] == [tokenstore.Encoder(spec, None).encode(w) for w in (words, words, words[:20])]
+    assert max(len(few), len(few.pieces)) <= 3
 
 
 def test_random_access(tmp_path):
@@ -116,7 +116,7 @@ def test_random_access(tmp_path):
         docs = np.split(rnd.integers(0, top, n, dtype=np.uint64).astype("<u4"), sorted(rnd.integers(0, n + 1, 4).tolist()))
         made = tokenstore.Writer()
         for i, ids in enumerate(docs):
-            made.add(None if i == 1 else i - 2, ids)
+            made.add(None if i == 1 else i - 2, ids.tobytes())
         with pa.OSFile(str(tmp_path / "x"), "wb") as out:
             made.write(out)
         with pa.OSFile(str(tmp_path / "x"), "rb") as file:
