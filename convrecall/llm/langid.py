@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 BUCKETS = 1 << 15
 #: At most about so many labelled rows of each language are learned from (documented bound of the training sample).
 SAMPLE = 5_000
-#: Languages that are learned at most: those of most distinct texts (documented bound of the model).
+#: Languages that are learned at most unless asked otherwise: those of most distinct texts (documented bound of the model).
 LANGUAGES = 256
 #: What a switch of language costs, in nats.
 SWITCH = 12.0
@@ -72,17 +72,18 @@ class Model:
     scripts: tuple[tuple[bool, ...], ...]
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE, most: int = LANGUAGES) -> Model:
     """Learn from ``(text, lang)`` of ``docs``.
 
-    Rows with a null text or lang teach nothing. The LANGUAGES labels of most distinct texts are learned (ties by name);
-    rarer ones teach nothing, and only the labels that are learned reach the driver. Of each language about ``sample`` distinct texts are taken, by a hash
-    of the text, and always that of the least hash; each teaches once, however often it is repeated. Counts are summed
-    by Spark; what reaches the driver is one number for each language and bucket.
+    Rows with a null text or lang teach nothing. The ``most`` labels of most distinct texts are learned (ties by name), so
+    that bounds the model, one number for each of them and bucket on the driver and in each task. Rarer labels teach
+    nothing and are never predicted: their documents get the learned label that fits best. Of each language about
+    ``sample`` distinct texts are taken, by a hash of the text, and always that of the least hash; each teaches once,
+    however often it is repeated. Counts are summed by Spark.
     """
     rows = docs.select("text", "lang", F.pmod(F.xxhash64("text"), F.lit(1 << 40)).alias("at")).where("text is not null and lang is not null")
     kinds = rows.select("lang", "at").distinct().groupBy("lang").agg(F.count("*").alias("n"), F.min("at").alias("least"))
-    kinds = kinds.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    kinds = kinds.orderBy(F.desc("n"), "lang").limit(most).collect()
     if not kinds:
         return Model((), b"", ())
     most = F.create_map(*[F.lit(x) for r in kinds for x in (r["lang"], max(r["least"] + 1, int(min(1.0, sample / r["n"]) * (1 << 40))))])

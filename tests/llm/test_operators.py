@@ -472,6 +472,15 @@ def test_orders():
         assert sorted(order) == list(range(400)) and [strings[i] for i in order] == sorted(strings)
 
 
+def test_labels_beyond_the_bound(spark):
+    """The labels of most distinct texts are learned, and the others' documents get one of them."""
+    rows = [(i, f"{'alpha beta gamma' if i % 2 else 'eins zwei drei'} w{chr(97 + i % 26)}", "ab"[i % 2]) for i in range(40)] + [(50, "uno due tre", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, all_ = langid.train(docs, most=2), langid.train(docs)
+    assert few.languages == ("a", "b") and all_.languages == ("a", "b", "c")
+    assert {r.lang_pred for r in langid.detect(docs, few).collect()} == {"a", "b"} and {r.lang_pred for r in langid.detect(docs, all_).collect()} == {"a", "b", "c"}
+
+
 def test_languages_of_few_hot_texts(spark):
     """A language of few texts is learned whatever their hashes, and copies teach once."""
     rows = [(f"wort{c} satz{c} und", f"l{c}") for c in "abcdefghijkl" for _ in range(400)]
