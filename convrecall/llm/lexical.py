@@ -29,6 +29,8 @@ K = 20
 BLOCK = 2048
 #: Characters of the queries that a pass over the documents answers; a longer query has a pass of its own.
 PASS = 1 << 22
+#: Terms of documents that a task holds before it hands them on; a longer document goes by itself.
+TOGETHER = 1 << 16
 #: Groups a query's rows are brought together in, before the last window.
 SALT = 64
 _LAST = np.iinfo(np.int64).max
@@ -45,18 +47,25 @@ def term_table(docs: DataFrame) -> DataFrame:
     Null texts and those without terms have no row. Repeated rows stay repeated. Other columns are not read.
     """
 
+    def made(ids: list[int | None], found: list[Counter]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids, pa.int64()), pa.array([own.total() for own in found], pa.int64()), pa.array([list(own) for own in found], pa.list_(pa.string())),
+             pa.array([list(own.values()) for own in found], pa.list_(pa.int64()))],
+            ["doc_id", "n", "terms", "tfs"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], []
+            ids, found, size = [], [], 0
             for doc, text in zip(batch.column(0), batch.column(1)):
                 if own := terms(text.as_py()):
                     ids.append(doc.as_py())
                     found.append(own)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([own.total() for own in found], pa.int64()), pa.array([list(own) for own in found], pa.list_(pa.string())),
-                 pa.array([list(own.values()) for own in found], pa.list_(pa.int64()))],
-                ["doc_id", "n", "terms", "tfs"],
-            )
+                    size += len(own)
+                    if size >= TOGETHER:
+                        yield made(ids, found)
+                        ids, found, size = [], [], 0
+            yield made(ids, found)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, terms array<string>, tfs array<bigint>")
 
