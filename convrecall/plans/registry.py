@@ -14,6 +14,7 @@ from convrecall.sources import conversations as S
 from convrecall.sources.keyed import KeyedTable
 from convrecall.sources.shared import new_folder
 from convrecall.streaming import memory as R
+from convrecall.streaming.eventtime import EventTime
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -539,6 +540,15 @@ def kept_index_passages(spark, sf_dir):
     return evaluation.judge(run, probes).select("qid", "rank", "doc", "score", "rel")
 
 
+@query(f"""WITH {I.FACTS} SELECT conv_id, turn_id, coalesce(
+    last_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    first_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), subject) AS subject, predicate, object FROM facts""")
+def name_repair(spark, sf_dir):
+    """The sequential fold where there are names alone, known before or learned late."""
+    rows = I.facts(spark, sf_dir).withColumn("text", F.lit(""))
+    return coref.repair(rows.select("conv_id", "turn_id", "fact_idx", "subject", "predicate", "object", "text")).select("conv_id", "turn_id", "subject", "predicate", "object")
+
+
 @query()
 def pronoun_repair(spark, sf_dir):
     """The sequential fold over every user's events; no SQL, tests compare it with worked conversations."""
@@ -725,6 +735,86 @@ def curation_counts(spark, sf_dir):
     return curate.counts(curate.validate(I.nested(spark, sf_dir)))
 
 
+_FORMS = "(SELECT unnest(['lines', 'concatenated', 'array']) AS form)"
+
+
+@query(f"""SELECT form, 'conv_' || conv_id AS conv_id, CAST(row_number() OVER (PARTITION BY form, conv_id ORDER BY turn) AS INTEGER) AS turn_id, role, coalesce(text, '') AS text FROM conversations, {_FORMS}""")
+def read_forms(spark, sf_dir):
+    """Conversations written in each form and read again: objects in lines, one behind the other, arrays in lines."""
+    made, folder = I.nested(spark, sf_dir), new_folder(spark, "forms")
+    S.write_dataset(made, f"{folder}/lines")
+    one = F.to_json(F.struct(*made.columns))
+    made.select(one).write.option("lineSep", " ").text(f"{folder}/concatenated")
+    made.select(F.concat(F.lit("["), one, F.lit("]"))).write.text(f"{folder}/array")
+    rows = [S.explode_turns(S.read_conversations(spark, f"{folder}/{name}", name)).withColumn("form", F.lit(name)) for name in ("lines", "concatenated")]
+    return rows[0].unionByName(rows[1]).unionByName(S.explode_turns(S.read_conversations(spark, f"{folder}/array", "lines")).withColumn("form", F.lit("array")))
+
+
+@query(f"WITH {_EVAL} SELECT 'keyword' AS system, qid, em, hits, retrieved, rank, (SELECT round(avg(hit), 6) FROM ev) AS mean_hit FROM ev")
+def written_results(spark, sf_dir):
+    """An evaluation written as its three tables and read again."""
+    rows, folder = _evaluated(spark, sf_dir).withColumn("system", F.lit("keyword")), new_folder(spark, "results")
+    S.write_results(rows, rows.groupBy("system").agg(F.avg("hit").alias("mean_hit")), rows.select("system", "qid", "rank", "retrieved"), folder, "parquet")
+    table = lambda name: spark.read.parquet(f"{folder}/{name}")
+    both = table("per_query").select("system", "qid", "em", "hits").join(table("diagnostics"), ["system", "qid"]).join(table("macro"), "system")
+    return both.select("system", "qid", "em", "hits", "retrieved", "rank", F.round("mean_hit", 6).alias("mean_hit"))
+
+
+@query("""WITH cells AS (SELECT s, d, t, turns FROM (SELECT unnest(['simple', 'update', 'multihop']) AS s), (VALUES ('easy', 0.6, '4-6'), ('moderate', 0.8, '4-8'), ('complex', 1.0, '8-10')) c(d, t, turns)),
+ids AS (SELECT unnest(range(0, (SELECT count(DISTINCT conv_id) FROM conversations))) AS i), twice AS (SELECT unnest([1, 2]))
+SELECT printf('%s_%s_7_%03d', upper(s), upper(d), i) AS conversation_id, s AS scenario, d AS difficulty, t::DOUBLE AS temperature, 'Write JSON.' AS system,
+  d || ' ' || s || ' of ' || turns || ' turns' AS user, 'm' AS model FROM cells, ids, twice""")
+def prompt_log(spark, sf_dir):
+    """As many prompts of each kind as there are conversations, logged twice as JSON lines."""
+    n, path = I.table(spark, sf_dir, "conversations").agg(F.count_distinct("conv_id")).first()[0], new_folder(spark, "prompts")
+    prompts = curate.generation_prompts(curate.generation_grid(spark, n), "Write JSON.", "{difficulty} {scenario} of {n_turns} turns", "m").drop("row_seed")
+    S.write_dataset(prompts, path)
+    S.write_dataset(prompts, path, append=True)
+    return spark.read.schema(prompts.schema).json(path)
+
+
+@query(_SQL["curation_validated"])
+def replies_validated(spark, sf_dir):
+    """Conversations as a model's replies, with words around the JSON; labels are those that were asked for."""
+    made = I.nested(spark, sf_dir)
+    reply = F.concat(F.lit("Here it is: "), F.to_json(F.struct(*[c for c in made.columns if c != "difficulty"])), F.lit(" as asked"))
+    e = F.get("eval", F.lit(0))
+    return curate.parse_generated(made.select("conversation_id", "scenario", "difficulty", reply.alias("reply"))).select(
+        "conversation_id", "scenario", "difficulty", e["question"].alias("question"), e["expected_answer"].alias("expected"), F.array_join(e["relevant_texts"], "|").alias("quoted"), "reject_reason"
+    )
+
+
+@query("""SELECT conv_id, CAST(turn + 1 AS INTEGER) AS turn_id, 0 AS fact_idx, 'me' AS subject, 'wrote' AS predicate, CAST(length(coalesce(text, '')) AS VARCHAR) AS object, 0.5::DOUBLE AS confidence, 's' AS evidence
+FROM conversations WHERE length(coalesce(text, '')) % 2 = 0""")
+def facts_extracted(spark, sf_dir):
+    """Facts of turns by a plain function in the place of a model; it has none for texts of odd length."""
+
+    def extractor(texts):
+        reply = '[{{"subject": "me", "predicate": "wrote", "object": "{}", "confidence": 0.5, "source_span": "s"}}]'
+        return texts.fillna("").str.len().map(lambda n: "nothing" if n % 2 else reply.format(n))
+
+    return M.parse_replies_plain(M.extract_facts(I.turns(spark, sf_dir), extractor))
+
+
+@query("SELECT conv_id, turn, length(text) AS characters, length(text) - length(replace(text, 'e', '')) AS e FROM conversations")
+def turns_embedded(spark, sf_dir):
+    """Texts embedded by a plain function in the place of a model, each distinct text once."""
+    rows = vectors.embed_batch(I.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), lambda texts: [[len(t), t.count("e")] for t in texts])
+    return rows.select("conv_id", "turn", F.get("embedding", F.lit(0)).cast("long").alias("characters"), F.get("embedding", F.lit(1)).cast("long").alias("e"))
+
+
+@query(f"WITH {I.FACTS} SELECT predicate, count(*) AS before, 0 AS after FROM facts GROUP BY predicate")
+def memory_reset(spark, sf_dir):
+    """A table of facts before and after it is emptied."""
+    path = new_folder(spark, "reset")
+    I.facts(spark, sf_dir).write.parquet(path)
+    before = spark.read.parquet(path).groupBy("predicate").agg(F.count("*").alias("before"))
+    kept = spark.createDataFrame(before.collect(), before.schema)  # a row for each predicate
+    S.reset(spark.read.parquet(path), path)
+    after = spark.read.parquet(path).groupBy("predicate").agg(F.count("*").alias("after"))
+    return kept.join(after, "predicate", "left").na.fill(0, ["after"])
+
+
 # streams
 
 
@@ -744,6 +834,27 @@ def stream_documents(spark, sf_dir):
     return R.drain(R.stream_docs(_stream(spark, sf_dir, "conversations")).select("conv_id", "text"), "append", _folder(spark))
 
 
+@query(f"""WITH {I.TURNS}, u AS (SELECT CAST(conv_id AS VARCHAR) AS conv_id, {_norm('text')} AS text FROM turns WHERE lower(role) = 'user')
+  SELECT DISTINCT conv_id, text FROM u WHERE text <> '' AND NOT (contains(text, '?') OR regexp_matches(text, '^\\s*(what|who|whom|whose|which|where|when|why|how)\\b', 'i'))""")
+def stream_requests(spark, sf_dir):
+    """The same from insert requests, written as JSON lines, some of them twice."""
+    rows, path = I.turns(spark, sf_dir).select(F.col("conv_id").cast("string").alias("conv_id"), "turn_id", "role", F.col("text").alias("content")), new_folder(spark, "requests")
+    rows.unionByName(rows.where("turn_id % 2 = 0")).write.json(path)
+    return R.drain(R.stream_docs(S.read_turn_stream(spark, path)).select("conv_id", "text"), "append", _folder(spark))
+
+
+@query(f"""WITH {I.FACTS} SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn_id, coalesce(
+    last_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+    first_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), subject) AS subject, predicate, object FROM facts""")
+def stream_repaired_facts(spark, sf_dir):
+    """Facts repaired in a stream: the last that comes out for each one, names that are learned late included."""
+    facts = I.facts(spark, sf_dir).withColumn("conv_id", F.col("conv_id").cast("string")).withColumn("text", F.lit(""))
+    path = new_folder(spark, "facts")
+    facts.write.parquet(path)
+    changes = R.drain(R.stream_repaired(spark.readStream.schema(facts.schema).parquet(path)), "update", _folder(spark))
+    return changes.where("not late").select("conv_id", "turn_id", "subject", "predicate", "object")
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS conv_id, event_type AS predicate, arg_max(json_extract_string(props, '$.k'), event_id) AS object, CAST(max(event_id) AS INTEGER) AS turn_id
 FROM events GROUP BY ALL""")
 def stream_current_slots(spark, sf_dir):
@@ -756,3 +867,28 @@ def stream_current_slots(spark, sf_dir):
     last = Window.partitionBy("conv_id", "predicate").orderBy(F.desc("turn_id"))
     now = changes.where("active").withColumn("again", F.row_number().over(last)).where("again = 1")
     return now.select("conv_id", "predicate", "object", "turn_id")
+
+
+_BROUGHT = """brought AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_id % 11 = 0 THEN 2 WHEN ts < (SELECT to_timestamp(avg(epoch(ts))) FROM events) THEN 0 ELSE 1 END AS batch FROM events),
+latest AS (SELECT batch, max(ts) AS latest FROM brought GROUP BY batch), marked AS (SELECT b.*, (SELECT max(latest) - INTERVAL 3 DAY FROM latest l WHERE l.batch < b.batch) AS mark FROM brought b),
+timely AS (SELECT *, row_number() OVER (PARTITION BY batch, user_id, event_type ORDER BY ts, event_id) AS k FROM marked WHERE mark IS NULL OR ts >= mark)"""
+
+
+def _unseen(batch: int) -> str:
+    """What batch goes on with: the first of each key that is timely, unless a batch before has brought it within the watermark."""
+    before = " UNION ALL ".join(f"SELECT * FROM e{b}" for b in range(batch)) or "SELECT * FROM timely WHERE false"
+    return f"""e{batch} AS (SELECT t.* FROM timely t WHERE batch = {batch} AND k = 1
+  AND NOT EXISTS (SELECT 1 FROM ({before}) s WHERE s.user_id = t.user_id AND s.event_type = t.event_type AND s.ts >= t.mark))"""
+
+
+@query(f"""WITH {_BROUGHT}, {", ".join(map(_unseen, range(3)))}
+SELECT event_id, batch, false AS late FROM (SELECT * FROM e0 UNION ALL SELECT * FROM e1 UNION ALL SELECT * FROM e2) UNION ALL SELECT event_id, batch, true FROM marked WHERE ts < mark""")
+def stream_event_time(spark, sf_dir):
+    """Events in three batches, the last with some of all times: each user's kinds of event once within a watermark of three days, and what comes late."""
+    rows = I.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    middle = rows.agg(F.timestamp_seconds(F.avg(F.unix_micros("ts") / 1e6)).alias("m")).first()["m"]
+    number = F.when(F.col("event_id") % 11 == 0, 2).when(F.col("ts") < F.lit(middle), 0).otherwise(1)
+    sink = EventTime(spark, new_folder(spark, "times"), rows.schema, ("user_id", "event_type"), "ts", 3 * 86400, ("event_id",), 16)
+    for i in (0, 1, 1, 2):  # a batch is replayed
+        sink(rows.where(number == i), i)
+    return sink.rows().withColumn("late", F.lit(False)).unionByName(sink.late().withColumn("late", F.lit(True))).select("event_id", "batch", "late")

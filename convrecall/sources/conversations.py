@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from convrecall.functions import text as T
@@ -50,22 +50,27 @@ def read_conversations(spark: SparkSession, path: str, form: str = "lines") -> D
     return spark.read.schema(schema).options(**options, multiLine=form == "array").json(path)
 
 
+def _conversation(conversations: DataFrame) -> Column:
+    made = F.concat(F.lit("conv_"), F.substring(F.sha2(F.to_json("turns"), 256), 1, 12))
+    return F.coalesce("conversation_id", *(["id"] if "id" in conversations.columns else []), made)
+
+
 def explode_turns(conversations: DataFrame) -> DataFrame:
     """``(conv_id, turn_id, role, text)``, turns from 1; missing roles and contents are empty.
 
     The id is ``conversation_id``, else ``id``, else a hash of the conversation's turns.
     """
-    made = F.concat(F.lit("conv_"), F.substring(F.sha2(F.to_json("turns"), 256), 1, 12))
-    has = "id" in conversations.columns
-    key = F.coalesce("conversation_id", *(["id"] if has else []), made)
-    rows = conversations.select(key.alias("conv_id"), F.posexplode("turns").alias("pos", "t"))
+    rows = conversations.select(_conversation(conversations).alias("conv_id"), F.posexplode("turns").alias("pos", "t"))
     none = F.lit("")
     return rows.select("conv_id", (F.col("pos") + 1).alias("turn_id"), F.coalesce("t.role", none).alias("role"), F.coalesce("t.content", none).alias("text"))
 
 
 def explode_probes(conversations: DataFrame) -> DataFrame:
-    """``(qid, conv_id, q_idx, question, expected, relevant_texts, scenario, difficulty)``; blank questions leave gaps."""
-    rows = conversations.select(F.col("conversation_id").alias("conv_id"), "scenario", "difficulty", F.posexplode("eval").alias("pos", "e"))
+    """``(qid, conv_id, q_idx, question, expected, relevant_texts, scenario, difficulty)``; blank questions leave gaps.
+
+    The id is that of ``explode_turns``.
+    """
+    rows = conversations.select(_conversation(conversations).alias("conv_id"), "scenario", "difficulty", F.posexplode("eval").alias("pos", "e"))
     bare = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"(?U)^\s+|\s+$", "")
     rows = rows.select(
         F.concat_ws("::", "conv_id", (F.col("pos") + 1).cast("string")).alias("qid"), "conv_id", (F.col("pos") + 1).alias("q_idx"),

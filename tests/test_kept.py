@@ -236,3 +236,46 @@ def test_a_range_holds_a_part_of_a_slot(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     over = [line.split("windowspecdefinition(")[1].split(" ASC")[0] for line in plan.splitlines() if "Window [" in line and "windowspecdefinition(" in line]
     assert all("fact_id" in x or "range__s" in x for x in over) and made.where("active").count() == 1
+
+
+# event time
+
+
+def test_event_time_by_loop(spark, tmp_path):
+    """Random batches with late and repeated rows, each brought twice and one lost half-way, against a plain loop; also as a stream."""
+    from datetime import datetime, timedelta
+
+    from convrecall.streaming.eventtime import EventTime
+
+    rnd, kind = random.Random(4), StructType().add("user", "string").add("ts", "timestamp").add("n", "long")
+    base, delay, sinks = datetime(2024, 1, 1), 60, [EventTime(spark, str(tmp_path / x), kind, ("user",), "ts", 60, ("n",), 3) for x in "ab"]
+    seen, latest, want, late, n = {}, None, [], [], 0
+    for i in range(5):
+        batch = []
+        for _ in range(15):
+            n += 1
+            batch.append((rnd.choice(["a", "b", "c", None]), rnd.choice([None, *[base + timedelta(seconds=40 * i + rnd.randrange(-150, 40)) for _ in range(6)]]), n))
+        mark = None if latest is None else latest - timedelta(seconds=delay)
+        late += [(x[2], i) for x in batch if x[1] is None or (mark and x[1] < mark)]
+        for user, ts, k in sorted((x for x in batch if x[1] is not None and not (mark and x[1] < mark)), key=lambda x: (x[1], x[2])):
+            if user not in seen or (mark and seen[user][0] < mark and seen[user][1] != i):
+                want.append((k, i))
+                seen[user] = (ts, i)
+        latest = max([latest or base - timedelta(days=1), *(x[1] for x in batch if x[1])])
+        df = spark.createDataFrame(batch, kind)
+        if i == 3:
+            whole = KeyedTable.upsert
+            KeyedTable.upsert = lambda self, *a, **b: whole(self, *a, **b) if not self.path.endswith("marks") else (_ for _ in ()).throw(OSError("lost"))
+            try:
+                with pytest.raises(OSError):
+                    sinks[0](df, i)
+            finally:
+                KeyedTable.upsert = whole
+        sinks[0](df, i)
+        sinks[0](df, i)
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.writeStream.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(sinks[1]).start().awaitTermination()
+    for sink in sinks:
+        assert sorted((r.n, r.batch) for r in sink.rows().collect()) == sorted(want)
+        assert sorted((r.n, r.batch) for r in sink.late().collect()) == sorted(late)
