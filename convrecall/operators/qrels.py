@@ -45,10 +45,12 @@ def _options(pieces: DataFrame, vocabulary: DataFrame) -> DataFrame:
     whole = whole.select("scope", "needle", "pos", F.col("piece").alias("token"), "df")
     open_ = pieces.where(f"kind <> {WHOLE}").withColumn("size", F.least(F.length("piece"), F.lit(GRAM)))
     asked = made = None
-    for n in range(1, GRAM + 1):
+    for n in sorted(r["size"] for r in open_.select("size").distinct().collect()):  # GRAM rows at most
         a = open_.where(F.col("size") == n).select("scope", "needle", "pos", "piece", "kind", F.explode(_grams("piece", n)).alias("gram"))
         m = vocabulary.where(F.length("token") >= n).select("scope", "token", "df", F.explode(_grams("token", n)).alias("gram"))
         asked, made = (a, m) if asked is None else (asked.unionByName(a), made.unionByName(m))
+    if asked is None:
+        return whole
     asked = stored(asked)
     made = stored(made.join(asked.select("scope", "gram").distinct(), ["scope", "gram"], "left_semi"))
     counts = made.groupBy("scope", "gram").agg(F.sum("df").alias("found"))
