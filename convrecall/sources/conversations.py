@@ -2,49 +2,27 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from convrecall.functions import text as T
 from convrecall.operators.curate import SCHEMA
+from convrecall.sources.concatenated import read_objects
 
 TURN_SCHEMA = "conv_id string, turn_id int, role string, content string"
 
 
-def _objects(text: str) -> Iterator[str]:
-    """Top-level JSON objects that stand one behind the other in a text."""
-    decoder, at = json.JSONDecoder(), 0
-    while (at := text.find("{", at)) >= 0:
-        try:
-            _, end = decoder.raw_decode(text, at)
-        except ValueError:
-            at += 1
-            continue
-        yield text[at:end]
-        at = end
-
-
 def read_conversations(spark: SparkSession, path: str, form: str = "lines") -> DataFrame:
     """Conversations of a file or folder, by the declared schema.
 
     ``lines``: an object, or an array on one line, in each line. ``array``: a pretty-printed array in each file.
-    ``concatenated``: objects without separators; each file is split by one task. Rows that cannot be parsed are null
+    ``concatenated``: objects without separators; a file is read by many tasks. Rows that cannot be parsed are null
     throughout but for ``corrupt``, which holds them.
     """
     schema = f"{SCHEMA}, id string, corrupt string"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "corrupt"}
     if form == "concatenated":
-        files = spark.read.text(path, wholetext=True)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pd.DataFrame({"value": [x for text in pdf["value"] for x in _objects(text)]})
-
-        return files.mapInPandas(run, "value string").select(F.from_json("value", schema, options).alias("x")).select("x.*")
+        return read_objects(spark, path).select(F.from_json("value", schema, options).alias("x")).select("x.*")
     if form not in ("lines", "array"):
         raise ValueError("form must be lines, array or concatenated")
     return spark.read.schema(schema).options(**options, multiLine=form == "array").json(path)

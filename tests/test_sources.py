@@ -1,5 +1,6 @@
 """Readers, curation and streams."""
 
+import gzip
 import json
 import random
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convrecall.operators import curate, facts as M, keyword
 from convrecall.plans import inputs
-from convrecall.sources import conversations as S
+from convrecall.sources import concatenated, conversations as S
 from convrecall.streaming import memory
 from tests.test_memory import TOLD, by_plain_fold, told
 
@@ -28,6 +29,63 @@ def test_forms(spark, tmp_path, form):
     assert {r.qid for r in S.explode_probes(df).collect()} == {"c1::1", "c2::1"}
 
 
+def by_characters(text):
+    """Top-level objects by one walk over the bytes; what is open at the end is given as it is."""
+    out, depth, inside, slashes, begin = [], 0, False, 0, None
+    for at, c in enumerate(text):
+        if c == ord('"') and slashes % 2 == 0:
+            inside = not inside
+        elif c == ord("{") and not inside:
+            depth += 1
+            begin = at if depth == 1 else begin
+        elif c == ord("}") and not inside:
+            if depth == 1:
+                out.append(text[begin : at + 1])
+            depth = max(0, depth - 1)
+        slashes = slashes + 1 if c == ord("\\") else 0
+    return out + ([text[begin:]] if depth else [])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_objects_in_ranges_by_walk(tmp_path, monkeypatch, seed):
+    """Ranges and pieces of few bytes, cut inside strings, escapes and objects, of sound and of broken texts."""
+    rnd = random.Random(seed)
+    monkeypatch.setattr(concatenated, "PIECE", rnd.choice([1, 3, 16, 1000]))
+    signs = ['{', '}', '"', "\\", "a", "é", "[", " "]
+    sound = [json.dumps({"a": "".join(rnd.choices(signs, k=rnd.randrange(9))), "b": [{"c": {}}] * rnd.randrange(3)}) for _ in range(30)]
+    text = (rnd.choice(["", "\n", ", "]).join(sound) if seed % 2 else "".join(rnd.choices(signs, k=300))).encode()
+    path, wide = tmp_path / "x.json", rnd.choice([1, 7, 64, 5000])
+    path.write_bytes(text)
+    got, inside, depth = [], 0, 0
+    for start in range(0, len(text), wide):
+        own = (f"file:{path}", start, min(start + wide, len(text)))
+        got += concatenated._read(*own, inside, depth, 1 << 20)
+        flips, *both = concatenated._summed(*own)
+        rise, low = both[2 * inside : 2 * inside + 2]
+        inside, depth = (inside + flips) % 2, max(depth + rise, rise - low)
+    assert got == by_characters(text)
+    assert list(concatenated.objects(iter([text]))) == got
+    if seed % 2:
+        assert got == [x.encode() for x in sound]
+
+
+def test_large_files_are_split(spark, tmp_path):
+    """Many ranges of plain files, names with blanks, a compressed file, an empty one, and objects that are too long or never end."""
+    rows = [json.dumps({**ROW, "conversation_id": f"c{i}", "scenario": 'a } " { \\' * (i % 7)}) for i in range(60)]
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    (folder / "a b.json").write_text("".join(rows[:40]) + '{"conversation_id": "never')
+    (folder / "c.json.gz").write_bytes(gzip.compress("".join(rows[40:]).encode()))
+    (folder / "d.json").write_text("")
+    found = concatenated.read_objects(spark, str(folder), range_bytes=200)
+    assert sorted(r.value for r in found.collect()) == sorted([*rows, '{"conversation_id": "never'])
+    kept = S.read_conversations(spark, str(folder), "concatenated")
+    assert {r.conversation_id for r in kept.where("corrupt is null").collect()} == {f"c{i}" for i in range(60)}
+    assert [r.corrupt for r in kept.where("corrupt is not null").collect()] == ['{"conversation_id": "never']
+    long = list(concatenated.objects(iter([b'{"a": "', b"x" * 100, b'"}{"b": 1}']), longest=50))
+    assert long[0].startswith(b'{"a": "x') and long[1:] == [b'{"b": 1}']
+
+
 def test_validation(spark, tmp_path):
     rows = [ROW, {**ROW, "conversation_id": None}, {**ROW, "turns": [{"role": "system", "content": "x"}]}, {**ROW, "eval": []}, {**ROW, "turns": ROW["turns"][:2]}]
     (tmp_path / "x.json").write_text("\n".join(map(json.dumps, rows)))
