@@ -9,6 +9,7 @@ their coordinates; what it meets there is ranked by the exact inner product.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,11 @@ def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
     return own.groupBy("id").agg(F.min("w").alias("v"))
 
 
+def lengths(rows: DataFrame) -> dict[int, int]:
+    """How many rows have a ``v`` of each length: a number for each length, of which tables have few."""
+    return {r["d"]: r["count"] for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect()}
+
+
 def _hashed(rows: DataFrame, tables: int, hashes: list[int], probes: int, seed: int) -> DataFrame:
     """``(id, bucket)``: the bucket's table, its first axis and the others as one number."""
     size = int(np.prod([2 * a for a in hashes]))
@@ -125,16 +131,23 @@ def search(
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: of each query the ``k`` rows of largest inner product that were found.
 
-    Both tables have ``id`` and ``v`` as ``usable`` gives them, of one dimension. A row never answers its own id.
+    Both tables have ``id`` and ``v`` as ``usable`` gives them. A row never answers its own id. A query is answered by
+    rows of its own length alone; each length is searched by itself, and a query whose length no row has gets none.
     Scores are in double precision on the vectors as given; ties go to the smaller id. Every row is filed once in each
     table. Buckets of neighbouring numbers are ranked together, in cells of about ``block`` rows, so a query is
     sent once to a cell, with the buckets it looks into. A bucket of more than ``block`` rows is dealt out in blocks,
     and so are its queries; each meets all, and nothing is cut. Queries that met fewer than ``k`` rows are compared with
     all rows, block by block. Empty tables give none.
     """
-    first = rows.select(F.size("v").alias("d")).first()
-    n = rows.count()
-    hashes = plan(n, first["d"] if first else 1, mean)
+    sizes = lengths(rows) or {1: 0}
+    alike = lambda df, d: df.where(F.size("v") == d)
+    found = [_search(alike(queries, d), alike(rows, d), n, d, k, tables, probes, mean, block, seed) for d, n in sizes.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search(queries: DataFrame, rows: DataFrame, n: int, dim: int, k: int, tables: int, probes: int, mean: int, block: int, seed: int) -> DataFrame:
+    """``search`` among ``n`` rows of one length."""
+    hashes = plan(n, dim, mean)
     # buckets of some first axes of a table, and the cells that they are dealt out to where they are too many for one
     mean_axis = max(1, n // (2 * hashes[0]))
     wide = int(np.prod([2 * a for a in hashes[1:]])) * max(1, 1 << ((block // mean_axis).bit_length() - 1) if block > mean_axis else 1)

@@ -9,12 +9,13 @@ the suffixes, and pairs that cannot reach the threshold any more are given up.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from convrecall.llm.ann import matrix, unit, usable
+from convrecall.llm.ann import lengths, matrix, unit, usable
 from convrecall.llm.common import checkpoint, components
 
 THRESHOLD = 0.95
@@ -42,8 +43,6 @@ def principal_axes(rows: DataFrame) -> np.ndarray:
             )
 
     sums = rows.select("v").mapInArrow(run, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).toPandas()
-    if not len(sums):
-        return np.zeros((0, 0))
     full = np.zeros((sums["i"].max() + 1,) * 2)
     full[sums["i"], sums["j"]] = sums["s"]  # dimensions squared, whatever the rows
     return np.linalg.eigh((full + full.T) / 2)[1][:, ::-1]
@@ -161,23 +160,15 @@ def near_vectors(vectors: DataFrame, id_: str, vector: str, threshold: float = T
     Vectors link when their cosine, in double precision, is at least ``threshold`` (above 0). Equal vectors are brought
     to one first and count as often as they occur. ``component_id`` is the smallest id that links lead to. Rows whose
     vector is null, zero or has null or non-finite components, and rows without an id, link with nothing and are kept.
-    Of rows that share an id one vector is compared, and each gets its result. Vectors must have one dimension.
+    Of rows that share an id one vector is compared, and each gets its result. Vectors of unlike lengths never link; each
+    length is compared by itself.
     """
     own = vectors.select(F.col(id_).cast("long").alias("id"))
     rows = checkpoint(usable(vectors, id_, vector))
-    distinct = rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    turn = principal_axes(rows)
-    if not turn.size:
+    kinds = [_linked(rows.where(F.size("v") == d), threshold, tile) for d in lengths(rows)]
+    if not kinds:
         return own.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    tiles = checkpoint(_tiles(distinct, turn, tile))
-    found = checkpoint(_compared(tiles, _pairs(tiles, threshold), turn, threshold))
-    joined = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    of_kind = (
-        tiles.select("id", "v", "copies").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
-        .select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    )
-    out = own.join(rows.join(of_kind, "v").drop("v"), "id", "left")
+    out = own.join(rows.join(reduce(DataFrame.unionByName, kinds), "v").drop("v"), "id", "left")
     component = F.coalesce("component_id", "id")
     return out.select(
         "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
@@ -185,6 +176,18 @@ def near_vectors(vectors: DataFrame, id_: str, vector: str, threshold: float = T
     )
 
 
+def _linked(rows: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """``(v, n_links, component_id)`` of the distinct vectors of ``rows``, which have one length."""
+    distinct = rows.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    turn = principal_axes(rows)
+    tiles = checkpoint(_tiles(distinct, turn, tile))
+    found = checkpoint(_compared(tiles, _pairs(tiles, threshold), turn, threshold))
+    joined = components(found.select(F.col("id").alias("a"), F.col("other").alias("b")))
+    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
+    both = tiles.select("id", "v", "copies").join(counts, "id", "left").join(joined.withColumnRenamed("node", "id"), "id", "left")
+    return both.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+
+
 def op6_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """Links and groups of all vectors at cosine 0.95."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")

@@ -244,6 +244,23 @@ def test_near_vectors(spark, tile):
     assert vecdedup.near_vectors(vectors_of(spark, []), "vec_id", "embedding").count() == 0
 
 
+def test_vectors_of_unlike_lengths(spark):
+    """Each length by itself: no query meets, and no vector links, what has another length."""
+    rows = [(i, ([1.0, 0.1 * (i // 3), 0.5, 0.0] * 2)[: 2 + i % 3]) for i in range(60)] + [(100, [1.0] * 9)]
+    own = ann.usable(vectors_of(spark, rows), "vec_id", "embedding")
+    queries = own.where("id in (0, 1, 100)").unionByName(spark.createDataFrame([(200, [1.0] * 7)], own.schema))
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(queries, own, k=30).collect()}
+    vs = {i: np.float32(v).astype(float) for i, v in rows}
+    want = {(q, i): vs[q] @ vs[i] for q in (0, 1, 100) for i in vs if i != q and len(vs[i]) == len(vs[q])}
+    assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
+    near = {r.id: (r.n_links, r.component_id) for r in vecdedup.near_vectors(vectors_of(spark, rows), "vec_id", "embedding").collect()}
+    unit = {i: v / np.linalg.norm(v) for i, v in vs.items()}
+    links = [(i, j) for i in vs for j in vs if i < j and len(vs[i]) == len(vs[j]) and unit[i] @ unit[j] >= 0.95]
+    n = Counter(i for p in links for i in p)
+    want = roots(101, links)
+    assert all(near[i] == (n[i], want[i]) for i in vs) and len(near) == 61
+
+
 # 5
 
 
