@@ -843,18 +843,35 @@ def stream_requests(spark, sf_dir):
     return R.drain(R.stream_docs(S.read_turn_stream(spark, path)).select("conv_id", "text"), "append", _folder(spark))
 
 
-@query(f"""WITH {I.FACTS} SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn_id, coalesce(
+_REPAIRED = f"""WITH {I.FACTS} SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn_id, coalesce(
     last_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
-    first_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), subject) AS subject, predicate, object FROM facts""")
-def stream_repaired_facts(spark, sf_dir):
-    """Facts repaired in a stream: the last that comes out for each one, names that are learned late included."""
+    first_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), subject) AS subject, predicate, object FROM facts"""
+
+
+def _repaired(spark, sf_dir, how):
+    """The last that a stream of facts puts out for each one."""
     facts = I.facts(spark, sf_dir).withColumn("conv_id", F.col("conv_id").cast("string")).withColumn("text", F.lit(""))
     path = new_folder(spark, "facts")
     facts.write.parquet(path)
-    changes = R.drain(R.stream_repaired(spark.readStream.schema(facts.schema).parquet(path)), "update", _folder(spark))
+    changes = R.drain(how(spark.readStream.schema(facts.schema).parquet(path)), "update", _folder(spark))
     return changes.where("not late").select("conv_id", "turn_id", "subject", "predicate", "object")
 
 
+@query(_REPAIRED)
+def stream_repaired_facts(spark, sf_dir):
+    """Facts repaired in a stream: the last that comes out for each one, names that are learned late included."""
+    return _repaired(spark, sf_dir, R.stream_repaired)
+
+
+@query(_REPAIRED)
+def stream_repaired_by_keys(spark, sf_dir):
+    """The same, with a state by entity and token in the place of one for a conversation."""
+    from convrecall.streaming import repair_state  # it needs protobuf, which nothing else does
+
+    with repair_state.rocksdb(spark):
+        return _repaired(spark, sf_dir, repair_state.stream_repaired_keyed)
+
+
 @query("""SELECT CAST(user_id AS VARCHAR) AS conv_id, event_type AS predicate, arg_max(json_extract_string(props, '$.k'), event_id) AS object, CAST(max(event_id) AS INTEGER) AS turn_id
 FROM events GROUP BY ALL""")
 def stream_current_slots(spark, sf_dir):

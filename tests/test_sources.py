@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from convrecall.operators import curate, facts as M, keyword
 from convrecall.plans import inputs
 from convrecall.sources import concatenated, conversations as S
-from convrecall.streaming import memory
+from convrecall.streaming import memory, repair_state
 from tests.test_memory import TOLD, by_plain_fold, told
 
 SF = "/root/testdata/sf0.001"
@@ -170,6 +170,35 @@ def test_streamed_repairs_equal_batch(spark, tmp_path):
         assert now == by_plain_fold(rows), query
 
 
+def test_keyed_repairs_equal_batch(spark, tmp_path):
+    """State by keys: conversations together in a stream, cut into micro-batches also in the midst of turns."""
+    rnd = random.Random(8)
+    told_of = {c: told(rnd, c, 9) for c in (f"c{k}" for k in range(12))}
+    cuts = {c: [0, *sorted(rnd.sample(range(1, len(rows)), 3)), len(rows)] for c, rows in told_of.items()}
+    for b in range(4):
+        part = [x for c, rows in told_of.items() for x in rows[cuts[c][b] : cuts[c][b + 1]]]
+        spark.createDataFrame(part, TOLD).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream, now = spark.readStream.schema(TOLD).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), {}
+    with repair_state.rocksdb(spark):
+        query = stream_to(now, repair_state.stream_repaired_keyed(stream))
+    assert len(query.recentProgress) >= 4
+    assert now == {k: v for rows in told_of.values() for k, v in by_plain_fold(rows).items()}
+
+
+def test_keyed_repairs_of_nulls_and_late_facts(spark, tmp_path):
+    old = [("c", 2, 0, "me", "likes", "tea", ""), ("d", None, None, None, None, None, None), (None, 1, 0, "He", "is", "in", "x")]
+    new = [("c", 1, 0, "me", "likes", "ink", ""), ("c", 3, 0, "me", "name", "Ann", "")]
+    for rows in (old, new):
+        spark.createDataFrame(rows, TOLD).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream, out = spark.readStream.schema(TOLD).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), []
+    with repair_state.rocksdb(spark):
+        take = lambda batch, _: out.append(sorted(batch.collect(), key=str))
+        repair_state.stream_repaired_keyed(stream).writeStream.outputMode("update").trigger(availableNow=True).foreachBatch(take).start().awaitTermination()
+    first, second = ([(r.conv_id, r.turn_id, r.subject, r.object, r.late) for r in rows] for rows in out if rows)
+    assert set(first) == {("c", 2, "<USER>", "tea", False), ("d", -1, "", None, False), (None, 1, "<USER>", "in", False)}
+    assert set(second) == {("c", 1, "me", "ink", True), ("c", 2, "Ann", "tea", False), ("c", 3, "Ann", "Ann", False)}
+
+
 def stream_to(now, stream):
     """Run a stream and keep the last subject that comes out for each fact."""
 
