@@ -135,8 +135,8 @@ def search(
     rows of its own length alone; each length is searched by itself, and a query whose length no row has gets none.
     Scores are in double precision on the vectors as given; ties go to the smaller id. Every row is filed once in each
     table. Buckets of neighbouring numbers are ranked together, in cells of about ``block`` rows, so a query is
-    sent once to a cell, with the buckets it looks into. A bucket of more than ``block`` rows is dealt out in blocks,
-    and so are its queries; each meets all, and nothing is cut. Queries that met fewer than ``k`` rows are compared with
+    sent once to a cell, with the buckets it looks into. A bucket of more than ``block`` rows, or that more than
+    ``block`` queries look into, is dealt out in blocks of both; each meets all, and nothing is cut. Queries that met fewer than ``k`` rows are compared with
     all rows, block by block. Empty tables give none.
     """
     sizes = lengths(rows) or {1: 0}
@@ -154,8 +154,8 @@ def _search(queries: DataFrame, rows: DataFrame, n: int, dim: int, k: int, table
     cells = -(-mean_axis // block)
     filed = checkpoint(_hashed(rows, tables, hashes, 1, seed))
     asked = checkpoint(_hashed(queries, tables, hashes, probes_of(hashes, probes), seed))
-    sizes = filed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    hot = sizes.join(asked.groupBy("bucket").agg(F.count("*").alias("m")), "bucket", "left")
+    of = lambda df, c: df.groupBy("bucket").agg(F.count("*").alias(c))
+    hot = of(filed, "n").join(of(asked, "m"), "bucket", "full").where((F.col("n") > block) | (F.col("m") > block))
     blocks = lambda c: F.greatest(F.ceil(F.coalesce(F.col(c), F.lit(0)) / block), F.lit(1)).cast("int")
     hot = checkpoint(hot.select("bucket", blocks("n").alias("of_rows"), blocks("m").alias("of_queries")))
     cell = F.struct(F.floor(F.col("bucket") / wide).alias("axis"), F.pmod(F.xxhash64("bucket"), F.lit(cells).cast("long")).alias("part"))

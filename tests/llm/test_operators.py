@@ -244,6 +244,28 @@ def test_near_vectors(spark, tile):
     assert vecdedup.near_vectors(vectors_of(spark, []), "vec_id", "embedding").count() == 0
 
 
+def test_bucket_of_many_queries(spark, monkeypatch):
+    """Many queries and few rows in a bucket: the queries are dealt out, and each finds what it would by itself."""
+    rnd = np.random.default_rng(5)
+    rows = [(i, rnd.normal(size=4).tolist()) for i in range(40)]
+    own = ann.usable(vectors_of(spark, rows), "vec_id", "embedding")
+    queries = spark.createDataFrame([(1000 + i, [1.0, 0.5 + i * 1e-4, 0.2, 0.1]) for i in range(300)], own.schema)
+    shares, ranked = [], ann._ranked
+
+    def seen(asked, filed, k):
+        buckets = asked.select("axis", "part", "i", "j", F.explode("buckets").alias("bucket"))
+        shares.append(buckets.groupBy("axis", "part", "i", "j", "bucket").count().agg(F.max("count")).first()[0])
+        return ranked(asked, filed, k)
+
+    monkeypatch.setattr(ann, "_ranked", seen)
+    got = {(r.query_id, r.rank): r.vec_id for r in ann.search(queries, own, k=5, tables=4, probes=8, block=64).collect()}
+    assert shares[0] < 150 and len(got) == 1500
+    x = np.float32([v for _, v in rows]).astype(float)
+    for i in range(0, 300, 50):
+        best = np.argsort(-(x @ np.float32([1.0, 0.5 + i * 1e-4, 0.2, 0.1]).astype(float)), kind="stable")[:5]
+        assert [got[1000 + i, r] for r in range(1, 6)] == best.tolist()
+
+
 def test_vectors_of_unlike_lengths(spark):
     """Each length by itself: no query meets, and no vector links, what has another length."""
     rows = [(i, ([1.0, 0.1 * (i // 3), 0.5, 0.0] * 2)[: 2 + i % 3]) for i in range(60)] + [(100, [1.0] * 9)]
