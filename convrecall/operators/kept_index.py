@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from convrecall.functions import text as T
+from convrecall.operators.bounded import BLOCK, Blocks, block_lists
 from convrecall.operators.keyword import Index
 from convrecall.sources.keyed import KeyedTable
 from convrecall.sources.shared import stored
@@ -79,8 +80,9 @@ class KeptIndex:
         newest = Window.partitionBy("scope", "doc").orderBy(F.desc_nulls_last("at"), "gone", F.desc_nulls_last("text"))
         rows = rows.withColumn("again", F.row_number().over(newest)).where("again = 1").drop("again")
         fresh = stored(self._counted(rows))
-        old = self.docs.lookup(fresh).select("scope", "doc", F.col("at").alias("old_at"), F.col("length").alias("old_length"), F.col("postings").alias("old"))
-        both = stored(fresh.join(old, ["scope", "doc"], "left").where("old is null or at >= old_at or old_at is null"))
+        there = lambda c: F.when(~F.col("removed"), F.col(c))
+        old = self.docs.lookup(fresh, "removed").select("scope", "doc", F.col("at").alias("old_at"), there("length").alias("old_length"), there("postings").alias("old"))
+        both = stored(fresh.join(old, ["scope", "doc"], "left").where("at >= old_at or old_at is null"))
         one = lambda c, n: F.transform(c, lambda x: F.struct(x["term"].alias("term"), F.lit(n).cast("long").alias("df")))
         change = F.concat(F.coalesce(one(F.when(~F.col("gone"), F.col("postings")), 1), F.array().cast("array<struct<term: string, df: bigint>>")),
                           F.coalesce(one("old", -1), F.array().cast("array<struct<term: string, df: bigint>>")))
@@ -95,14 +97,21 @@ class KeptIndex:
         self._publish(batch_id)
         return True
 
-    def _publish(self, batch_id: int, writer: str = "") -> None:
+    def _publish(self, batch_id: int, writer: str = "", blocks: int | None = None) -> None:
         """Show readers the tables as they are now, all at once."""
         now = [(name, (getattr(self, name).versions() or [0])[-1]) for name in ("docs", "terms", "stats")]
+        now += [("blocks", blocks)] if blocks else []
         self.heads.upsert(self.spark.createDataFrame(now, "name string, version long"), batch_id, writer=writer)
 
+    def _heads(self) -> dict[str, int]:
+        return {r["name"]: r["version"] for r in self.heads.read().collect()}
+
     def open(self) -> Index:
-        """The index of all documents there are, as ``bm25_index`` gives it. A scope without documents has no row."""
-        at = {r["name"]: r["version"] for r in self.heads.read().collect()}
+        """The index of all documents there are, as ``bm25_index`` gives it. A scope without documents has no row.
+
+        If blocks were made (``seal``) it has them, and what changed since.
+        """
+        at = self._heads()
 
         def table(name: str) -> DataFrame:
             own = getattr(self, name)
@@ -110,11 +119,47 @@ class KeptIndex:
 
         docs = table("docs")
         stats = table("stats").where("n > 0").select("scope", "n", (F.col("total") / F.col("n")).alias("avgdl"))
-        return Index(docs.select("scope", "doc", "length"), docs.select("scope", "doc", F.inline("postings")), table("terms"), stats)
+        return Index(docs.select("scope", "doc", "length"), docs.select("scope", "doc", F.inline("postings")), table("terms"), stats, self._blocks(at))
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/blocks/v{version:010d}"
+
+    def _blocks(self, at: dict[str, int]) -> Blocks | None:
+        if not at.get("blocks"):
+            return None
+        changed = self.docs.since(at["blocks"], at["docs"], "gone")
+        if changed is None:
+            return None  # a table was compacted beside the index: all postings are read until blocks are made again
+        lists = self.spark.read.schema(self._lists()).parquet(self._folder(at["blocks"]))
+        fresh = changed.where("not gone").select("scope", "doc", "length", F.inline("postings"))
+        return Blocks(lists, changed.select("scope", "doc"), fresh)
+
+    def _lists(self) -> str:
+        return f"scope {self.scope}, term string, block long, most long, least long, list array<struct<doc: {self.doc}, tf: bigint, length: bigint>>"
+
+    def _write_blocks(self, version: int, size: int) -> None:
+        rows = block_lists(self.docs.read(version), size).sortWithinPartitions("scope", "term", "block")
+        rows.write.mode("overwrite").parquet(self._folder(version))  # over what a lost writer left
+
+    def seal(self, size: int = BLOCK) -> bool:
+        """Write all postings in blocks with bounds, for searches that skip blocks; false if they are up to date.
+
+        Later batches change no block: readers leave their documents out of the blocks and score them beside these, so
+        blocks are best made again when much has changed. ``compact`` does so if there are any.
+        """
+        at = self._heads()
+        if not at.get("docs") or at.get("blocks") == at["docs"]:
+            return False
+        self._write_blocks(at["docs"], size)
+        self.heads.upsert(self.spark.createDataFrame([("blocks", at["docs"])], "name string, version long"), (self.heads.taken("seal") or 0) + 1, writer="seal")
+        return True
 
-    def compact(self, most: int = 8) -> int:
+    def compact(self, most: int = 8, size: int = BLOCK) -> int:
         """Merge the folders of buckets that have more than ``most``, and show readers the result; how many buckets there were."""
         made = sum(getattr(self, name).compact(most) for name in ("docs", "terms", "stats"))
         if made:
-            self._publish((self.heads.taken("compaction") or 0) + 1, "compaction")
+            blocks, now = self._heads().get("blocks"), self.docs.versions()[-1]
+            if blocks and blocks != now:
+                self._write_blocks(now, size)
+            self._publish((self.heads.taken("compaction") or 0) + 1, "compaction", blocks and now)
         return made

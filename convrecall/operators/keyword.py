@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from convrecall.functions import text as T
+from convrecall.operators.bounded import Blocks, bounded_score, gain
 from convrecall.sources.shared import stored
 
 
@@ -28,12 +29,16 @@ def dedup_turns(turns: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """``docs`` (scope, doc, length), ``postings`` (scope, term, doc, tf), ``terms`` (scope, term, df), ``stats`` (scope, n, avgdl)."""
+    """``docs`` (scope, doc, length), ``postings`` (scope, term, doc, tf), ``terms`` (scope, term, df), ``stats`` (scope, n, avgdl).
+
+    ``blocks`` hold the same postings in blocks with bounds, if they were made.
+    """
 
     docs: DataFrame
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    blocks: Blocks | None = None
 
 
 #: Rows (of terms that are asked for, or of results) that may be broadcast; beyond, joins shuffle.
@@ -74,17 +79,23 @@ def _asked(queries: DataFrame, stopwords: tuple[str, ...]) -> DataFrame:
 
 def bm25_score(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.75, stopwords: tuple[str, ...] = T.STOPWORDS) -> DataFrame:
     """``(qid, scope, doc, score)`` of ``queries`` (qid, scope, query); a query's repeated terms count each time."""
+    parts = weighted_terms(queries, index, stopwords)
+    postings = index.postings.join(parts.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
+    found = parts.join(postings, ["scope", "term"]).join(index.docs, ["scope", "doc"])
+    worth = F.col("qtf") * F.col("idf") * gain(F.col("tf"), F.col("length"), k1, b)
+    return found.groupBy("qid", "scope", "doc").agg(F.sum(worth).alias("score"))
+
+
+def weighted_terms(queries: DataFrame, index: Index, stopwords: tuple[str, ...] = T.STOPWORDS) -> DataFrame:
+    """``(qid, scope, term, qtf, idf, avgdl)`` of the queries' terms that the index holds."""
     asked = _asked(queries, stopwords)
     wanted = asked.select("scope", "term").distinct()
-    postings = index.postings.join(wanted, ["scope", "term"], "left_semi")
     weights = (
         index.terms.join(wanted, ["scope", "term"], "left_semi").join(index.stats, "scope")
         .select("scope", "term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"),
                 F.when(F.col("avgdl") > 0, F.col("avgdl")).otherwise(1.0).alias("avgdl"))
     )
-    parts = asked.join(weights, ["scope", "term"]).join(postings, ["scope", "term"]).join(index.docs, ["scope", "doc"])
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("avgdl")))
-    return parts.groupBy("qid", "scope", "doc").agg(F.sum(F.col("qtf") * F.col("idf") * gain).alias("score"))
+    return asked.join(weights, ["scope", "term"]).select("qid", "scope", "term", "qtf", "idf", "avgdl")
 
 
 def top_k(scored: DataFrame, k: int, *ties: str, by: str = "qid", score: str = "score") -> DataFrame:
@@ -96,7 +107,8 @@ def top_k(scored: DataFrame, k: int, *ties: str, by: str = "qid", score: str = "
 def bm25_retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1.5, b: float = 0.75, index: Index | None = None) -> DataFrame:
     """``(qid, scope, rank, doc, text, score, bm25)``: each query's best documents, itself excluded.
 
-    With ``index`` (one that is kept, say) nothing is indexed here; ``docs`` then give the texts alone.
+    With ``index`` (one that is kept, say) nothing is indexed here; ``docs`` then give the texts alone. If it has blocks,
+    those that cannot hold one of a query's best are not read; rows are the same.
 
     A document equal to the normalised query still counts in the statistics. ``score`` is rounded to four places.
     Ties go to the smaller doc, which is the earlier turn.
@@ -108,9 +120,13 @@ def bm25_retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1
         index = _index_of(docs, _asked(queries, T.STOPWORDS).select("scope", "term").distinct())
     else:
         docs = docs.select("scope", "doc", "text", *hashes("text"))
-    scored = bm25_score(queries, index, k1, b).where("score > 0")
     asked = queries.select("qid", "scope", T.norm_text("query").alias("asked"))
-    own = asked.select("qid", "scope", *hashes("asked")).join(docs.select("scope", "doc", "h1", "h2"), ["scope", "h1", "h2"])
-    scored = scored.join(asked.where("asked <> ''").select("qid"), "qid", "left_semi").join(own.select("qid", "scope", "doc"), ["qid", "scope", "doc"], "left_anti")
+    own = asked.select("qid", "scope", *hashes("asked")).join(docs.select("scope", "doc", "h1", "h2"), ["scope", "h1", "h2"]).select("qid", "scope", "doc")
+    if index.blocks is not None:
+        parts, skip = stored(weighted_terms(queries, index)), stored(own)
+        scored = bounded_score(parts, index.blocks, k, k1, b, skip, stored).where("score > 0")
+    else:
+        scored, skip = bm25_score(queries, index, k1, b).where("score > 0"), own
+    scored = scored.join(asked.where("asked <> ''").select("qid"), "qid", "left_semi").join(skip, ["qid", "scope", "doc"], "left_anti")
     found = _small(top_k(scored, k, "doc"), queries.count() * max(1, k)).join(docs.select("scope", "doc", "text"), ["scope", "doc"])
     return found.select("qid", "scope", "rank", "doc", "text", F.round("score", 4).alias("score"), F.col("score").alias("bm25"))

@@ -540,6 +540,21 @@ def kept_index_passages(spark, sf_dir):
     return evaluation.judge(run, probes).select("qid", "rank", "doc", "score", "rel")
 
 
+@query(_SQL["bm25_passages"])
+def bounded_passages(spark, sf_dir):
+    """Passages searched through blocks with bounds, some of whose documents were changed, added or removed since."""
+    docs, index = I.corpus(spark, sf_dir).withColumn("at", F.lit(2)), KeptIndex(spark, new_folder(spark, "index"), buckets=16)
+    early = docs.where("doc % 9 = 0").withColumns({"at": F.lit(1), "text": F.reverse("text")})
+    passing = docs.where("doc % 9 = 1").withColumn("doc", -1 - F.col("doc"))
+    index.update(docs.where("doc % 9 between 1 and 7").unionByName(early).unionByName(passing), 0)
+    index.seal()
+    index.update(docs.where("doc % 9 in (0, 8)").withColumn("deleted", F.lit(False)).unionByName(passing.withColumns({"at": F.lit(3), "deleted": F.lit(True)})), 1)
+    probes = I.passages(spark, sf_dir)
+    found = keyword.bm25_retrieve(probes, I.corpus(spark, sf_dir), 5, index=index.open())
+    run = found.select("qid", "rank", "doc", "score", "text", F.lit("").alias("object"))
+    return evaluation.judge(run, probes).select("qid", "rank", "doc", "score", "rel")
+
+
 @query(f"""WITH {I.FACTS} SELECT conv_id, turn_id, coalesce(
     last_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
     first_value(CASE WHEN predicate = 'name' THEN object END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), subject) AS subject, predicate, object FROM facts""")

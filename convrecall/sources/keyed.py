@@ -96,10 +96,30 @@ class KeyedTable:
         """The table as of a version, the newest if none is given; it is empty before the first batch."""
         return self._merged(self._raw(self._manifest(version))).where(~F.col(GONE)).select(*self.schema.names)
 
-    def lookup(self, keys: DataFrame) -> DataFrame:
-        """Rows of the buckets that ``keys`` (the columns that buckets are made of) fall in; other buckets are not read."""
+    def lookup(self, keys: DataFrame, gone: str | None = None) -> DataFrame:
+        """Rows of the buckets that ``keys`` (the columns that buckets are made of) fall in; other buckets are not read.
+
+        With ``gone``, the name of a boolean column, rows that removed their key come too.
+        """
         touched = {r[0] for r in keys.select(self._bucket()).distinct().collect()}  # at most one row for each bucket
-        return self._merged(self._raw(self._manifest(), touched)).where(~F.col(GONE)).select(*self.schema.names)
+        return self._shown(self._merged(self._raw(self._manifest(), touched)), gone)
+
+    def _shown(self, rows: DataFrame, gone: str | None) -> DataFrame:
+        if gone is None:
+            return rows.where(~F.col(GONE)).select(*self.schema.names)
+        return rows.select(*self.schema.names, F.col(GONE).alias(gone))
+
+    def since(self, old: int, new: int, gone: str) -> DataFrame | None:
+        """The last row of each key that batches after version ``old`` and up to ``new`` brought; ``gone`` tells of removals.
+
+        None if the table was compacted in between, as removals are forgotten then, or if ``old`` is not there any more.
+        """
+        if old not in self.versions():
+            return None
+        before, now = ({(r.folder, r.bucket): r for r in self._manifest(v) if r.bucket is not None} for v in (old, new))
+        if before.keys() - now.keys():
+            return None
+        return self._shown(self._merged(self._raw([r for key, r in now.items() if key not in before])), gone)
 
     def taken(self, writer: str = "") -> int | None:
         """The number of the last batch that a writer brought."""

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 from pyspark.sql.types import StructType
 
-from convrecall.operators import evaluation, facts as M, keyword, qrels
+from convrecall.operators import bounded, evaluation, facts as M, keyword, qrels
 from convrecall.operators.kept_index import KeptIndex
 from convrecall.sources.keyed import KeyedTable
 from convrecall.streaming import memory
@@ -166,7 +166,80 @@ def test_empty_index(spark, tmp_path):
     index = KeptIndex(spark, str(tmp_path / "i"))
     assert index.open().postings.count() == index.open().stats.count() == 0
     index.update(spark.createDataFrame([], "scope string, doc long, at long, text string"), 0)
-    assert index.open().docs.count() == 0
+    assert index.open().docs.count() == 0 and index.seal()
+    assert index.open().blocks.lists.count() == 0
+
+
+def test_removed_documents_stay_removed(spark, tmp_path):
+    """What is older than a removal changes nothing, neither documents nor frequencies."""
+    index, kind = KeptIndex(spark, str(tmp_path / "i"), buckets=2), "scope string, doc long, at long, text string, deleted boolean"
+    for i, row in enumerate([("s", 1, 5, None, True), ("s", 1, 3, "late alpha", False), ("s", 2, 1, "alpha beta", False), ("s", 2, 4, None, True), ("s", 2, 4, "beta", False), ("s", 2, None, "x", False)]):
+        index.update(spark.createDataFrame([row], kind), i)
+    assert index_rows(index.open()) == index_rows(keyword.bm25_index(spark.createDataFrame([("s", 2, "beta")], "scope string, doc long, text string")))
+
+
+# blocks with bounds
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_blocks_by_all_postings(spark, tmp_path, seed):
+    """Searches through blocks give the rows of a search of all postings: before and after changes, ties and own texts included."""
+    rnd, index = random.Random(seed), KeptIndex(spark, str(tmp_path / "i"), buckets=3)
+    words, now = [*"abcdefghij", "the", "été"], {}
+    kind = "scope string, doc long, at long, text string, deleted boolean"
+
+    def batch(n, at):
+        rows = {}
+        for _ in range(n):
+            key = (rnd.choice("ssst"), rnd.randrange(60))
+            text = rnd.choice([None, "", " ".join(w + "x" for w in rnd.choices(words, weights=range(len(words), 0, -1), k=rnd.randrange(1, 25)))])
+            rows[key] = (*key, at, text, rnd.random() < (0.2 if at else 0))
+        now.update({key: row for key, row in rows.items()})
+        index.update(spark.createDataFrame([*rows.values()], kind).withColumn("block", F.lit("mine")), at)
+
+    def compare():
+        docs = spark.createDataFrame([(s, d, t or "") for s, d, _, t, gone in now.values() if not gone], "scope string, doc long, text string")
+        own = [(f"own{i}", r.scope, r.text) for i, r in enumerate(docs.limit(3).collect())]
+        asked = [(f"q{i}", rnd.choice("stu"), " ".join(w + "x" for w in rnd.choices(words, k=rnd.randrange(1, 5)))) for i in range(8)] + [("none", "s", None), (None, "s", "ax")]
+        queries, k = spark.createDataFrame(asked + own, "qid string, scope string, query string"), rnd.choice([0, 1, 3, 40])
+        opened = index.open()
+        got = [tuple(r)[:6] for r in keyword.bm25_retrieve(queries, docs, k, index=opened).orderBy("qid", "rank").collect()]
+        want = [tuple(r)[:6] for r in keyword.bm25_retrieve(queries, docs, k).orderBy("qid", "rank").collect()]
+        assert got == want and want
+        return opened
+
+    batch(80, 0)
+    assert compare().blocks is None and index.seal(size=4) and not index.seal(size=4)
+    assert compare().blocks.changed.count() == 0
+    batch(15, 1)
+    assert compare().blocks.changed.count() > 0
+    index.compact(1, size=4)
+    assert compare().blocks.changed.count() == 0
+    batch(9, 2)
+    index.docs.compact(1)  # beside the index
+    batch(2, 3)
+    assert compare().blocks is None and index.seal(size=4) and compare().blocks is not None
+
+
+def test_blocks_are_skipped(spark, tmp_path):
+    """A word that every document has is read in the few blocks that can hold a better answer than those found."""
+    docs = spark.range(2000).selectExpr("'s' as scope", "id as doc", "1L as at", "concat('common ', repeat('filler ', cast(id % 7 as int)), if(id % 100 = 3, 'rare', concat('w', id))) as text")
+    index = KeptIndex(spark, str(tmp_path / "i"), buckets=2)
+    index.update(docs, 0)
+    index.seal(size=16)
+    opened = index.open()
+    queries = spark.createDataFrame([("q", "s", "common rare")], "qid string, scope string, query string")
+    parts = keyword.weighted_terms(queries, opened)
+    upper = bounded.upper_bounds(parts, opened.blocks.lists, 1.5, 0.75)
+    scores = keyword.bm25_score(queries, opened)
+    floor = spark.createDataFrame([("q", scores.orderBy(F.desc("score")).collect()[4].score)], "qid string, floor double")
+    first = bounded.best_blocks(upper, 10)
+    read = first.unionByName(bounded.rest_of_blocks(upper, first, floor))
+    n, every = bounded.read_blocks(parts, opened.blocks, read).count(), opened.postings.where("term in ('common', 'rare')").count()
+    assert every == 2020 and n < every / 4
+    most = scores.join(opened.blocks.lists.select("block", F.explode("list.doc").alias("doc")).distinct(), "doc").join(upper.select("block", "upper"), "block")
+    assert most.where("score > upper + 1e-9").count() == 0 and most.count() == 2000
+    assert rows_of(keyword.bm25_retrieve(queries, docs, 5, index=opened)) == rows_of(keyword.bm25_retrieve(queries, docs, 5))
 
 
 # relevance
