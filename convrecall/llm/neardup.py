@@ -1,8 +1,10 @@
-"""Near-duplicate documents by the Jaccard similarity of their word shingles.
+"""Near-duplicate documents: SimHash groups and farther pairs, each compared by the Jaccard similarity of word shingles.
 
-Candidates are pairs that agree in one of ``BANDS`` bands of ``ROWS`` minima (MinHash); a pair of similarity s is missed
-with probability (1 - s^ROWS)^BANDS: 4e-6 at 0.8, less above. Each is then compared by its shingles. A parity sketch is
-held against candidates first: it bounds the shingles that only one of two texts has from below, so it drops no link.
+Texts of one SimHash group (fingerprints of their shingles, linked at up to four bits by deletion-variant signatures)
+are candidates. Most pairs of a similarity of 0.8 to 1 differ by more bits; those are candidates by MinHash, where they
+agree in one of ``BANDS`` bands of ``ROWS`` minima: a pair of similarity s is missed by it with probability
+(1 - s^ROWS)^BANDS, 4e-6 at 0.8, less above. Each candidate is then compared by its shingles. A parity sketch is held
+against candidates first: it bounds the shingles that only one of two texts has from below, so it drops no link.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from convrecall.llm import simhash
 from convrecall.llm.common import checkpoint, components
 
 SHINGLE = 5
@@ -30,7 +33,7 @@ BROADCAST_IDS = 200_000
 _RANDOM = np.random.default_rng(42)
 _XOR = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64)
 _ODD = _RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) | np.uint64(1)
-_SET = "doc_id long, sig long, k int, bands array<long>, sketch array<long>"
+_SET = "doc_id long, sig long, k int, bands array<long>, sketch array<long>, fp long"
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -67,10 +70,10 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
             made = []
             for text in batch.column(1).cast(pa.binary()):
                 h = shingles(text.as_buffer().to_pybytes() if text.is_valid else b"", shingle)
-                made.append((signature(h), len(h), bands(h) if len(h) else [], sketch(h)))
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                made.append((signature(h), len(h), bands(h) if len(h) else [], sketch(h), simhash.majority(h)))
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
             columns = [pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "sig", "k", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "sig", "k", "bands", "sketch", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SET)
 
@@ -85,6 +88,13 @@ def _hashed(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, hashes array<long>")
 
 
+def _simhash_groups(sets: DataFrame) -> DataFrame:
+    """``(sig, key)``: the group of every set with words, by links of fingerprints as in op8."""
+    worded = sets.where("k > 0").select("sig", "fp")
+    linked = components(simhash.links(worded.select("fp").distinct()), "fa", "fb")
+    return worded.join(linked, F.col("fp") == F.col("node"), "left").select("sig", F.xxhash64(F.lit("fp"), F.coalesce("component", "fp")).alias("key"))
+
+
 def _may_be_near(near: tuple[int, int]) -> str:
     """Whether sets x and y can be near by their sizes and sketches, as SQL."""
     p, q = near
@@ -119,9 +129,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, near: tuple[int, int] = NEAR
     names a group: a group of such rows alone has a null component. Other columns are not read.
     """
     found = checkpoint(_sets(docs, shingle))
-    sets = checkpoint(found.groupBy("sig").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("k", "bands", "sketch")]))
+    sets = checkpoint(found.groupBy("sig").agg(F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in ("k", "bands", "sketch", "fp")]))
     first = sets.select("sig", "first")
-    keyed = sets.select("sig", F.explode("bands").alias("key"))
+    keyed = sets.select("sig", F.explode("bands").alias("key")).unionByName(_simhash_groups(sets))
     shared = checkpoint(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     met = keyed.join(shared, "key").join(sets.select("sig", "k", "sketch"), "sig")
     met = checkpoint(met.select("key", "n", F.struct("sig", "k", "sketch").alias("x")))

@@ -30,6 +30,15 @@ def _masks(segments: tuple[int, ...]) -> list[int]:
     return out
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles with these unsigned hashes, signed: a bit is 1 if over half of them have it; none: 0."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     """The fingerprint of one text, as a signed 64-bit integer."""
     words = text.lower().split()  # of bytes: lower() changes A-Z alone, split() cuts at \x20 and \x09-\x0D alone
@@ -40,12 +49,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     starts = (ends - np.fromiter(map(len, words), dtype=np.int64, count=len(words)) - 1).tolist()
     stops = (ends - 1).tolist()[shingle - 1 :] or [len(joined)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops)], dtype="<u8")
-    ones = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(hashes), 65536):
-        part = hashes[at : at + 65536].view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+    return majority(np.array([digest(joined[i:j], 42) for i, j in zip(starts, stops)], dtype="<u8"))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

@@ -30,6 +30,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, that of the smallest doc_id: five-word shingles, similarity 0.8 or more.
 
+    Candidates are the SimHash groups and, for what is more bits apart, MinHash bands; each is compared exactly.
     Of rows that share a doc_id one stays. Rows without a doc_id cannot be named, so they stay.
     """
     first = neardup.groups(docs).where("doc_id = component_id").select("doc_id").distinct()
@@ -60,7 +61,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", identify_language),
     ("line dedup", drop_repeated_lines),
-    ("near-dedup", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("mixing", mix),
     ("byte-level BPE", tokenize),
 ]

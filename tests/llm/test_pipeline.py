@@ -6,10 +6,11 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from convrecall.llm import linededup, mixing
+from convrecall.llm import linededup, mixing, neardup, simhash
 
 from .test_operators import ODD, SF, roots, slow_fingerprint
 
@@ -84,3 +85,28 @@ def test_near_duplicates_beyond_simhash(spark):
     rows = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts] + [(None, "one two", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, rows, SF)
     assert Counter(r.doc_id for r in got.collect()) == Counter([*least.values(), None])
+
+
+def test_near_duplicates_by_simhash_alone(spark):
+    """Texts whose shingles agree in none of the MinHash bands are one by their fingerprints; an unlike text stays."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(3000)]
+    runs = {xxhash.xxh64_intdigest(" ".join(base[i : i + 5]), 42): i for i in range(len(base) - 4)}
+    hashes = np.array(sorted(runs), np.uint64)
+    mixed = (hashes ^ neardup._XOR) * neardup._ODD
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * neardup._ODD
+    least = [runs[int(hashes[j])] for j in mixed.argmin(1)[:: neardup.ROWS]]  # where each band's first minimum is
+    own, bits = neardup.shingles(" ".join(base).encode()), 64
+    while bits > 4:
+        copy = list(base)
+        for at in least:
+            copy[at + rnd.randrange(5)] = word()
+        other = neardup.shingles(" ".join(copy).encode())
+        bits = ((simhash.majority(own) ^ simhash.majority(other)) & (1 << 64) - 1).bit_count()
+    assert not set(neardup.bands(own)) & set(neardup.bands(other))
+    both = len(set(own.tolist()) & set(other.tolist()))
+    assert 5 * both >= 4 * (len(own) + len(other) - both)
+    rows = [(7, " ".join(base)), (9, " ".join(copy)), (11, " ".join(word() for _ in range(3000)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert Counter(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == Counter([7, 11])
