@@ -79,7 +79,8 @@ def links(distinct: DataFrame, segments: tuple[int, ...] = SEGMENTS) -> DataFram
     whole = distinct.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.expr(f"fp & {m}L").alias("key")) for i, m in enumerate(masks)])).alias("x")
     ).select("fp", "x.s", "x.key")
-    same = whole.withColumnRenamed("fp", "fa").join(
+    # joins by merge: Spark takes an explode to be as small as what it explodes, and would broadcast millions of rows
+    same = whole.withColumnRenamed("fp", "fa").hint("merge").join(
         whole.select(F.col("fp").alias("fb"), F.col("s").alias("s2"), F.col("key").alias("key2")),
         F.expr(f"s = s2 and key = key2 and fa < fb and {apart} <= {most} and {earlier}"),
     )
@@ -93,7 +94,7 @@ def links(distinct: DataFrame, segments: tuple[int, ...] = SEGMENTS) -> DataFram
     unit = one.where("fp & flag <> 0").select(
         F.col("fp").alias("fb"), F.col("bit").alias("bit2"), F.col("key").alias("key2")
     )
-    variant = zero.join(unit, F.expr(f"bit = bit2 and key = key2 and {apart} <= {most} and {earlier}"))
+    variant = zero.hint("merge").join(unit, F.expr(f"bit = bit2 and key = key2 and {apart} <= {most} and {earlier}"))
     return same.select("fa", "fb").unionByName(variant.select("fa", "fb"))
 
 

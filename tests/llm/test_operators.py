@@ -385,6 +385,15 @@ def test_every_link_once(spark):
     assert len(got) == len(want) and {frozenset((r.fa, r.fb)) for r in got} == want
 
 
+def test_variants_are_not_broadcast(spark):
+    """Fingerprints small enough to broadcast have variants that are not: 32 rows for each, on either side."""
+    fps = spark.range(3000).select(F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.count("*").alias("n")).select("fp")
+    found = simhash.links(fps)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
+
+
 # 9
 
 
