@@ -110,3 +110,12 @@ def test_near_duplicates_by_simhash_alone(spark):
     rows = [(7, " ".join(base)), (9, " ".join(copy)), (11, " ".join(word() for _ in range(3000)))]
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert Counter(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == Counter([7, 11])
+
+
+def test_variants_in_the_third_stage_are_not_broadcast(spark, docs, monkeypatch):
+    seen, real = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges, *ends: seen.append(edges) or real(edges, *ends))
+    neardup.groups(docs).collect()
+    seen[0].collect()
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
