@@ -223,6 +223,37 @@ def test_knn_and_upsert(spark):
     assert {tuple(r) for r in vectors.upsert(old, new, "key", "n").collect()} == {("a", 1), ("b", 3), ("c", 2)}
 
 
+@pytest.mark.parametrize("block", [4, 4096])
+def test_prefiltered_vectors_of_any_kind(spark, monkeypatch, block):
+    """Conversations are compared in blocks, never pair by pair; rows are those of a loop, odd vectors included."""
+    monkeypatch.setattr(vectors.knn, "__defaults__", ("cosine", block, ()))
+    rnd, nan = random.Random(3), float("nan")
+    odd = [None, [], [0.0, 0.0], [1.0, None], [nan, 1.0], [1.0], [2.0], [1.0, 2.0, 3.0]]
+    made = [[float(rnd.randrange(-2, 3)), float(rnd.randrange(-2, 3))] for _ in range(40)]
+    rows = [(i, rnd.choice(["a", "a", "b", None]), v) for i, v in enumerate(made + odd * 2)] + [(100 + i, "c", v) for i, v in enumerate(odd[:4] + made[:1])]
+    df = spark.createDataFrame(rows, "fact_id long, conv_id string, v array<double>")
+    text = F.col("fact_id").cast("string")
+    states = df.select("fact_id", "conv_id", *[text.alias(c) for c in ("subject", "predicate", "object", "evidence")], (F.col("fact_id") % 3 != 0).alias("active"))
+    got = vectors.vector_retrieve(df.select(F.col("fact_id").alias("qid"), "conv_id", "v"), states, df.select("fact_id", "v"), 4)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "zip_with" not in plan
+
+    def cosine(a, b):
+        if a is None or b is None or len(a) != len(b) or None in a + b:
+            return None
+        scale = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return 0.0 if scale == 0 else sum(x * y for x, y in zip(a, b)) / scale
+
+    def order(x):  # not a number is the greatest; none comes last
+        return (x[0] is None, 0 if x[0] is None or x[0] != x[0] else 1, 0 if x[0] is None or x[0] != x[0] else -round(x[0], 9), x[1])
+
+    want = set()
+    for q, c, v in rows:
+        found = [(cosine(v, w), i) for i, d, w in rows if c is not None and c == d and i % 3]
+        want |= {(q, k + 1, i, None if s is None else str(round(s, 6) + 0.0)) for k, (s, i) in enumerate(sorted(found, key=order)[:4])}
+    assert {(r.qid, r["rank"], r.fact_id, None if r.score is None else str(r.score + 0.0)) for r in got.collect()} == want
+
+
 def test_embedding_each_text_once(spark):
     df = spark.createDataFrame([("a b",), ("a b",), ("c",), (None,)], "text string")
     got = vectors.embed_batch(df, vectors.hashing_embedder(8)).collect()
