@@ -31,20 +31,31 @@ class Blocks:
     fresh: DataFrame
 
 
-def block_lists(docs: DataFrame, size: int = BLOCK) -> DataFrame:
-    """The lists of ``docs`` (scope, doc, length, postings).
+#: Rows that may be broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def dealt_to_blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """``docs`` (scope, doc, length, maybe more) with ``block``; a block's documents are in one task.
 
     Documents are dealt by length, in steps of a quarter of a doubling, and within a step by a hash into blocks of
-    ``size`` on average; how many there are is counted first. A term that all documents hold lies in as many rows as
-    there are blocks.
+    ``size`` on average; how many there are is counted first.
     """
     step = F.floor(4 * F.log2(F.col("length") + 1.0)).cast("long")
-    rows = docs.where("size(postings) > 0").withColumn("step", step)
+    rows = docs.where("length > 0").withColumn("step", step)
     parts = rows.groupBy("scope", "step").agg(F.ceil(F.count("*") / size).cast("long").alias("parts"))
     part = F.pmod(F.xxhash64("doc"), F.col("parts"))
-    dealt = rows.join(parts, ["scope", "step"]).withColumn("block", F.shiftleft("step", 40) + part)
-    each = dealt.select("scope", "doc", "block", "length", F.inline("postings"))
-    return each.groupBy("scope", "term", "block").agg(
+    dealt = rows.join(small(parts, parts.count()), ["scope", "step"]).withColumn("block", F.shiftleft("step", 40) + part)
+    return dealt.drop("step", "parts").repartition("scope", "block")
+
+
+def block_lists(postings: DataFrame) -> DataFrame:
+    """The lists of ``postings`` (scope, doc, block, length, term, tf). A term that all documents hold is in as many as there are blocks."""
+    return postings.groupBy("scope", "term", "block").agg(
         F.max("tf").alias("most"), F.min("length").alias("least"), F.sort_array(F.collect_list(F.struct("doc", "tf", "length"))).alias("list")
     )
 
@@ -78,9 +89,17 @@ def rest_of_blocks(upper: DataFrame, seen: DataFrame, floor: DataFrame) -> DataF
 
 def read_blocks(parts: DataFrame, blocks: Blocks, some: DataFrame) -> DataFrame:
     """The postings (and terms) of ``some`` (qid, scope, block) that still hold."""
-    wanted = some.join(parts, ["qid", "scope"])
-    lists = blocks.lists.select("scope", "term", "block", "list")
-    return wanted.join(lists, ["scope", "term", "block"]).select(*parts.columns, F.inline("list")).join(blocks.changed, ["scope", "doc"], "left_anti")
+    return _postings_of(parts, blocks, some).drop("block").join(blocks.changed, ["scope", "doc"], "left_anti")
+
+
+def _postings_of(parts: DataFrame, blocks: Blocks, some: DataFrame) -> DataFrame:
+    """The same, changed documents included, with ``block``: a block is in one task, so its documents' scores are summed there."""
+    n = parts.count()
+    asked = small(parts.select("scope", "term").distinct(), n)
+    lists = blocks.lists.select("scope", "term", "block", "list").join(asked, ["scope", "term"], "left_semi").repartition("scope", "block")
+    wanted = some.groupBy("scope", "block").agg(F.collect_set("qid").alias("qids"))
+    rows = lists.join(wanted, ["scope", "block"]).join(small(parts, n), ["scope", "term"]).where("array_contains(qids, qid)")
+    return rows.select(*parts.columns, "block", F.inline("list"))
 
 
 def bounded_score(parts: DataFrame, blocks: Blocks, k: int, k1: float, b: float, skip: DataFrame, keep) -> DataFrame:
@@ -93,14 +112,22 @@ def bounded_score(parts: DataFrame, blocks: Blocks, k: int, k1: float, b: float,
     """
     k = max(1, k)
 
-    def scored(postings: DataFrame) -> DataFrame:
+    skip = small(skip, skip.count())
+    gone = keep(blocks.changed)
+    gone = small(gone, gone.count())
+
+    def scored(postings: DataFrame, *block: str) -> DataFrame:
         worth = F.col("qtf") * F.col("idf") * gain(F.col("tf"), F.col("length"), k1, b)
-        return postings.groupBy("qid", "scope", "doc").agg(F.sum(worth).alias("score")).join(skip, ["qid", "scope", "doc"], "left_anti")
+        rows = postings.groupBy("qid", "scope", "doc", *block).agg(F.sum(worth).alias("score"))
+        return rows.drop(*block).join(skip, ["qid", "scope", "doc"], "left_anti")
+
+    def in_blocks(some: DataFrame) -> DataFrame:
+        return scored(_postings_of(parts, blocks, some), "block").join(gone, ["scope", "doc"], "left_anti").select("qid", "scope", "doc", "score")
 
     upper = keep(upper_bounds(parts, blocks.lists, k1, b))
     first = keep(best_blocks(upper, 2 * k))
     changed = parts.join(blocks.fresh, ["scope", "term"]).select(*parts.columns, "doc", "tf", "length")
-    found = keep(scored(read_blocks(parts, blocks, first)).unionByName(scored(changed)))
+    found = keep(in_blocks(first).unionByName(scored(changed)))
     order = Window.partitionBy("qid").orderBy(F.desc("score"))
     floor = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("qid", F.col("score").alias("floor"))
-    return found.unionByName(scored(read_blocks(parts, blocks, rest_of_blocks(upper, first, floor))))
+    return found.unionByName(in_blocks(rest_of_blocks(upper, first, floor)))

@@ -10,16 +10,41 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
 from convrecall.functions import text as T
-from convrecall.operators.bounded import BLOCK, Blocks, block_lists
+from convrecall.operators.bounded import BLOCK, Blocks, block_lists, dealt_to_blocks
 from convrecall.operators.keyword import Index
 from convrecall.sources.keyed import KeyedTable
-from convrecall.sources.shared import stored
+from convrecall.sources.shared import discard, stored
 
-POSTINGS = "array<struct<term: string, tf: bigint>>"
+#: A document's postings: its terms in order, with spaces between, and how often each occurs. A fraction of an array of structs.
+PACKED = "terms string, counts array<int>"
+
+
+def _let(value: Column, f) -> Column:
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def packed(tokens: Column) -> Column:
+    """Tokens (without spaces) as a struct of ``length`` and PACKED: they are sorted, and each run is counted by its ends."""
+
+    def counted(s: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1))
+        starts = F.when(F.size(s) > 0, F.filter(F.sequence(F.lit(0), F.size(s) - 1), new)).otherwise(F.array().cast("array<int>"))
+        return _let(starts, lambda p: F.struct(
+            F.size(s).cast("long").alias("length"), F.array_join(F.transform(p, lambda i: F.get(s, i)), " ").alias("terms"),
+            F.transform(p, lambda i, j: F.coalesce(F.get(p, j + 1), F.size(s)) - i).alias("counts"),
+        ))
+
+    return _let(F.sort_array(tokens), counted)
+
+
+def unpacked(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` of documents with a row for each of their terms: ``term`` and ``tf``."""
+    each = F.inline(F.arrays_zip(F.split("terms", " ").alias("t"), F.col("counts").alias("c"))).alias("term", "tf")
+    return docs.where("terms <> ''").select(*columns, each).withColumn("tf", F.col("tf").cast("long"))
 
 
 @dataclass(frozen=True)
@@ -42,7 +67,7 @@ class KeptIndex:
 
     @cached_property
     def docs(self) -> KeyedTable:
-        return self._table("docs", f"scope {self.scope}, doc {self.doc}, at long, length long, postings {POSTINGS}", ("scope", "doc"), order="at")
+        return self._table("docs", f"scope {self.scope}, doc {self.doc}, at long, length long, {PACKED}", ("scope", "doc"), order="at")
 
     @cached_property
     def terms(self) -> KeyedTable:
@@ -56,19 +81,11 @@ class KeptIndex:
     def heads(self) -> KeyedTable:
         return KeyedTable(self.spark, f"{self.path}/heads", StructType.fromDDL("name string, version long"), ("name",), buckets=1)
 
-    def _counted(self, rows: DataFrame) -> DataFrame:
-        """Rows with ``length`` and ``postings`` in the place of ``text``; all of it in the task that has the document."""
-        rows = rows.repartition("scope", "doc").withColumn("tokens", T.keyword_tokens("text", self.stopwords)).drop("text")
-        each = rows.select("scope", "doc", F.explode("tokens").alias("term")).groupBy("scope", "doc", "term").agg(F.count("*").alias("tf"))
-        lists = each.groupBy("scope", "doc").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("postings"))
-        made = rows.withColumn("length", F.size("tokens").cast("long")).drop("tokens").join(lists, ["scope", "doc"], "left")
-        return made.withColumn("postings", F.coalesce("postings", F.array().cast(POSTINGS)))
-
     def update(self, batch: DataFrame, batch_id: int) -> bool:
         """Take a batch (scope, doc, at, text, maybe deleted); false if it was taken before.
 
         ``at`` tells which version of a document is newer; versions older than the one that is kept change nothing.
-        Null texts are empty documents. Rows without a scope or a doc are not taken. A batch that is lost half-way may
+        The batch is read several times, and its texts once. Null texts are empty documents. Rows without a scope or a doc are not taken. A batch that is lost half-way may
         be brought again: what it did before is not done twice, and readers see the state before it until all is done.
         """
         if (done := self.heads.taken()) is not None and done >= batch_id:
@@ -77,24 +94,25 @@ class KeptIndex:
         rows = batch.where("scope is not null and doc is not null").select(
             F.col("scope").cast(self.scope), F.col("doc").cast(self.doc), F.col("at").cast("long"), F.when(~gone, F.coalesce("text", F.lit(""))).alias("text"), gone.alias("gone")
         )
-        newest = Window.partitionBy("scope", "doc").orderBy(F.desc_nulls_last("at"), "gone", F.desc_nulls_last("text"))
-        rows = rows.withColumn("again", F.row_number().over(newest)).where("again = 1").drop("again")
-        fresh = stored(self._counted(rows))
+        if not rows.groupBy("scope", "doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # else no text is shuffled
+            newest = Window.partitionBy("scope", "doc").orderBy(F.desc_nulls_last("at"), "gone", F.desc_nulls_last("text"))
+            rows = rows.withColumn("again", F.row_number().over(newest)).where("again = 1").drop("again")
+        fresh = rows.select("scope", "doc", "at", "gone", packed(T.keyword_tokens("text", self.stopwords)).alias("p")).select("scope", "doc", "at", "gone", "p.*")
         there = lambda c: F.when(~F.col("removed"), F.col(c))
-        old = self.docs.lookup(fresh, "removed").select("scope", "doc", F.col("at").alias("old_at"), there("length").alias("old_length"), there("postings").alias("old"))
+        old = self.docs.lookup(rows, "removed").select("scope", "doc", F.col("at").alias("old_at"), there("length").alias("old_length"), there("terms").alias("old"))
         both = stored(fresh.join(old, ["scope", "doc"], "left").where("at >= old_at or old_at is null"))
-        one = lambda c, n: F.transform(c, lambda x: F.struct(x["term"].alias("term"), F.lit(n).cast("long").alias("df")))
-        change = F.concat(F.coalesce(one(F.when(~F.col("gone"), F.col("postings")), 1), F.array().cast("array<struct<term: string, df: bigint>>")),
-                          F.coalesce(one("old", -1), F.array().cast("array<struct<term: string, df: bigint>>")))
-        terms = both.select("scope", F.inline(change)).groupBy("scope", "term").agg(F.sum("df").alias("df")).where("df <> 0")
+        each = lambda rows, c, n: rows.where(F.col(c) != "").select("scope", F.explode(F.split(c, " ")).alias("term"), F.lit(n).cast("long").alias("df"))
+        change = each(both.where(~F.col("gone")), "terms", 1).unionByName(each(both, "old", -1))
+        terms = change.groupBy("scope", "term").agg(F.sum("df").alias("df")).where("df <> 0")
         there, before = (~F.col("gone")).cast("long"), F.col("old").isNotNull().cast("long")
         stats = both.groupBy("scope").agg(
             F.sum(there - before).alias("n"), F.sum(there * F.col("length") - F.coalesce("old_length", F.lit(0))).alias("total")
         )
         self.terms.upsert(terms, batch_id)
         self.stats.upsert(stats, batch_id)
-        self.docs.upsert(both, batch_id, "gone")  # after what is made of its state before
+        self.docs.upsert(both, batch_id, "gone", unique=True)  # after what is made of its state before
         self._publish(batch_id)
+        discard(both)
         return True
 
     def _publish(self, batch_id: int, writer: str = "", blocks: int | None = None) -> None:
@@ -119,7 +137,8 @@ class KeptIndex:
 
         docs = table("docs")
         stats = table("stats").where("n > 0").select("scope", "n", (F.col("total") / F.col("n")).alias("avgdl"))
-        return Index(docs.select("scope", "doc", "length"), docs.select("scope", "doc", F.inline("postings")), table("terms"), stats, self._blocks(at))
+        postings = unpacked(docs.repartition("scope", "doc"), "scope", "doc", "length")  # a document's are in one task, where its scores are summed
+        return Index(docs.select("scope", "doc", "length"), postings, table("terms"), stats, self._blocks(at))
 
     def _folder(self, version: int) -> str:
         return f"{self.path}/blocks/v{version:010d}"
@@ -131,14 +150,15 @@ class KeptIndex:
         if changed is None:
             return None  # a table was compacted beside the index: all postings are read until blocks are made again
         lists = self.spark.read.schema(self._lists()).parquet(self._folder(at["blocks"]))
-        fresh = changed.where("not gone").select("scope", "doc", "length", F.inline("postings"))
+        fresh = unpacked(changed.where("not gone"), "scope", "doc", "length")
         return Blocks(lists, changed.select("scope", "doc"), fresh)
 
     def _lists(self) -> str:
         return f"scope {self.scope}, term string, block long, most long, least long, list array<struct<doc: {self.doc}, tf: bigint, length: bigint>>"
 
     def _write_blocks(self, version: int, size: int) -> None:
-        rows = block_lists(self.docs.read(version), size).sortWithinPartitions("scope", "term", "block")
+        dealt = dealt_to_blocks(self.docs.read(version), size)
+        rows = block_lists(unpacked(dealt, "scope", "doc", "block", "length")).sortWithinPartitions("scope", "term", "block")
         rows.write.mode("overwrite").parquet(self._folder(version))  # over what a lost writer left
 
     def seal(self, size: int = BLOCK) -> bool:
@@ -163,3 +183,13 @@ class KeptIndex:
                 self._write_blocks(now, size)
             self._publish((self.heads.taken("compaction") or 0) + 1, "compaction", blocks and now)
         return made
+
+    def vacuum(self) -> int:
+        """Delete what the state that readers are shown does not name; how many folders went. Who opened an older state loses it.
+
+        A table that a lost batch has brought further is left alone, and so are documents that changed since blocks were made.
+        """
+        at = self._heads()
+        held = {"docs"} if at.get("blocks") not in (None, at.get("docs")) else set()
+        tables = {name: getattr(self, name) for name in ("docs", "terms", "stats") if name not in held}
+        return sum(t.vacuum(1) for name, t in tables.items() if t.versions() and t.versions()[-1] == at.get(name))

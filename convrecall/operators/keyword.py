@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window, functions as F
 
 from convrecall.functions import text as T
-from convrecall.operators.bounded import Blocks, bounded_score, gain
+from convrecall.operators.bounded import Blocks, bounded_score, gain, small
 from convrecall.sources.shared import stored
 
 
@@ -29,7 +29,7 @@ def dedup_turns(turns: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """``docs`` (scope, doc, length), ``postings`` (scope, term, doc, tf), ``terms`` (scope, term, df), ``stats`` (scope, n, avgdl).
+    """``docs`` (scope, doc, length), ``postings`` (scope, term, doc, tf, maybe length), ``terms`` (scope, term, df), ``stats`` (scope, n, avgdl).
 
     ``blocks`` hold the same postings in blocks with bounds, if they were made.
     """
@@ -41,10 +41,6 @@ class Index:
     blocks: Blocks | None = None
 
 
-#: Rows (of terms that are asked for, or of results) that may be broadcast; beyond, joins shuffle.
-BROADCAST_ROWS = 200_000
-
-
 def bm25_index(docs: DataFrame, stopwords: tuple[str, ...] = T.STOPWORDS, only: DataFrame | None = None) -> Index:
     """Index ``(scope, doc, text)``. Texts of stopwords alone count as documents of length 0.
 
@@ -58,7 +54,7 @@ def _index_of(tokens: DataFrame, only: DataFrame | None) -> Index:
     """The index of ``(scope, doc, tokens, length)``."""
     each = tokens.select("scope", "doc", F.explode("tokens").alias("term"))
     if only is not None:
-        each = each.join(_small(only, only.count()), ["scope", "term"], "left_semi")
+        each = each.join(small(only, only.count()), ["scope", "term"], "left_semi")
     postings = each.groupBy("scope", "doc", "term").agg(F.count("*").alias("tf"))
     if only is not None:
         postings = stored(postings)  # of what is asked alone; it is counted, and scored
@@ -68,10 +64,6 @@ def _index_of(tokens: DataFrame, only: DataFrame | None) -> Index:
     return Index(lengths, postings, terms, stats)
 
 
-def _small(df: DataFrame, n: int) -> DataFrame:
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def _asked(queries: DataFrame, stopwords: tuple[str, ...]) -> DataFrame:
     terms = queries.select("qid", "scope", F.explode(T.keyword_tokens("query", stopwords)).alias("term"))
     return terms.groupBy("qid", "scope", "term").agg(F.count("*").alias("qtf"))
@@ -80,9 +72,13 @@ def _asked(queries: DataFrame, stopwords: tuple[str, ...]) -> DataFrame:
 def bm25_score(queries: DataFrame, index: Index, k1: float = 1.5, b: float = 0.75, stopwords: tuple[str, ...] = T.STOPWORDS) -> DataFrame:
     """``(qid, scope, doc, score)`` of ``queries`` (qid, scope, query); a query's repeated terms count each time."""
     parts = weighted_terms(queries, index, stopwords)
+    worth = F.col("qtf") * F.col("idf") * gain(F.col("tf"), F.col("length"), k1, b)
+    if "length" in index.postings.columns:  # whole documents in one task: where few terms are asked, scores are summed there
+        parts = stored(parts)
+        found = index.postings.join(small(parts, parts.count()), ["scope", "term"])
+        return found.groupBy("qid", "scope", "doc").agg(F.sum(worth).alias("score"))
     postings = index.postings.join(parts.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
     found = parts.join(postings, ["scope", "term"]).join(index.docs, ["scope", "doc"])
-    worth = F.col("qtf") * F.col("idf") * gain(F.col("tf"), F.col("length"), k1, b)
     return found.groupBy("qid", "scope", "doc").agg(F.sum(worth).alias("score"))
 
 
@@ -115,6 +111,7 @@ def bm25_retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1
     """
     # texts are compared by 128 bits of hashes and fetched for what is found; no step before that carries them
     hashes = lambda c: [F.xxhash64(c).alias("h1"), F.xxhash64(F.lit(1), c).alias("h2")]
+    kept = index is not None
     if index is None:  # one pass over the texts: what follows reads columns of its table
         docs = stored(docs.select("scope", "doc", "text", *hashes("text"), T.keyword_tokens("text").alias("tokens")).withColumn("length", F.size("tokens")))
         index = _index_of(docs, _asked(queries, T.STOPWORDS).select("scope", "term").distinct())
@@ -126,7 +123,8 @@ def bm25_retrieve(queries: DataFrame, docs: DataFrame, k: int = 5, k1: float = 1
         parts, skip = stored(weighted_terms(queries, index)), stored(own)
         scored = bounded_score(parts, index.blocks, k, k1, b, skip, stored).where("score > 0")
     else:
-        scored, skip = bm25_score(queries, index, k1, b).where("score > 0"), own
+        scored, skip = bm25_score(queries, index, k1, b).where("score > 0"), stored(own) if kept else own
+    skip = small(skip, skip.count()) if kept else skip
     scored = scored.join(asked.where("asked <> ''").select("qid"), "qid", "left_semi").join(skip, ["qid", "scope", "doc"], "left_anti")
-    found = _small(top_k(scored, k, "doc"), queries.count() * max(1, k)).join(docs.select("scope", "doc", "text"), ["scope", "doc"])
+    found = small(top_k(scored, k, "doc"), queries.count() * max(1, k)).join(docs.select("scope", "doc", "text"), ["scope", "doc"])
     return found.select("qid", "scope", "rank", "doc", "text", F.round("score", 4).alias("score"), F.col("score").alias("bm25"))

@@ -521,6 +521,7 @@ def _kept(spark, sf_dir):
         index.update(batch, i)
         index.update(batch, i)  # a replay
     index.compact(2)
+    index.vacuum()
     return index.open()
 
 

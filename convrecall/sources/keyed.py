@@ -81,7 +81,20 @@ class KeyedTable:
     def _raw(self, manifest: list, buckets: set[int] | None = None) -> DataFrame:
         full = StructType([*self.schema.fields]).add(SEQ, "long").add(GONE, "boolean")
         paths = [f"{r.folder}/{BUCKET}={r.bucket}" for r in manifest if r.bucket is not None and (buckets is None or r.bucket in buckets)]
-        return self.spark.read.schema(full).parquet(*paths) if paths else self.spark.createDataFrame([], full)
+        return self.spark.read.schema(full).parquet(*paths) if paths else self.spark.createDataFrame([], full).limit(0)
+
+    def _newest(self, manifest: list, buckets: set[int] | None = None) -> DataFrame:
+        """One row for each key, tombstones included. A bucket of one folder has no key twice, so its rows are not shuffled."""
+        rows = [r for r in manifest if r.bucket is not None and (buckets is None or r.bucket in buckets)]
+        n: dict[int, int] = {}
+        for r in rows:
+            n[r.bucket] = n.get(r.bucket, 0) + 1
+        one, more = ([r for r in rows if (n[r.bucket] > 1) == several] for several in (False, True))
+        names = [*self.schema.names, SEQ, GONE]
+        if not more:
+            return self._raw(one).select(*names)
+        merged = self._merged(self._raw(more)).select(*names)
+        return self._raw(one).select(*names).unionByName(merged) if one else merged
 
     def _merged(self, rows: DataFrame) -> DataFrame:
         """One row for each key, tombstones included."""
@@ -94,7 +107,7 @@ class KeyedTable:
 
     def read(self, version: int | None = None) -> DataFrame:
         """The table as of a version, the newest if none is given; it is empty before the first batch."""
-        return self._merged(self._raw(self._manifest(version))).where(~F.col(GONE)).select(*self.schema.names)
+        return self._newest(self._manifest(version)).where(~F.col(GONE)).select(*self.schema.names)
 
     def lookup(self, keys: DataFrame, gone: str | None = None) -> DataFrame:
         """Rows of the buckets that ``keys`` (the columns that buckets are made of) fall in; other buckets are not read.
@@ -102,7 +115,7 @@ class KeyedTable:
         With ``gone``, the name of a boolean column, rows that removed their key come too.
         """
         touched = {r[0] for r in keys.select(self._bucket()).distinct().collect()}  # at most one row for each bucket
-        return self._shown(self._merged(self._raw(self._manifest(), touched)), gone)
+        return self._shown(self._newest(self._manifest(), touched), gone)
 
     def _shown(self, rows: DataFrame, gone: str | None) -> DataFrame:
         if gone is None:
@@ -119,17 +132,17 @@ class KeyedTable:
         before, now = ({(r.folder, r.bucket): r for r in self._manifest(v) if r.bucket is not None} for v in (old, new))
         if before.keys() - now.keys():
             return None
-        return self._shown(self._merged(self._raw([r for key, r in now.items() if key not in before])), gone)
+        return self._shown(self._newest([r for key, r in now.items() if key not in before]), gone)
 
     def taken(self, writer: str = "") -> int | None:
         """The number of the last batch that a writer brought."""
         return max((r.batch_id for r in self._manifest() if r.bucket is None and r.folder == writer), default=None)
 
-    def upsert(self, batch: DataFrame, batch_id: int, deleted: str | None = None, writer: str = "") -> bool:
+    def upsert(self, batch: DataFrame, batch_id: int, deleted: str | None = None, writer: str = "", unique: bool = False) -> bool:
         """Take a batch; false, and nothing is changed, if the writer has brought it, or one of a higher number, before.
 
         Rows whose column ``deleted`` is true remove their key. Repeated keys in a batch are brought to one before they
-        are written.
+        are written; with ``unique`` the caller warrants that there are none.
         """
         manifest = self._manifest()
         if any(r.bucket is None and r.folder == writer and r.batch_id >= batch_id for r in manifest):
@@ -138,7 +151,8 @@ class KeyedTable:
         gone = F.coalesce(F.col(deleted).cast("boolean"), F.lit(False)) if deleted else F.lit(False)
         own = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
         rows = batch.select(*own, F.lit(seq).cast("long").alias(SEQ), gone.alias(GONE))
-        folder = self._write(self._merged(rows).select(*self.schema.names, SEQ, GONE).withColumn(BUCKET, self._bucket()))
+        rows = rows if unique and not self.sums else self._merged(rows)
+        folder = self._write(rows.select(*self.schema.names, SEQ, GONE).withColumn(BUCKET, self._bucket()))
         kept = [tuple(r) for r in manifest if r.bucket is not None or r.folder != writer]
         self._publish(kept + [(b, folder, seq, None) for b in self._touched(folder)] + [(None, writer, seq, batch_id)])
         return True
@@ -153,7 +167,7 @@ class KeyedTable:
         full = {b for b, n in folders.items() if n > most}
         if not full:
             return 0
-        rows = self._merged(self._raw(manifest, full)).where(~F.col(GONE)).select(*self.schema.names, SEQ, GONE)
+        rows = self._newest(manifest, full).where(~F.col(GONE)).select(*self.schema.names, SEQ, GONE)
         folder = self._write(rows.withColumn(BUCKET, self._bucket()))
         seq = max(r.seq for r in manifest)
         kept = [tuple(r) for r in manifest if r.bucket not in full]

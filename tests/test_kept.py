@@ -178,6 +178,24 @@ def test_removed_documents_stay_removed(spark, tmp_path):
     assert index_rows(index.open()) == index_rows(keyword.bm25_index(spark.createDataFrame([("s", 2, "beta")], "scope string, doc long, text string")))
 
 
+def test_little_is_shuffled_and_left(spark, tmp_path):
+    """Buckets of one folder are read as they are, an update leaves no table beside the index, and a vacuum only what is shown."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    docs = spark.range(60).selectExpr("'s' as scope", "id as doc", "1L as at", "concat('b a b w', id % 7, ' ', repeat('x ', cast(id % 3 as int))) as text")
+    index, before = KeptIndex(spark, str(tmp_path / "i"), buckets=2), {*shared.glob("table-*")}
+    index.update(docs, 0)
+    assert {*shared.glob("table-*")} == before
+    assert "Window" not in index.docs.read()._jdf.queryExecution().optimizedPlan().toString()
+    later = docs.where("doc < 20").withColumns({"at": F.lit(2), "text": F.lit("other words")})
+    index.update(later.unionByName(later.withColumn("text", F.lit("but"))), 1)  # of repeated rows the greater text stays
+    index.compact(1)
+    assert index.vacuum() > 0 and index.vacuum() == 0
+    now = later.unionByName(docs.where("doc >= 20"))
+    opened, asked = index.open(), spark.createDataFrame([("q", "s", "b w3 other")], "qid string, scope string, query string")
+    assert index_rows(opened) == index_rows(keyword.bm25_index(now))
+    assert rows_of(keyword.bm25_retrieve(asked, now, 5, index=opened)) == rows_of(keyword.bm25_retrieve(asked, now, 5))
+
+
 # blocks with bounds
 
 
